@@ -181,3 +181,19 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *[c for c in df.columns if c.endswith("_id")][:1])
+
+
+def event_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table with the names of the event model, for operators past parsing."""
+    n = F.col("event_id")
+    return read_table(spark, sf_dir, "events").select(
+        n.alias("n"),
+        F.concat(F.lit("evt-"), n.cast("string")).alias("event_id"),
+        times.as_utc(F.col("ts")).alias("ts"),
+        _source_of(n).alias("ingest_source"),
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("identity"),
+        F.concat(F.lit("host-"), F.pmod(F.col("user_id"), F.lit(8)).cast("string")).alias("host"),
+        F.col("event_type"), F.col("event_type").alias("action"), F.col("value"),
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.col("user_id"),
+    )
