@@ -184,10 +184,11 @@ def session_events(
     slots = session_slots(events, gap_seconds, key_fields, group)
     bounds = Window.partitionBy(*keys, "session_no")
     slots = slots.select(
-        *keys, "slot", "n", "session_no", F.min("first_ts").over(bounds).alias("start_ts")
+        *keys, F.col("slot").alias("_slot"), F.col("n").alias("_n"), "session_no",
+        F.min("first_ts").over(bounds).alias("start_ts"),
     )
-    placed = with_session_key(events, key_fields).withColumn("slot", times.slot(F.col("ts"), gap_seconds))
-    return attach(placed, slots, [*keys, "slot"], "n", ["ts", "event_id"], hot_rows).drop("slot", "n")
+    placed = with_session_key(events, key_fields).withColumn("_slot", times.slot(F.col("ts"), gap_seconds))
+    return attach(placed, slots, [*keys, "_slot"], "_n", ["ts", "event_id"], hot_rows).drop("_slot", "_n")
 
 
 def nest_sessions(
@@ -222,14 +223,15 @@ def gap_to_previous(events: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS
 
     Events at one instant follow each other by id, so all but the first have gap zero.
     """
+    key_columns = [f"key_{k}" for k in keys]
+    keyed = with_session_key(events, keys)
     instants = neighbours(
-        events, keys, "ts", {"n": F.count(F.lit(1)), "first_id": F.min("event_id")}
-    ).select(*keys, "ts", "n", "first_id", "prev")
-    joined = attach(events, instants, [*keys, "ts"], "n", ["event_id"], hot_rows)
-    since = F.unix_micros("ts") - F.unix_micros("prev")
-    return joined.withColumn(
-        "gap_us", F.when(F.col("event_id") == F.col("first_id"), since).otherwise(F.lit(0).cast("long"))
-    ).drop("n", "first_id", "prev")
+        keyed, key_columns, "ts", {"_n": F.count(F.lit(1)), "_first_id": F.min("event_id")}
+    ).select(*key_columns, "ts", "_n", "_first_id", F.col("prev").alias("_prev"))
+    joined = attach(keyed, instants, [*key_columns, "ts"], "_n", ["event_id"], hot_rows)
+    since = F.unix_micros("ts") - F.unix_micros("_prev")
+    gap = F.when(F.col("event_id") == F.col("_first_id"), since).otherwise(F.lit(0).cast("long"))
+    return joined.withColumn("gap_us", gap).select(*events.columns, "gap_us")
 
 
 def sort_sessions(found: DataFrame, order: str = "time") -> DataFrame:
@@ -244,7 +246,7 @@ def token_sessions(
 
     Only marker events take part. Markers of one instant count as one, a login first.
     """
-    markers = events.filter(starts | ends)
+    markers = events.filter(starts | ends).withColumns({k: session_key(F.col(k)) for k in keys})
     near = neighbours(
         markers, keys, "ts",
         {"is_start": F.max(starts.cast("int")), "is_end": F.max(ends.cast("int"))},
@@ -266,7 +268,9 @@ def identity_sequences(
     max_items: int = MAX_ITEMS, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per-identity sequences in clock-aligned windows: ordered actions."""
-    placed = events.withColumn("window_start", times.window_floor(F.col("ts"), seconds))
+    placed = events.withColumns(
+        {identity: session_key(F.col(identity)), "window_start": times.window_floor(F.col("ts"), seconds)}
+    )
     item = F.struct("ts", "event_id", "action")
     nested = nest_ordered(placed, [identity, "window_start"], ["ts", "event_id"], item, max_items, hot_rows)
     return nested.select(identity, "window_start", "chunk", F.size("items").alias("length"), F.col("items").alias("sequence"))
