@@ -23,30 +23,26 @@ _LOOSE = (
 )
 
 
+# Applied in order to "date T hour:minute:second.fraction Z zone" with parts missing.
+_FILL = (
+    ("T:", "T00:"), ("::", ":00:"), (":\\.", ":00."), ("\\.Z", ".0Z"),
+    ("ZZ$", "Z"), ("Z([+-]\\d{2}):?(\\d{2})?$", "$1:$2"), (":$", ":00"),
+)
+
+
 def _loose_to_plain(text: Column) -> Column:
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _LOOSE, i)
-
-    def filled(i: int) -> Column:
-        return F.when(part(i) == "", "00").otherwise(part(i))
-
-    zone = part(8)
-    zone = (
-        F.when((zone == "") | (zone == "Z"), F.lit("Z"))
-        .when(F.length(zone) == 3, F.concat(zone, F.lit(":00")))
-        .when(F.length(zone) == 5, F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)))
-        .otherwise(zone)
-    )
-    fraction = F.when(part(7) == "", F.lit("")).otherwise(F.concat(F.lit("."), part(7)))
-    return F.concat(
-        part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"),
-        filled(4), F.lit(":"), filled(5), F.lit(":"), filled(6), fraction, zone,
-    )
+    plain = F.regexp_replace(text, _LOOSE, "$1-$2-$3T$4:$5:$6.$7Z$8")
+    for pattern, replacement in _FILL:
+        plain = F.regexp_replace(plain, pattern, replacement)
+    return plain
 
 
 def parse_iso(text: Column) -> Column:
     """ISO-8601 text to a timestamp; text without a zone is UTC; NULL when it is not ISO."""
-    value = strip(text)
+    return _parse_stripped(strip(text))
+
+
+def _parse_stripped(value: Column) -> Column:
     return (
         F.when(value.rlike(_PLAIN), value.try_cast("timestamp"))
         .when(value.rlike(_LOOSE), _loose_to_plain(value).try_cast("timestamp"))

@@ -11,10 +11,10 @@ from watchloom.operators.parse import classify, merged, merged_event, merged_tex
 from watchloom.schemas import ALIASES, EVENT_FIELDS, SOURCE_EXTRA_ALIASES
 
 
-def alias_column(name: str, by_source: bool = False) -> Column:
+def alias_value(name: str, by_source: bool = False) -> Column:
     """One output field from its source keys; optionally with the keys only one source uses."""
     def read(keys) -> Column:
-        return clean_string(first_non_empty(*[merged_text(k) for k in keys]))
+        return first_non_empty(*[merged_text(k) for k in keys])
 
     value = read(ALIASES[name])
     if by_source:
@@ -25,14 +25,23 @@ def alias_column(name: str, by_source: bool = False) -> Column:
     return value
 
 
-def event_id() -> Column:
-    """Id key by truthiness, else SHA-256 of the merged event's canonical JSON."""
+def alias_column(name: str, by_source: bool = False) -> Column:
+    return clean_string(alias_value(name, by_source))
+
+
+def id_value() -> Column:
+    """The first id key that is truthy."""
     def truthy(key: str) -> Column:
         text = merged_text(key)
         return F.when(~variants.is_falsy(variants.type_of(merged(key)), text), text)
 
-    existing = clean_string(F.coalesce(truthy("event_id"), truthy("envelope_id"), truthy("id")))
-    return F.coalesce(existing, F.sha2(F.to_json(merged_event()), 256))
+    return F.coalesce(truthy("event_id"), truthy("envelope_id"), truthy("id"))
+
+
+def event_id(stated: Column | None = None) -> Column:
+    """The stated id, else SHA-256 of the merged event's canonical JSON."""
+    stated = id_value() if stated is None else stated
+    return F.coalesce(clean_string(stated), F.sha2(F.to_json(merged_event()), 256))
 
 
 def success_flag() -> Column:
@@ -43,19 +52,21 @@ def success_flag() -> Column:
 
 def normalize(classified: DataFrame, by_source: bool = False) -> DataFrame:
     """Good events -> 22 columns plus ``ts`` and the directory they came from."""
+    # Two steps keep the plan small: choosing a value mentions many keys, cleaning it mentions
+    # the value many times.
+    chosen = valid_only(classified).select(
+        "ingest_source", "ts", "source_type", "latency_ms", "line", "_text", "_wrapped",
+        id_value().alias("_id"), success_flag().alias("success"),
+        *[alias_value(name, by_source).alias(f"_v_{name}") for name in ALIASES],
+    )
     columns = {
-        "event_id": event_id(),
+        "event_id": event_id(F.col("_id")),
         "timestamp": times.format_iso_z(F.col("ts")),
-        "source_type": F.col("source_type"),
-        "success": success_flag(),
-        "latency_ms": F.col("latency_ms"),
         "raw_payload": merged_event(),
+        **{name: F.col(name) for name in ("source_type", "success", "latency_ms")},
+        **{name: clean_string(F.col(f"_v_{name}")) for name in ALIASES},
     }
-    for name in ALIASES:
-        columns[name] = alias_column(name, by_source)
-    return valid_only(classified).select(
-        "ingest_source", "ts", *[columns[f].alias(f) for f in EVENT_FIELDS]
-    )
+    return chosen.select("ingest_source", "ts", *[columns[f].alias(f) for f in EVENT_FIELDS])
 
 
 def normalize_lines(lines: DataFrame, timestamp_fallback: str | None = None, by_source: bool = False) -> DataFrame:
