@@ -16,8 +16,8 @@ MISSING_CALLER = "X-Service-Identity header is required"
 
 
 def small(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint after a check of the size; the check reads at most ``rows`` + 1 rows."""
-    return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
+    """Broadcast hint for a side whose counted size allows it; otherwise the join shuffles."""
+    return F.broadcast(dimension) if dimension.count() <= rows else dimension
 
 
 def require_caller(calls: DataFrame, identity: str = "identity") -> DataFrame:

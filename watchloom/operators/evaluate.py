@@ -87,7 +87,7 @@ def latency_distribution(rows: DataFrame, latency: str, by: list[str], shares: l
     """
     values = rows.groupBy(*by, latency).agg(F.count(F.lit(1)).alias("n"))
     ranked = running_totals(values, by, latency, [], ["n"])
-    totals = values.groupBy(*by).agg(F.sum("n").alias("_total"))
+    totals = ranked.groupBy(*by).agg(F.max("cum_n").alias("_total"))
     low, high = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     joined = ranked.join(F.broadcast(totals), by)
     picks = []

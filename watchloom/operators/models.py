@@ -169,7 +169,7 @@ def nearest_entries(
     The index is a static, curated list. It travels as one value inside the plan, after its
     size is checked, and each row keeps only its best ``k``: no row pairs are ever formed.
     """
-    if index.limit(max_entries + 1).count() > max_entries:
+    if index.count() > max_entries:
         raise ValueError(f"the index has more than {max_entries} entries")
     entries = index.agg(F.collect_list(F.struct(F.col(index_id).alias("id"), F.col("entry").alias("v")))).scalar()
     dot = lambda a, b: F.aggregate(

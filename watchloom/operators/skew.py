@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchloom.session import checkpoint
+from watchloom.session import checkpoint, materialize
 
 # Rows of one key that may meet in one task.
 HOT_ROWS = 1_000_000
@@ -25,14 +25,17 @@ def hot_keys(counts: DataFrame, keys: list[str], n: str, hot_rows: int) -> DataF
 
 
 def attach(
-    rows: DataFrame, groups: DataFrame, keys: list[str], n: str, row_id: list[str], hot_rows: int = HOT_ROWS
+    rows: DataFrame, groups: DataFrame, keys: list[str], n: str, row_id: list[str],
+    hot_rows: int = HOT_ROWS, written: bool = False,
 ) -> DataFrame:
     """Inner join of many rows to one record per key.
 
     ``groups`` carries in ``n`` how many rows each key has. The record of a hot key is
     repeated once per part and its rows are dealt over the parts; all other keys have one
-    part. Key columns must not be NULL.
+    part. Key columns must not be NULL. ``groups`` is read twice, so it is written out
+    once unless it already is a table.
     """
+    groups = groups if written else materialize(groups, "groups")
     hot = F.broadcast(hot_keys(groups, keys, n, hot_rows))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     # The row number within the task tells exact copies of a row apart.
@@ -50,14 +53,17 @@ def nest_ordered(
     item: Column,
     max_items: int = MAX_ITEMS,
     hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Members of each key as ordered arrays: ``(keys, chunk, items)``.
 
     A key with up to ``max_items`` members gives one array (chunk 0). A longer one gives
     several, in chunk order; nothing is dropped. Up to ``hot_rows`` members are numbered within
     the key; a hotter key is range-sorted over many tasks and cut into runs of ``max_items``.
+    ``counts`` gives the number of members per key as ``_n`` where it is already known.
     """
-    counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = F.broadcast(hot_keys(counts, keys, "_n", hot_rows).drop("_parts"))
     by_rank = lambda a, b: (  # noqa: E731 - items may hold types without an order
         F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0)
@@ -124,17 +130,19 @@ def running_totals(
     """Running sums ``cum_<value>`` over each group in the order of a numeric column.
 
     The group is cut at its own quantiles, sums run inside each piece, and each piece starts
-    from the total of the pieces before it: no task holds a whole group. The cut points, at
-    most ``pieces`` per group, are checkpointed so that all readers cut alike. ``groups`` must
-    be few; rows with equal ``order`` stay in one piece, so combine them beforehand.
+    from the total of the pieces before it: no task holds a whole group. The rows are read
+    three times and so checkpointed, as are the cut points, at most ``pieces`` per group, so
+    that all readers cut alike. ``groups`` must be few; rows with equal ``order`` stay in one
+    piece, so combine them beforehand.
     """
+    rows = checkpoint(rows)
     share = [i / pieces for i in range(1, pieces)]
     cuts = rows.groupBy(*groups) if groups else rows.groupBy(F.lit(0).alias("_all"))
     cuts = checkpoint(cuts.agg(F.percentile_approx(order, share, 10 * pieces).alias("_cuts")))
     if groups:
         placed = rows.join(F.broadcast(cuts), groups)
     else:
-        placed = rows.withColumn("_all", F.lit(0)).join(F.broadcast(cuts), "_all")
+        placed = rows.withColumns({"_all": F.lit(0), "_cuts": cuts.select("_cuts").scalar()})
     by = groups or ["_all"]
     placed = placed.withColumn(
         "_piece", F.size(F.filter("_cuts", lambda c: c < F.col(order)))

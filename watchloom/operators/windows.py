@@ -9,6 +9,7 @@ from watchloom.functions import times
 from watchloom.functions.text import session_key
 from watchloom.operators.skew import HOT_ROWS, MAX_ITEMS, attach, nest_ordered, neighbours, running_totals
 from watchloom.schemas import FIXED_WINDOW_SECONDS, SESSION_GAP_SECONDS
+from watchloom.session import materialize
 
 KEY_FIELDS = ("identity", "host")
 GROUP = "ingest_source"
@@ -61,7 +62,10 @@ def nest_fixed_windows(
     events: DataFrame, seconds: int = FIXED_WINDOW_SECONDS, item: Column | None = None,
     group: str = GROUP, max_items: int = MAX_ITEMS, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Windows with their events in time order (several chunks when a window is very long)."""
+    """Windows with their events in time order (several chunks when a window is very long).
+
+    ``event_count`` is the number of events in the record, that is, in the chunk.
+    """
     check_seconds("window_seconds", seconds)
     item = F.struct(*[c for c in events.columns if c not in ("ts", group)]) if item is None else item
     placed = events.withColumn("window_start", times.window_floor(F.col("ts"), seconds))
@@ -175,37 +179,53 @@ def session_ordinals(found: DataFrame, keys: list[str], group: str | None = GROU
     )
 
 
+def _placed_slots(events: DataFrame, gap_seconds: int, key_fields, group: str | None) -> DataFrame:
+    """Slots with their session's number and start, written out once for all that follows."""
+    keys = _keys(key_fields, group)
+    bounds = Window.partitionBy(*keys, "session_no")
+    slots = session_slots(events, gap_seconds, key_fields, group).select(
+        *keys, F.col("slot").alias("_slot"), F.col("n").alias("_n"), "session_no",
+        F.min("first_ts").over(bounds).alias("start_ts"), F.max("last_ts").over(bounds).alias("end_ts"),
+    )
+    return materialize(slots, "slots")
+
+
 def session_events(
     events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS, key_fields=KEY_FIELDS,
-    group: str | None = GROUP, hot_rows: int = HOT_ROWS,
+    group: str | None = GROUP, hot_rows: int = HOT_ROWS, slots: DataFrame | None = None,
 ) -> DataFrame:
     """Each event with its session's number and start; hot slots are dealt over several tasks."""
     keys = _keys(key_fields, group)
-    slots = session_slots(events, gap_seconds, key_fields, group)
-    bounds = Window.partitionBy(*keys, "session_no")
-    slots = slots.select(
-        *keys, F.col("slot").alias("_slot"), F.col("n").alias("_n"), "session_no",
-        F.min("first_ts").over(bounds).alias("start_ts"),
-    )
+    if slots is None:
+        slots = _placed_slots(events, gap_seconds, key_fields, group)
     placed = with_session_key(events, key_fields).withColumn("_slot", times.slot(F.col("ts"), gap_seconds))
-    return attach(placed, slots, [*keys, "_slot"], "_n", ["ts", "event_id"], hot_rows).drop("_slot", "_n")
+    return attach(
+        placed, slots, [*keys, "_slot"], "_n", ["ts", "event_id"], hot_rows, written=True
+    ).drop("_slot", "_n")
 
 
 def nest_sessions(
     events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS, key_fields=KEY_FIELDS, item: Column | None = None,
     group: str | None = GROUP, max_items: int = MAX_ITEMS, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Sessions with their events in time order (several chunks when a session is very long)."""
+    """Sessions with their events in time order (several chunks when a session is very long).
+
+    ``event_count`` is the number of events in the record, that is, in the chunk.
+    """
     keys = _keys(key_fields, group)
     item = F.struct(*[c for c in events.columns if c not in ("ts", group)]) if item is None else item
-    members = session_events(events, gap_seconds, key_fields, group, hot_rows)
-    nested = nest_ordered(members, [*keys, "start_ts"], ["ts", "event_id"], item, max_items, hot_rows)
+    slots = _placed_slots(events, gap_seconds, key_fields, group)
+    session = [*keys, "start_ts", "end_ts"]
+    counts = slots.groupBy(*session).agg(F.sum("_n").alias("_n"))
+    members = session_events(events, gap_seconds, key_fields, group, hot_rows, slots)
+    nested = nest_ordered(members, session, ["ts", "event_id"], item, max_items, hot_rows, counts)
     return nested.select(
         *([group] if group else []),
         hash_id(keys, "start_ts").alias("window_id"),
         F.lit("session").alias("window_type"),
         F.struct(*[F.col(f"key_{f}").alias(f) for f in key_fields]).alias("session_key"),
         times.format_iso_z(F.col("start_ts")).alias("start_time"),
+        times.format_iso_z(F.col("end_ts")).alias("end_time"),
         F.size("items").alias("event_count"), "chunk", F.col("items").alias("events"),
     )
 

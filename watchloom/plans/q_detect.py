@@ -9,7 +9,7 @@ from watchloom.operators import features, models, scoring
 from watchloom.plans import scoring as job
 from watchloom.plans.oracle_parts import EV
 from watchloom.plans.registry import query
-from watchloom.session import checkpoint, scratch_path
+from watchloom.session import checkpoint, materialize, scratch_path
 from watchloom.sources.adapter import event_frame, read_table
 from watchloom.sources.sinks import write_table
 
@@ -51,7 +51,8 @@ def sequences(spark, sf):
 
 
 def split(spark, sf):
-    seqs = sequences(spark, sf)
+    # One pass over the events; fitting and scoring read the much smaller step table.
+    seqs = materialize(sequences(spark, sf), "sequences")
     is_history = F.unix_micros("seq_start") < CUTOFF_US
     return seqs.filter(is_history), seqs.filter(~is_history)
 
@@ -219,7 +220,7 @@ def analyze_sequence(spark, sf):
 @query("fit_score_job", f"WITH {SEQ} SELECT {SEQ_KEY}, round(CASE WHEN length < 10 THEN base ELSE mse END, 6) AS score FROM scored")
 def fit_score_job(spark, sf):
     is_history = F.unix_micros("seq_start") < CUTOFF_US
-    scores = job.fit_score_export(sequences(spark, sf), is_history, WIDTH, scratch_path(spark, "model"))
+    scores = job.fit_score_export(materialize(sequences(spark, sf), "sequences"), is_history, WIDTH, scratch_path(spark, "model"))
     return scores.select("identity", "seq_no", F.round("score", 6).alias("score"))
 
 

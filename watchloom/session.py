@@ -48,3 +48,13 @@ def checkpoint(df):
     """Reliable checkpoint: fixes a small sampled result so that every reader sees the same rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df, label: str):
+    """Write a table to the shared folder and read it back, for results several readers need.
+
+    Costly steps such as parsing then run once, and a lost executor repeats only its own tasks.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -33,5 +33,5 @@ def write_table(rows: DataFrame, path: str) -> None:
 
 def spread_by_run(rows: DataFrame, key: str, files_per_key: int = 8) -> DataFrame:
     """Bring rows of one output folder together, but let a crowded folder use several tasks."""
-    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(files_per_key))
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(files_per_key))
     return rows.withColumn("_file", part).repartition(key, "_file").drop("_file")
