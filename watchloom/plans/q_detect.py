@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from watchloom.functions.text import feature_explanation
 from watchloom.operators import features, models, scoring
+from watchloom.operators.skew import attach
 from watchloom.plans import scoring as job
 from watchloom.plans.oracle_parts import EV
 from watchloom.plans.registry import query
@@ -116,9 +117,11 @@ WITH m AS (SELECT user_id, avg(value) AS mean, stddev_pop(value) + 1e-6 AS std F
 SELECT event_id AS n, round(least(abs(value - mean) / std / 3.0, 1.0), 6) AS score FROM events JOIN m USING (user_id)""")
 def zscore(spark, sf):
     events = read_table(spark, sf, "events")
-    stats = events.groupBy("user_id").agg(F.avg("value").alias("mean"), (F.stddev_pop("value") + 1e-6).alias("std"))
+    stats = events.groupBy("user_id").agg(
+        F.avg("value").alias("mean"), (F.stddev_pop("value") + 1e-6).alias("std"), F.count(F.lit(1)).alias("_n")
+    )
     scored = scoring.zscore(F.col("value"), F.col("mean"), F.col("std"))
-    return events.join(stats, "user_id").select(F.col("event_id").alias("n"), F.round(scored, 6).alias("score"))
+    return attach(events, stats, ["user_id"], "_n", ["event_id"]).select(F.col("event_id").alias("n"), F.round(scored, 6).alias("score"))
 
 
 CLASS_SQL = f"""

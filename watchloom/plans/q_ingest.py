@@ -44,14 +44,15 @@ def scan_jsonl(spark, sf):
 
 
 @query("scan_jsonl_line_numbers", f"""
-WITH {TELE} SELECT ingest_source, count(*) AS lines, count(*) * (count(*) + 1) // 2 AS number_sum FROM tele GROUP BY 1""")
+WITH {TELE} SELECT ingest_source, CAST(count(*) AS BIGINT) AS lines, true AS gapless FROM tele GROUP BY 1""")
 def scan_jsonl_line_numbers(spark, sf):
-    path = scratch_path(spark, "numbered")
-    telemetry_raw(spark, sf).coalesce(1).write.partitionBy("ingest_source").text(path)
-    numbered = jsonl.number_lines(jsonl.read_lines(spark, f"{path}/*", "*.txt", number=True))
-    return numbered.groupBy("ingest_source").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("line_number").alias("number_sum")
+    numbered = jsonl.number_lines(jsonl.read_lines(spark, f"{landed(spark, sf)}/*", "*.txt", number=True))
+    n, number = F.count(F.lit(1)), F.col("line_number")
+    # The landed files have no blank lines, so each file must be numbered 1, 2, 3, ...
+    per_file = numbered.groupBy("ingest_source", "file_path").agg(
+        n.alias("n"), ((F.min(number) == 1) & (F.max(number) == n) & (F.sum(number) * 2 == n * (n + 1))).alias("ok")
     )
+    return per_file.groupBy("ingest_source").agg(F.sum("n").alias("lines"), F.every("ok").alias("gapless"))
 
 
 @query("scan_source_dir", f"""

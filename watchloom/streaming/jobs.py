@@ -83,14 +83,24 @@ def temporal_correlation(alerts: DataFrame, key: str, a: Column, b: Column, delt
     )
 
 
-def write_once(stream: DataFrame, path: str) -> DataFrame:
-    """Run a stream over all data present, append to a table, and return the table."""
+def write_once(stream: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+    """Run a stream over all data present, append to a table, and return the table.
+
+    The first run fixes in how many partitions the state is kept; by default as many as the
+    cluster has cores.
+    """
     spark = stream.sparkSession
-    query: StreamingQuery = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", path)
-        .option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(partitions or spark.sparkContext.defaultParallelism))
+    try:
+        query: StreamingQuery = (
+            stream.writeStream.format("parquet").outputMode("append").option("path", path)
+            .option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(path)
 
 
