@@ -131,3 +131,15 @@ def test_session_spans_two_streaming_runs(spark, tmp_path):
     arrive(("end", "z", "z", "2025-01-01T00:00:00Z"))
     got = spark.read.parquet(out).collect()
     assert [(r.key_identity, r.event_count) for r in got] == [("a", 2)]
+
+
+def test_dead_letters_carry_line_numbers(spark, tmp_path):
+    folder = tmp_path / "raw" / "iam"
+    folder.mkdir(parents=True)
+    good = '{"source_type":"iam","identity":"a","timestamp":1700000000}'
+    (folder / "a.jsonl").write_text(f'{good}\n\n[1]\n{good}\n{{"source_type":"iam"}}\n')
+    out = str(tmp_path / "out")
+    run_preprocessing(jsonl.read_lines(spark, str(folder), number=True), out)
+    letters = [json.loads(r.value) for r in spark.read.text(f"{out}/errors").collect()]
+    assert sorted((x["line_number"], x["stage"], x["error"]) for x in letters) == [
+        (3, "read", "JSONL line is not an object"), (5, "validate", "Missing required field: timestamp")]

@@ -10,6 +10,7 @@ from watchloom.operators.normalize import alias_column, normalize
 from watchloom.operators.parse import classify, dead_letters
 from watchloom.schemas import FIXED_WINDOW_SECONDS, SESSION_GAP_SECONDS, SOURCES
 from watchloom.session import scratch_path
+from watchloom.sources.jsonl import not_blank, number_lines
 from watchloom.sources.sinks import write_jsonl, write_table
 
 OUTPUTS = ("preprocessed", "windows/fixed", "windows/session", "errors")
@@ -73,13 +74,15 @@ def run_preprocessing(
 ) -> DataFrame:
     """Write the four outputs of every source under ``out_dir`` and return the summary.
 
+    Lines from ``read_lines(number=True)`` give dead letters with their line numbers.
+
     Lines are parsed once, into a staged table beside the outputs; everything else reads that
     table, so a lost executor costs only the tasks it held.
     """
     spark = lines.sparkSession
     win.check_seconds("window_seconds", fixed_seconds)
     win.check_seconds("session_gap_seconds", gap_seconds)
-    classified = classify(lines, timestamp_fallback)
+    classified = classify(not_blank(lines), timestamp_fallback)
     staged_path = f"{out_dir}/_staged"
     write_table(classified, f"{staged_path}/lines")
     classified = spark.read.parquet(f"{staged_path}/lines")
@@ -88,7 +91,10 @@ def run_preprocessing(
     write_jsonl(events.drop("ts"), f"{out_dir}/preprocessed", ["ingest_source"])
     write_jsonl(win.nest_fixed_windows(events, fixed_seconds), f"{out_dir}/windows/fixed", ["ingest_source"])
     write_jsonl(win.nest_sessions(events, gap_seconds), f"{out_dir}/windows/session", ["ingest_source"])
-    write_jsonl(dead_letters(classified), f"{out_dir}/errors", ["ingest_source"])
+    failing = classified.filter(F.col("stage").isNotNull())
+    if "_row" in lines.columns:
+        failing = number_lines(lines, failing)
+    write_jsonl(dead_letters(failing), f"{out_dir}/errors", ["ingest_source"])
     staged = classified.select(
         "ingest_source", "stage", "ts",
         alias_column("identity").alias("identity"), alias_column("host").alias("host"),

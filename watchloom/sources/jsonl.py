@@ -45,12 +45,19 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl", number:
             F.monotonically_increasing_id().alias("_row"),
         ]
         return text.select(*columns)
-    return text.select(*columns).filter(F.length(F.btrim("line")) > 0)
+    return not_blank(text.select(*columns))
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
+def not_blank(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.length(F.btrim("line")) > 0)
+
+
+def number_lines(lines: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """1-based physical line numbers, blank lines counted, for ``read_lines(number=True)``.
 
+    ``rows`` are the lines to number, by default all that are not blank; pass only the failing
+    ones to keep the join small.
+
     A file split knows the order of its own lines. Splits are counted, the counts are summed
     over the splits of a file, and each line adds its place in its split: the file is never
     read as a whole.
@@ -62,7 +69,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     offsets = per_block.select(
         "file_path", "_block", "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before")
     )
-    numbered = lines.filter(F.length(F.btrim("line")) > 0).join(offsets, ["file_path", "_block"])
+    numbered = (not_blank(lines) if rows is None else rows).join(offsets, ["file_path", "_block"])
     return numbered.withColumn(
         "line_number", F.col("_before") + F.col("_row") - F.col("_first") + 1
     ).drop("_block", "_row", "_first", "_before")
