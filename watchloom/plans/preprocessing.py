@@ -16,15 +16,19 @@ from watchloom.sources.sinks import write_jsonl, write_table
 OUTPUTS = ("preprocessed", "windows/fixed", "windows/session", "errors")
 
 
-def summary_from_staged(staged: DataFrame, fixed_seconds: int, gap_seconds: int, out_dir: str = "") -> DataFrame:
-    """Counts per source and where its outputs lie; a source without input has a zero row."""
+def summary_from_staged(
+    staged: DataFrame, good: DataFrame, fixed_seconds: int, gap_seconds: int, out_dir: str = ""
+) -> DataFrame:
+    """Counts per source and where its outputs lie; a source without input has a zero row.
+
+    ``staged`` holds the outcome of every line, ``good`` the events with time, identity and host.
+    """
     spark = staged.sparkSession
     counts = staged.groupBy("ingest_source").agg(
         F.count(F.lit(1)).alias("raw_event_count"),
         F.count_if(F.col("stage").isNull()).alias("valid_event_count"),
         F.count_if(F.col("stage").isNotNull()).alias("error_count"),
     )
-    good = staged.filter(F.col("stage").isNull())
     fixed = win.fixed_windows(good, fixed_seconds).groupBy("ingest_source").agg(
         F.count(F.lit(1)).alias("fixed_window_count")
     )
@@ -65,7 +69,8 @@ def run_summary(
 ) -> DataFrame:
     win.check_seconds("window_seconds", fixed_seconds)
     win.check_seconds("session_gap_seconds", gap_seconds)
-    return summary_from_staged(stage_for_summary(lines), fixed_seconds, gap_seconds)
+    staged = stage_for_summary(lines)
+    return summary_from_staged(staged, staged.filter(F.col("stage").isNull()), fixed_seconds, gap_seconds)
 
 
 def run_preprocessing(
@@ -95,8 +100,4 @@ def run_preprocessing(
     if "_row" in lines.columns:
         failing = number_lines(lines, failing)
     write_jsonl(dead_letters(failing), f"{out_dir}/errors", ["ingest_source"])
-    staged = classified.select(
-        "ingest_source", "stage", "ts",
-        alias_column("identity").alias("identity"), alias_column("host").alias("host"),
-    )
-    return summary_from_staged(staged, fixed_seconds, gap_seconds, f"{out_dir}/")
+    return summary_from_staged(classified, events, fixed_seconds, gap_seconds, f"{out_dir}/")

@@ -15,7 +15,7 @@ from watchloom.plans.oracle_parts import EV, TELE, iso
 from watchloom.plans.preprocessing import OUTPUTS, run_preprocessing, run_summary
 from watchloom.plans.registry import query
 from watchloom.schemas import EVENT_FIELDS, SOURCES, STREAM_PREFIX
-from watchloom.session import scratch_path
+from watchloom.session import materialize, scratch_path
 from watchloom.sources import jsonl, log, sinks
 from watchloom.sources.adapter import event_frame, read_table, telemetry_raw
 
@@ -204,7 +204,7 @@ UNION ALL SELECT 'windows/session', ingest_source, sum(starts) FROM (
     ORDER BY ts_us) <= 300000000 THEN 0 ELSE 1 END AS starts FROM good) GROUP BY ALL""")
 def source_outputs(spark, sf):
     path = scratch_path(spark, "run")
-    run_preprocessing(telemetry_raw(spark, sf), path)
+    run_preprocessing(materialize(telemetry_raw(spark, sf), "lines"), path)
     parts = [
         spark.read.text(f"{path}/{name}").groupBy("ingest_source").agg(F.count(F.lit(1)).alias("records"))
         .withColumn("output", F.lit(name))
