@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import lines, pii, url_cascade
+from watchloom.llm import bpe_chunks, lines, pii, quality, token_files, url_cascade
 from watchloom.llm.common import table
+from watchloom.session import scratch_path
 
 #: URL rules (action, host, path start) and the host labels on the block list.
 URL_RULES = [
@@ -16,6 +17,18 @@ URL_RULES = [
 BLOCKED_LABELS = ("casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
+def word_bpe() -> str:
+    """Place of the vocabulary file that the queries encode with; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda x: x["kind"] < 4)
@@ -30,13 +43,26 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.encode_corpus(table(spark, sf_dir, "documents"), word_bpe(), digests=True)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), out, word_bpe(), end_id=1)
+    return token_files.read_digests(spark, out)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     is_listed = lambda host: F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, BLOCKED_LABELS)))
     return url_cascade.filter_urls(pages, URL_RULES, is_listed).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op10_url_filter": op10_url_filter}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_bpe_codec": op6_bpe_codec,
+    "op8_token_files": op8_token_files, "op10_url_filter": op10_url_filter,
+}
 
 ORACLES = {
     "op10_url_filter": """
