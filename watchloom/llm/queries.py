@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import bpe_chunks, lines, pii, quality, token_files, url_cascade
+from watchloom.llm import bpe_chunks, lines, ngram_join, pii, quality, token_files, url_cascade
 from watchloom.llm.common import table
 from watchloom.session import scratch_path
 
@@ -29,6 +29,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda x: x["kind"] < 4)
@@ -60,7 +64,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_quality_rules": op1_quality_rules, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_bpe_codec": op6_bpe_codec,
+    "op1_quality_rules": op1_quality_rules, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_bpe_codec": op6_bpe_codec,
     "op8_token_files": op8_token_files, "op10_url_filter": op10_url_filter,
 }
 
