@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import bpe_chunks, lines, ngram_join, pii, quality, token_files, url_cascade
+from watchloom.llm import bpe_chunks, decontaminate, lines, ngram_join, pii, quality, token_files, url_cascade
 from watchloom.llm.common import table
 from watchloom.session import scratch_path
 
@@ -51,6 +51,11 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_corpus(table(spark, sf_dir, "documents"), word_bpe(), digests=True)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontaminate.mark_contaminated(docs, items).select("doc_id", "contaminated", "n_items")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), out, word_bpe(), end_id=1)
@@ -65,7 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_bpe_codec": op6_bpe_codec,
-    "op8_token_files": op8_token_files, "op10_url_filter": op10_url_filter,
+    "op7_decontamination": op7_decontamination, "op8_token_files": op8_token_files, "op10_url_filter": op10_url_filter,
 }
 
 ORACLES = {
