@@ -36,3 +36,12 @@ def quoted(name: str) -> str:
 def columns(df: DataFrame) -> list[Column]:
     """All columns by name, also those with dots in their names."""
     return [F.col(quoted(c)) for c in df.columns]
+
+
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later expressions read and don't repeat.
+
+    A generator of one row keeps the optimizer from writing the expression into lambdas that use it, where
+    it would be evaluated once for each element.
+    """
+    return df.select("*", F.explode(F.array(F.struct(value.alias("v")))).alias(name)).withColumn(name, F.col(f"{quoted(name)}.v"))

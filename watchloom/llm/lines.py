@@ -15,23 +15,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import columns, fresh, order_id, quoted
+from watchloom.llm.common import computed, fresh, order_id, quoted
 
 WINDOW = 3
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def _hashed_windows(lines: Column) -> Column:
-    """For each window of the counted lines: two hashes, its place and its lines' positions in the text."""
-    counted = F.filter(
+def _counted(lines: Column) -> Column:
+    """Position and two hashes of each line that counts."""
+    return F.filter(
         F.transform(lines, lambda line, i: F.struct(i.alias("at"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"), F.rlike(line, F.lit(_WORD)).alias("ok"))),
         lambda x: x["ok"],
     )
-    counted = F.transform(counted, lambda x: F.struct(x["at"].alias("at"), x["a"].alias("a"), x["b"].alias("b")))
-    return counted
 
 
 def _windows(counted: Column) -> Column:
+    """For each window of the counted lines: two hashes, its place and its lines' positions in the text."""
+
     def one(first: Column, n: Column) -> Column:
         part = F.slice(counted, first + 1, n)
         return F.struct(
@@ -55,19 +55,20 @@ def remove_repeated_lines(df: DataFrame, id_column: str = "doc_id", text: str =
     base = df.select(*(F.col(quoted(c)) for c in df.columns if c.lower() not in own))
     key, mark, gone, counted = (fresh(base, n) for n in ("row_id", "row_text", "row_gone", "row_lines"))
     rows = base.withColumns({key: order_id(quoted(id_column)), mark: F.xxhash64(F.col(quoted(text)))})
-    windows = (
-        rows.select(key, mark, _hashed_windows(F.split(F.col(quoted(text)), "\n", -1)).alias(counted))
-        .select(key, mark, _windows(F.col(counted)).alias("w")).select(key, mark, F.inline("w"))
-    )
+    lines = F.split(F.col(quoted(text)), "\n", -1)
+    windows = computed(rows.select(key, mark, lines.alias(counted)), "w", _counted(F.col(counted)))
+    windows = windows.select(key, mark, _windows(F.col("w")).alias("w")).select(key, mark, F.inline("w"))
     order = F.struct(key, "place", mark)
     firsts = windows.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     covered = (
         windows.join(firsts, ["a", "b"]).filter(order != F.col("first"))
         .groupBy(key, mark).agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias(gone))
     )
-    lines = F.split(F.col(quoted(text)), "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col(gone), i))
     joined = rows.join(covered, [key, mark], "left")
+    cut = fresh(joined, "row_cut")
+    joined = computed(joined, cut, F.when(F.col(gone).isNotNull(), lines))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(gone))
+    kept = F.transform(stay, lambda i: F.get(F.col(cut), i))
     n_lines = F.coalesce(F.size(F.filter(lines, lambda line: F.rlike(line, F.lit(_WORD)))), F.lit(0))
     return joined.select(
         *(F.when(F.col(gone).isNull(), F.col(quoted(c))).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(quoted(c)) for c in base.columns),
