@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import fresh, order_id, quoted
+from watchloom.llm.common import computed, fresh, order_id, quoted
 from watchloom.session import materialize
 
 WINDOW, LEAST = 8, 5
@@ -71,8 +71,9 @@ def _windows(hashes: Column, width: int) -> Column:
 
 def item_windows(items: DataFrame, id_column: str = "item_id", text: str = "text") -> DataFrame:
     """``item_id``, ``width``, ``place`` and ``hash`` of every window, with the item's number of distinct ones."""
-    words = items.select(order_id(quoted(id_column)).alias("item_id"), template_words(F.col(quoted(text))).alias("words")).filter(F.size("words") >= LEAST)
-    hashed = words.select("item_id", F.transform(_template(F.col("words")), lambda w: F.xxhash64(w)).alias("h"))
+    own = items.select(order_id(quoted(id_column)).alias("item_id"), F.col(quoted(text)).alias("body"))
+    words = computed(own, "words", template_words(F.col("body"))).filter(F.size("words") >= LEAST)
+    hashed = computed(words, "h", F.transform(_template(F.col("words")), lambda w: F.xxhash64(w)))
     parts = [
         hashed.filter(F.size("h") >= WINDOW if width == WINDOW else F.size("h") == width)
         .select("item_id", F.lit(width).alias("width"), F.posexplode(_windows(F.col("h"), width)).alias("place", "hash"))
@@ -95,9 +96,8 @@ def find_contamination(df: DataFrame, items: DataFrame, id_column: str = "doc_id
     small = windows.count() <= MAX_BROADCAST
     body = F.col(quoted(text))
     rows = df.select(order_id(quoted(id_column)).alias("row_id"), F.xxhash64(body).alias("row_text"), body.alias("body"))
-    hashed = rows.select("row_id", "row_text", template_words(F.col("body")).alias("words")).select(
-        "row_id", "row_text", F.transform(_template(F.col("words")), lambda w: F.xxhash64(w)).alias("h")
-    )
+    words = computed(rows, "words", template_words(F.col("body"))).select("row_id", "row_text", "words")
+    hashed = computed(words, "h", F.transform(_template(F.col("words")), lambda w: F.xxhash64(w)))
     lists = [F.transform(_windows(F.col("h"), w), lambda x, i: F.struct(i.alias("at"), x.alias("hash"))) for w in sorted(widths)]
     every = lists[0] if len(lists) == 1 else F.concat(*lists) if lists else F.array().cast("array<struct<at:int,hash:bigint>>")
     seen = hashed.select("row_id", "row_text", F.inline(every))
@@ -119,9 +119,9 @@ def find_contamination(df: DataFrame, items: DataFrame, id_column: str = "doc_id
 def _consistent(likely: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
     """Keeps the pairs whose slots agree; only texts of documents with a likely pair are read again."""
     texts = rows.join(likely.select("row_id", "row_text").distinct(), ["row_id", "row_text"], "left_semi").dropDuplicates(["row_id", "row_text"])
-    words = texts.select("row_id", "row_text", template_words(F.col("body")).alias("own"))
-    theirs = items.groupBy("item_id").agg(F.min("item_text").alias("item_text")).select("item_id", template_words(F.col("item_text")).alias("theirs"))
-    theirs = theirs.withColumn("slots", _template(F.col("theirs")))
+    words = computed(texts, "own", template_words(F.col("body"))).select("row_id", "row_text", "own")
+    theirs = computed(items.groupBy("item_id").agg(F.min("item_text").alias("item_text")), "theirs", template_words(F.col("item_text")))
+    theirs = computed(theirs, "slots", _template(F.col("theirs"))).select("item_id", "theirs", "slots")
     pairs = likely.join(words, ["row_id", "row_text"]).join(theirs, "item_id")
     slot = pairs.select(
         "row_id", "row_text", "item_id",
