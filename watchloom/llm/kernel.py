@@ -150,3 +150,14 @@ def slices(batch: pa.RecordBatch, column: str, size: int):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as byte planes: the high bytes of sorted or small numbers compress to nothing in a shuffle."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes()
+
+
+def numbers(raw: bytes, kind) -> np.ndarray:
+    """The numbers of byte planes."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import bpe_chunks, decontaminate, lines, ngram_join, pii, quality, token_files, url_cascade
+from watchloom.llm import bpe_chunks, decontaminate, lines, lm, ngram_join, passages, pii, quality, token_files, url_cascade
 from watchloom.llm.common import table
 from watchloom.session import scratch_path
 
@@ -29,6 +29,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.mark_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_repeated", "n_copies", "component_id", "spans")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -62,6 +67,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, out)
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     is_listed = lambda host: F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, BLOCKED_LABELS)))
@@ -69,8 +78,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_quality_rules": op1_quality_rules, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_bpe_codec": op6_bpe_codec,
-    "op7_decontamination": op7_decontamination, "op8_token_files": op8_token_files, "op10_url_filter": op10_url_filter,
+    "op1_quality_rules": op1_quality_rules, "op2_passages": op2_passages, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_bpe_codec": op6_bpe_codec,
+    "op7_decontamination": op7_decontamination, "op8_token_files": op8_token_files, "op9_lm_scores": op9_lm_scores, "op10_url_filter": op10_url_filter,
 }
 
 ORACLES = {
