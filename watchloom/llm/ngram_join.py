@@ -7,7 +7,9 @@
 2. Shingles are ordered from rare to frequent. Two sets of similarity ``t`` share ``l`` of their first
    ``n - ceil(t n) + l`` shingles, for every ``l``. Each document picks its ``l`` by estimated cost: a longer
    prefix reads more postings but asks for more shared ones before a pair is verified. A pair is a candidate
-   if it shares as many prefix shingles as the smaller of its two levels.
+   if it shares as many prefix shingles as the smaller of its two levels. As the smaller set of a pair has six
+   sevenths in common with the other, its part of these shingles lies in a shorter prefix still, so two sets
+   whose rare shingles differ never meet in the list of a hot one.
 3. Copies and large groups: sets that are equal are one node. Each posting list first links its nodes to a few
    picked ones of the list, and verified links are merged to components. Only nodes of different components
    that share enough prefix shingles remain, and all of these pairs are verified. So a group of copies costs a
@@ -31,23 +33,14 @@ from pyspark.sql import functions as F
 from watchloom.llm import kernel
 from watchloom.llm.common import columns, fresh, order_id, quoted, shown_id
 from watchloom.llm.components import connected_components
+from watchloom.llm.kernel import numbers, planes
 from watchloom.session import materialize
 
 WIDTH = 5
 SLICE, BUCKET = 4 << 20, 8 << 20  # bytes of text in a shard, and behind a bucket
 HEAVY = 16  # a shingle in so many sets of a shard keeps its list in the shard
 LEVELS, VERIFY = 8, 4.0
-SALTS, ROUNDS = 8, 3
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Byte planes: the high bytes of sorted or small numbers compress to nothing in the shuffle."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes()
-
-
-def _numbers(raw, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+SALTS = 8
 
 
 def signatures(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,12 +81,12 @@ def _sent(bits: int):
                 each = np.repeat(heavy, count)
                 marks, n = marks[first], n[first].astype(np.uint32)
                 shard = int(np.bitwise_xor.reduce(kernel.mix(marks + np.arange(len(marks), dtype=np.uint64)))) >> 1
-                out = [(-1 - shard, shard, _planes(marks), _planes(n), _planes(known[heavy]), _planes(count[heavy]), _planes(docs[each]))]
+                out = [(-1 - shard, shard, planes(marks), planes(n), planes(known[heavy]), planes(count[heavy]), planes(docs[each]))]
                 cuts = np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(known)]
                 light, before = docs[~each], np.concatenate([[0], np.cumsum(np.where(heavy, 0, count), dtype=np.int64)])
                 for bucket, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     if i < j:
-                        out.append((bucket, shard, _planes(known[i:j]), _planes(count[i:j]), _planes(light[before[i] : before[j]]), b"", b""))
+                        out.append((bucket, shard, planes(known[i:j]), planes(count[i:j]), planes(light[before[i] : before[j]]), b"", b""))
                 yield pa.RecordBatch.from_pylist([dict(zip("key shard a b c d e".split(), r, strict=True)) for r in out], _schema(_SENT))
 
     return run
@@ -110,7 +103,7 @@ def _counted(group: pa.Table) -> pa.Table:
     if rows[0]["key"] < 0:
         out = [{"shard": r["shard"], "kind": 0, **{x: r[x] for x in "abcde"}} for r in rows]
         return pa.Table.from_pylist(out, _schema(_BACK))
-    known, counts = [_numbers(r["a"], np.uint64) for r in rows], [_numbers(r["b"], np.uint32) for r in rows]
+    known, counts = [numbers(r["a"], np.uint64) for r in rows], [numbers(r["b"], np.uint32) for r in rows]
     _, back = np.unique(np.concatenate(known), return_inverse=True)
     sets = np.bincount(back, np.concatenate(counts)).astype(np.int64)[back]
     out, at = [], 0
@@ -120,29 +113,29 @@ def _counted(group: pa.Table) -> pa.Table:
         shared = own > 1
         if shared.any():
             listed = np.repeat(shared, np.where(c >= HEAVY, 0, c))
-            docs = _numbers(r["c"], np.uint32)[listed]
+            docs = numbers(r["c"], np.uint32)[listed]
             frequency = np.minimum(own[shared], 2**32 - 1).astype(np.uint32)
-            out.append({"shard": r["shard"], "kind": 1, "a": _planes(h[shared]), "b": _planes(c[shared]), "c": _planes(docs), "d": _planes(frequency), "e": b""})
+            out.append({"shard": r["shard"], "kind": 1, "a": planes(h[shared]), "b": planes(c[shared]), "c": planes(docs), "d": planes(frequency), "e": b""})
     return pa.Table.from_pylist(out, _schema(_BACK))
 
 
-_NODE = "node long, n int, tokens array<long>, prefix int, level int"
+_NODE = "node long, n int, tokens array<long>, prefix int, short int, level int"
 
 
 def _nodes(group: pa.Table) -> pa.Table:
     """A shard's sets that could have a partner: shared shingles from rare to frequent, prefix and level."""
     rows = group.to_pylist()
     own = next(r for r in rows if r["kind"] == 0)
-    marks, n = _numbers(own["a"], np.uint64), _numbers(own["b"], np.uint32).astype(np.int64)
-    heavy, sizes, lists = _numbers(own["c"], np.uint64), _numbers(own["d"], np.uint32), _numbers(own["e"], np.uint32)
+    marks, n = numbers(own["a"], np.uint64), numbers(own["b"], np.uint32).astype(np.int64)
+    heavy, sizes, lists = numbers(own["c"], np.uint64), numbers(own["d"], np.uint32), numbers(own["e"], np.uint32)
     begin = np.cumsum(sizes, dtype=np.int64) - sizes
     hashes, docs, often = [], [], []
     for r in rows:
         if r["kind"]:
-            h, c, f = _numbers(r["a"], np.uint64), _numbers(r["b"], np.uint32), _numbers(r["d"], np.uint32)
+            h, c, f = numbers(r["a"], np.uint64), numbers(r["b"], np.uint32), numbers(r["d"], np.uint32)
             big = c >= HEAVY
             light = np.where(big, 0, c)
-            hashes.append(np.repeat(h, light)), docs.append(_numbers(r["c"], np.uint32)), often.append(np.repeat(f, light))
+            hashes.append(np.repeat(h, light)), docs.append(numbers(r["c"], np.uint32)), often.append(np.repeat(f, light))
             for k in np.flatnonzero(big).tolist():
                 at = int(np.searchsorted(heavy, h[k]))
                 part = lists[begin[at] : begin[at] + sizes[at]]
@@ -168,11 +161,14 @@ def _nodes(group: pa.Table) -> pa.Table:
         better = (cost < best) & (k <= need)
         best, level, prefix = np.where(better, cost, best), np.where(better, k, level), np.where(better, width, prefix)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(hashes.view(np.int64)))
-    return pa.Table.from_arrays([pa.array(marks.view(np.int64)), pa.array(n.astype(np.int32)), lists, pa.array(prefix.astype(np.int32)), pa.array(level.astype(np.int32))], schema=_node_schema())
+    # In the smaller set of a pair, which has six sevenths in common, the same number of matches ends earlier.
+    short = np.clip(shared - (6 * n + 6) // 7 + level, 0, prefix)
+    extra = (pa.array(x.astype(np.int32)) for x in (prefix, short, level))
+    return pa.Table.from_arrays([pa.array(marks.view(np.int64)), pa.array(n.astype(np.int32)), lists, *extra], schema=_node_schema())
 
 
 def _node_schema() -> pa.Schema:
-    return pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("prefix", pa.int32()), ("level", pa.int32())])
+    return pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("prefix", pa.int32()), ("short", pa.int32()), ("level", pa.int32())])
 
 
 def _marked(batches):
@@ -189,42 +185,48 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return whole.filter(7 * F.size(F.array_intersect("t_u", "t_v")) >= 3 * (F.col("n_u") + F.col("n_v"))).select("u", "v")
 
 
-def _similar_size(a: str, b: str):
-    return (4 * F.least(a, b)) >= (3 * F.greatest(a, b))
+def _possible(n_a: str, s_a: str, n_b: str, s_b: str):
+    """Whether sets of these sizes, with so many shingles that others have, can be similar enough."""
+    return 7 * F.least(s_a, s_b) >= 3 * (F.col(n_a) + F.col(n_b))
 
 
 def _ordered_pair(a: str, b: str):
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
 
-def _star_links(postings: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """Verified links of every node to the picked nodes of its posting lists that are in other components."""
-    salted = F.xxhash64("node", F.pmod("token", F.lit(SALTS)) + turn * SALTS)
-    picked = postings.groupBy("token").agg(F.min(F.struct(salted.alias("h"), F.col("node").alias("w"), F.col("n").alias("n_w"), F.col("part").alias("part_w"))).alias("p"), F.count("*").alias("c"))
-    picked = picked.filter("c > 1").select("token", "p.w", "p.n_w", "p.part_w")
-    pairs = postings.join(picked, "token").filter((F.col("part") != F.col("part_w")) & _similar_size("n", "n_w"))
+def _star_links(postings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Verified links of every node to the picked nodes of its posting lists.
+
+    Nodes with few shingles of their own are picked first, the least edited ones of a group of copies.
+    """
+    salted = F.xxhash64("node", F.pmod("token", F.lit(SALTS)))
+    own = F.floor(32 * (F.col("n") - F.col("s")) / F.col("n"))
+    best = F.min(F.struct(own.alias("o"), salted.alias("h"), F.col("node").alias("w"), F.col("n").alias("n_w"), F.col("s").alias("s_w"), F.col("part").alias("part_w")))
+    picked = postings.filter("short").groupBy("token").agg(best.alias("p")).select("token", "p.w", "p.n_w", "p.s_w", "p.part_w")
+    pairs = postings.join(picked, "token").filter((F.col("part") != F.col("part_w")) & _possible("n", "s", "n_w", "s_w"))
     return _verified(pairs.select(*_ordered_pair("node", "w")).distinct(), nodes)
 
 
 def _rest_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that share enough prefix shingles."""
-    parts = postings.select("token", "part").distinct()
-    across = parts.alias("x").join(parts.withColumnRenamed("part", "other").alias("y"), "token").filter("part < other")
-    left = across.join(postings, ["token", "part"])
-    right = postings.select("token", F.col("part").alias("other"), F.col("node").alias("w"), F.col("n").alias("n_w"), F.col("level").alias("level_w"))
-    pairs = left.join(right, ["token", "other"]).filter(_similar_size("n", "n_w"))
-    return pairs.groupBy(*_ordered_pair("node", "w")).agg(F.count("*").alias("c"), F.min(F.least("level", "level_w")).alias("l")).filter("c >= l").select("u", "v")
+    """Pairs of nodes of different components that share enough prefix shingles.
+
+    Of a pair, the smaller set's shingles are in its short prefix, the other's in its whole prefix.
+    """
+    small = postings.filter("short").select("token", *(F.col(c).alias(f"{c}_w") for c in ("part", "node", "n", "s", "level", "rank")))
+    once = (F.col("n_w") < F.col("n")) | (F.col("n_w") == F.col("n")) & (~F.col("short") | (F.col("node_w") < F.col("node")))
+    # As both sizes are known here, so is the overlap they need, and with it how early the matches must lie.
+    spare = F.least("level", "level_w") - F.floor((3 * (F.col("n") + F.col("n_w")) + 6) / 7)
+    early = (F.col("rank") < F.col("s") + spare) & (F.col("rank_w") < F.col("s_w") + spare)
+    pairs = postings.join(small, "token").filter((F.col("part") != F.col("part_w")) & once & _possible("n", "s", "n_w", "s_w") & early)
+    return pairs.groupBy(*_ordered_pair("node", "node_w")).agg(F.count("*").alias("c"), F.min(F.least("level", "level_w")).alias("l")).filter("c >= l").select("u", "v")
 
 
-def _with_parts(postings: DataFrame, parts: DataFrame | None) -> DataFrame:
+def _open_lists(postings: DataFrame, parts: DataFrame) -> DataFrame:
     """Postings with their node's component, of the lists that still span more than one."""
-    if parts is None:
-        own = postings.withColumn("part", F.col("node"))
-    else:
-        found = parts.select("node", F.col("component").alias("found"))
-        own = postings.join(found, "node", "left").withColumn("part", F.coalesce("found", "node")).drop("found")
-    open_ = own.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
-    return materialize(own.join(open_, "token"), "postings")
+    found = parts.select("node", F.col("component").alias("found"))
+    own = postings.join(found, "node", "left").withColumn("part", F.coalesce("found", "node")).drop("found")
+    spans = own.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("short").alias("any"))
+    return own.join(spans.filter("low < high AND any").select("token"), "token")
 
 
 def links(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -233,27 +235,17 @@ def links(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, int(size // BUCKET).bit_length())
     back = materialize(rows.mapInArrow(_sent(bits), _SENT).groupBy("key").applyInArrow(_counted, _BACK), "shared-shingles")
-    found = back.groupBy("shard").applyInArrow(_nodes, _NODE).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "prefix", "level")))
+    found = back.groupBy("shard").applyInArrow(_nodes, _NODE).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "prefix", "short", "level")))
     nodes = materialize(found, "nodes")
-    postings = nodes.select("node", "n", "level", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
-    edges = parts = None
-    for turn in range(ROUNDS):
-        left = _with_parts(postings, parts)
-        lists = left.groupBy("token").count().agg(F.sum("count"), F.sum(F.expr("count * (count - 1) div 2"))).first()
-        if not lists[0] or turn and lists[1] <= 8 * lists[0]:
-            break
-        more = materialize(_star_links(left, nodes, turn), "links")
-        edges = more if edges is None else edges.union(more)
-        parts = connected_components(edges if parts is None else more.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-    else:
-        left = _with_parts(postings, parts)
-    if edges is None:
-        none = nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).filter("false")
-        return none, none.toDF("node", "component")
-    rest = materialize(_verified(_rest_pairs(left), nodes), "links")
-    edges = edges.union(rest)
-    parts = connected_components(rest.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-    return edges, parts
+    postings = nodes.select("node", "n", F.size("tokens").alias("s"), "level", "short", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("rank", "token"))
+    postings = postings.select("node", "n", "s", "level", "rank", (F.col("rank") < F.col("short")).alias("short"), "token")
+    lists = postings.groupBy("token").agg(F.count("*").alias("c"), F.max("short").alias("any")).filter("c > 1 AND any").select("token")
+    edges = materialize(_star_links(postings.join(lists, "token").withColumn("part", F.col("node")), nodes), "links")
+    parts = connected_components(edges)
+    rest = materialize(_verified(_rest_pairs(_open_lists(postings, parts)), nodes), "links")
+    if rest.limit(1).count():
+        parts = connected_components(rest.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    return edges.union(rest), parts
 
 
 def _classes(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
