@@ -7,8 +7,9 @@ it rejects more than its share of good documents (the one-sided exact upper boun
 Testing stops at the first cutoff that fails, so a rule's whole chain costs one test; the level is divided
 by the number of rules and strata. The rules share the allowed rate, so all rules together reject at most
 ``MAX_REJECTED`` of a stratum's good documents, in all strata at once with probability ``1 - ERROR``. Of the
-certified cutoffs the laxest that still finds nearly all bad documents the strictest finds is used, if it
-finds bad documents many times more often than good ones.
+certified cutoffs the laxest that still finds nearly all bad documents the strictest finds is used, or a
+stricter one that finds more and rejects no more good ones, if it finds bad documents many times more often
+than good ones.
 
 Base checks come first and are not subject to this: fewer than ``MIN_WORDS`` words, or more than a fifth of
 the words inside five-word windows found twice.
@@ -147,6 +148,7 @@ def choose(good: int, bad: int, rejected: list[int], found: list[int], rate: flo
     if not certified or not found[certified - 1]:
         return None
     at = next(i for i in range(certified) if found[i] >= NEARLY * found[certified - 1])
+    at = max((i for i in range(at, certified) if rejected[i] == rejected[at]), key=lambda i: (found[i], -i))
     return at if found[at] * good >= LIFT * rejected[at] * bad else None
 
 
