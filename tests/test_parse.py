@@ -30,6 +30,15 @@ DIRTY = [
     ('{"a": 1} trailing', "read", "Invalid JSON"),
     ('{"a": 1}} x', "read", "Invalid JSON"),
     ("{'a': 1}", "read", "Invalid JSON"),
+    (json.dumps({"source_type": "iam", **OK}) + ',"x":2', "read", "Invalid JSON"),
+    (json.dumps({"source_type": "iam", **OK}) + ' , "x":{}', "read", "Invalid JSON"),
+    (json.dumps({"source_type": "iam", **OK}) + "],[{}", "read", "Invalid JSON"),
+    ('1,"~value":' + json.dumps({"source_type": "iam", **OK}), "read", "Invalid JSON"),
+    ('[],"~value":' + json.dumps({"source_type": "iam", **OK}), "read", "Invalid JSON"),
+    (json.dumps({"source_type": "iam", **OK})[:-1] + ',"x":NaN}', "read", "Invalid JSON"),
+    (envelope(json.dumps(OK) + ',"zz":{}'), "parse", "Invalid JSON payload"),
+    (envelope(json.dumps(OK)[:-1] + ',"x":NaN}'), "parse", "Invalid JSON payload"),
+    (json.dumps({"source_type": "iam", **OK, "x": {"a": 1}, "y": '} , "'}), None, None),
     (envelope(""), "parse", "Empty raw payload"),
     (envelope("  "), "parse", "Empty raw payload"),
     (envelope("[1]"), "parse", "JSON payload must be an object"),
@@ -208,7 +217,7 @@ def test_text_is_parsed_once_below_the_filter(spark, sf_dir):
     from watchloom.sources.adapter import telemetry_raw
 
     plan = normalize_lines(telemetry_raw(spark, sf_dir)).select("event_id", "ts")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("from_json") == 2
+    assert plan.count("from_json") == 4  # two typed reads, and two list reads for texts that could go on
     assert "parseJson" not in plan.split("Generate")[1]
 
 

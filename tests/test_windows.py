@@ -92,25 +92,30 @@ def test_session_events_keep_every_event_when_keys_are_split(spark, hot_rows):
     assert all(r.n == r.d for r in got.collect())
 
 
-@pytest.mark.parametrize("max_items, hot_rows", [(4, 16), (16, 64), (10_000, 1_000_000)])
-def test_nested_windows_are_whole_and_ordered(spark, max_items, hot_rows):
-    df = frame(spark, skewed())
-    item = F.struct("event_id", F.unix_micros("ts").alias("us"))
-    nested = win.nest_fixed_windows(df, 600, item=item, max_items=max_items, hot_rows=hot_rows).collect()
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_members_are_whole_and_ordered_for_any_layout(spark, partitions):
+    df = frame(spark, skewed()).repartition(partitions)
+    members = win.fixed_window_members(df, 600).select("window_id", "event_count", "position", "event_id").collect()
     by_window = defaultdict(list)
-    for r in sorted(nested, key=lambda r: (r.window_id, r.chunk)):
-        assert len(r.events) <= max_items
-        by_window[r.window_id] += [(e.us, e.event_id) for e in r.events]
+    for r in members:
+        by_window[r.window_id].append((r.position, r.event_id, r.event_count))
     want = defaultdict(list)
     for r in df.select("event_id", F.unix_micros("ts").alias("us")).collect():
         start = datetime.fromtimestamp(r.us // 600_000_000 * 600, tz=timezone.utc)
         want[f"fixed_{start:%Y%m%dT%H%M%SZ}_600s"].append((r.us, r.event_id))
-    assert by_window == {k: sorted(v) for k, v in want.items()}
-
-
-def test_short_window_is_one_record(spark):
-    nested = win.nest_fixed_windows(frame(spark, [("a", "h", s) for s in (3, 1, 2)]), 60, item=F.col("event_id")).collect()
-    assert [(r.chunk, r.events) for r in nested] == [(0, ["e00001", "e00002", "e00000"])]
+    got = {k: sorted(v) for k, v in by_window.items()}
+    assert got == {k: [(i, e, len(v)) for i, (_, e) in enumerate(sorted(v))] for k, v in want.items()}
+
+
+@pytest.mark.parametrize("hot_rows", [10, 10**9])
+def test_a_window_of_60000_events_is_one_window(spark, hot_rows):
+    df = frame(spark, [("a", "h", 0.001 * k) for k in range(60_000)])
+    for members in (win.fixed_window_members(df, 600), win.session_members(df, 300, hot_rows=hot_rows)):
+        r = members.agg(
+            F.count_distinct("window_id").alias("w"), F.min("event_count").alias("low"), F.max("event_count").alias("high"),
+            F.count_distinct("position").alias("p"), F.max("position").alias("last"),
+        ).first()
+        assert tuple(r) == (1, 60_000, 60_000, 60_000, 59_999)
 
 
 @pytest.mark.parametrize("hot_rows", [5, 1_000_000])

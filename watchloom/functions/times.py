@@ -15,23 +15,23 @@ _MIN_SECOND, _MAX_SECOND = -62135596800, 253402300799
 _PLAIN = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?)?$"
 )
-# Date, separator, hour, minute, second, fraction, zone - extended or basic spelling.
+# Date, separator, time, zone; date, time and zone each in extended or basic spelling throughout.
 _LOOSE = (
-    r"^(\d{4})-?(\d{2})-?(\d{2})"
-    r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
-    r"(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+    r"^(?:(\d{4})-(\d{2})-(\d{2})|(\d{4})(\d{2})(\d{2}))"
+    r"(?:.(?:(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?)?|(\d{2})(\d{2})(?:(\d{2})(?:[.,](\d{1,6})\d*)?)?)"
+    r"(Z|[+-]\d{2}(?::\d{2}(?::\d{2})?|\d{4}|\d{2})?)?)?$"
 )
 
 
 # Applied in order to "date T hour:minute:second.fraction Z zone" with parts missing.
 _FILL = (
     ("T:", "T00:"), ("::", ":00:"), (":\\.", ":00."), ("\\.Z", ".0Z"),
-    ("ZZ$", "Z"), ("Z([+-]\\d{2}):?(\\d{2})?$", "$1:$2"), (":$", ":00"),
+    ("ZZ$", "Z"), ("Z([+-]\\d{2}):?(\\d{2})?:?(\\d{2})?$", "$1:$2:$3"), ("::$", ":00"), ("(\\d):$", "$1"),
 )
 
 
 def _loose_to_plain(text: Column) -> Column:
-    plain = F.regexp_replace(text, _LOOSE, "$1-$2-$3T$4:$5:$6.$7Z$8")
+    plain = F.regexp_replace(text, _LOOSE, "$1$4-$2$5-$3$6T$7$11:$8$12:$9$13.$10$14Z$15")
     for pattern, replacement in _FILL:
         plain = F.regexp_replace(plain, pattern, replacement)
     return plain

@@ -9,20 +9,36 @@ from pyspark.sql import types as T
 from watchloom.functions.text import strip
 
 _VALUE, _END = "~value", "~end"
-_STRICT = {"allowSingleQuotes": "false"}
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_ONLY_END = T.StructType([T.StructField(_END, T.IntegerType())])
+
+
+def _wrapped(bare: Column) -> Column:
+    return F.concat(F.lit(f'{{"{_VALUE}":'), bare, F.lit(f',"{_END}":1}}'))
+
+
+def _single(bare: Column) -> Column:
+    """Whether a text that fits as a member's value fits as the only element of a list too.
+
+    Inside an object a text may go on with more members, inside a list with more elements; only one value
+    fits both. The list is read only where the text could go on: a closing brace, then a comma and a quote,
+    or a value that is no object.
+    """
+    could_go_on = ~bare.startswith("{") | bare.rlike(r"\}\s*,\s*\"")
+    as_list = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>", _STRICT)
+    return F.when(could_go_on, F.size(as_list) == 1).otherwise(True)
 
 
 def parse_keys(text: Column, keys: T.StructType) -> Column:
     """Parse the known ``keys`` of one JSON text -> struct(``~value``, ``~end``).
 
     The text is set into ``{"~value": text, "~end": 1}``. A JSON reader stops at the end of the
-    first complete value, so ``~end`` is NULL unless the text was exactly one value;
-    ``~value`` is NULL unless that value is an object.
+    first complete value, so ``~end`` is NULL unless the text fits there, and both are NULL unless it is
+    exactly one value; ``~value`` is NULL unless that value is an object. NaN and infinities are no JSON.
     """
     wrapper = T.StructType([T.StructField(_VALUE, keys), T.StructField(_END, T.IntegerType())])
     bare = F.when(text.startswith("{") & text.endswith("}"), text).otherwise(strip(text))
-    wrapped = F.concat(F.lit(f'{{"{_VALUE}":'), bare, F.lit(f',"{_END}":1}}'))
-    return F.from_json(wrapped, wrapper, _STRICT)
+    return F.when(_single(bare), F.from_json(_wrapped(bare), wrapper, _STRICT))
 
 
 def parsed_value(parsed: Column) -> Column:
@@ -38,6 +54,13 @@ def parse_object(text: Column) -> Column:
     return F.try_parse_json(strip(text))
 
 
+def decode_object(text: Column) -> Column:
+    """Any text -> VARIANT of the object it holds; NULL unless it is exactly one JSON object."""
+    bare = strip(text)
+    whole = F.from_json(_wrapped(bare), _ONLY_END, _STRICT).getField(_END).isNotNull() & _single(bare)
+    return F.when(whole & bare.startswith("{"), F.try_parse_json(bare))
+
+
 def type_of(value: Column) -> Column:
     """VARIANT type name, ``VOID`` for JSON null, NULL where the key is absent."""
     return F.schema_of_variant(value)

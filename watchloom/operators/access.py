@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.functions.times import elapsed_ms
-from watchloom.operators.skew import HOT_ROWS, MAX_ITEMS, nest_ordered
+from watchloom.operators.skew import positions
 
 # Rows up to which a registry is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -46,6 +46,13 @@ def role_token(calls: DataFrame, identities: DataFrame) -> DataFrame:
     return calls.join(small(identities.select("identity", "token", "role")), "identity")
 
 
+def secret_value(calls: DataFrame, secrets: DataFrame, path: str = "secret_path") -> DataFrame:
+    """``value`` of the asked secret for calls that succeed; NULL for all others."""
+    values = small(secrets.select(F.col("path").alias(path), F.col("value").alias("_value")))
+    joined = calls.join(values, path, "left")
+    return joined.withColumn("value", F.when(F.col("success"), F.col("_value"))).drop("_value")
+
+
 def call_latency(messages: DataFrame, call_id: str, is_request: Column) -> DataFrame:
     """Request and response of each call -> latency in ms, two places; one pass, no self-join."""
     return messages.groupBy(call_id).agg(
@@ -73,10 +80,20 @@ def generate_telemetry(calls: DataFrame) -> DataFrame:
     )
 
 
-def chat_telemetry(
-    turns: DataFrame, chat_id: str, turn: str, max_items: int = MAX_ITEMS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Turns of a chat -> message list as JSON text, in turn order (chunks for endless chats)."""
-    message = F.struct(F.col("role").alias("role"), F.col("text").alias("content"))
-    nested = nest_ordered(turns, [chat_id], [turn], message, max_items, hot_rows)
-    return nested.select(chat_id, "chunk", F.size("items").alias("messages"), F.to_json("items").alias("prompt"))
+def chat_telemetry(turns: DataFrame, chat_id: str, turn: str, calls: DataFrame | None = None) -> DataFrame:
+    """The messages of each chat call in turn order, and what the call carries.
+
+    One row a message: ``position``, ``role``, ``content`` and the chat's ``messages``. ``response`` is the
+    text of the chat's last turn where that is the model's. ``calls`` adds ``identity``, ``model``,
+    ``latency_ms``, ``source_ip`` and ``response_body`` by chat; a body there is the response instead.
+    """
+    columns = turns.select(F.col(chat_id), F.col(turn), F.col("role"), F.col("text").alias("content"))
+    numbered = positions(columns, [chat_id], [turn], "messages")
+    last = F.max_by(F.struct("role", F.col("text").alias("said")), turn)
+    ends = turns.groupBy(chat_id).agg(last.alias("_last")).select(
+        chat_id, F.when(F.col("_last.role") == "assistant", F.col("_last.said")).alias("response")
+    )
+    if calls is not None:
+        ends = ends.join(calls, chat_id, "left")
+        ends = ends.withColumn("response", F.coalesce(response_text(F.col("response_body")), "response")).drop("response_body")
+    return numbered.join(ends, chat_id)

@@ -9,8 +9,6 @@ from watchloom.session import checkpoint, materialize
 
 # Rows of one key that may meet in one task.
 HOT_ROWS = 1_000_000
-# Items collected into one array.
-MAX_ITEMS = 10_000
 
 
 def hot_keys(counts: DataFrame, keys: list[str], n: str, hot_rows: int) -> DataFrame:
@@ -46,45 +44,24 @@ def attach(
     return dealt.join(repeated, [*keys, "_part"]).drop("_part")
 
 
-def nest_ordered(
-    members: DataFrame,
-    keys: list[str],
-    order: list[str],
-    item: Column,
-    max_items: int = MAX_ITEMS,
-    hot_rows: int = HOT_ROWS,
-    counts: DataFrame | None = None,
-) -> DataFrame:
-    """Members of each key as ordered arrays: ``(keys, chunk, items)``.
+def positions(members: DataFrame, keys: list[str], order: list[str], total: str = "event_count") -> DataFrame:
+    """Members with ``position``, their place in their key's order from 0, and the key's member count.
 
-    A key with up to ``max_items`` members gives one array (chunk 0). A longer one gives
-    several, in chunk order; nothing is dropped. Up to ``hot_rows`` members are numbered within
-    the key; a hotter key is range-sorted over many tasks and cut into runs of ``max_items``.
-    ``counts`` gives the number of members per key as ``_n`` where it is already known.
+    Members are range-sorted by key and order over all tasks; ranks run inside a task's piece of a key and
+    start from the members of the key's pieces before it. So a key of any size is numbered alike, and no task
+    holds more than its share. Key columns must not be NULL; members that are equal in ``order`` may swap.
     """
-    if counts is None:
-        counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(hot_keys(counts, keys, "_n", hot_rows).drop("_parts"))
-    by_rank = lambda a, b: (  # noqa: E731 - items may hold types without an order
-        F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0)
+    placed = members.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id())
+    placed = materialize(placed, "placed")
+    pieces = placed.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = pieces.select(
+        *keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias(total)
     )
-    ordered_items = F.transform(F.array_sort(F.collect_list("_item"), by_rank), lambda x: x["item"])
-
-    within = Window.partitionBy(*keys).orderBy(*order)
-    normal = members.join(hot, keys, "left_anti").withColumn("_rank", F.row_number().over(within).cast("long") - 1)
-    # A run of row numbers lies inside one sorted partition, so a chunk never spans two tasks.
-    ranged = members.join(hot, keys, "left_semi").repartitionByRange(*keys, *order)
-    ranged = ranged.sortWithinPartitions(*keys, *order).withColumn("_rank", F.monotonically_increasing_id())
-
-    def collect(frame: DataFrame) -> DataFrame:
-        chunk = F.call_function("div", F.col("_rank"), F.lit(max_items)).alias("chunk")
-        return (
-            frame.select(*keys, chunk, F.struct(F.col("_rank").alias("rank"), item.alias("item")).alias("_item"))
-            .groupBy(*keys, "chunk")
-            .agg(ordered_items.alias("items"))
-        )
-
-    return collect(normal).unionByName(collect(ranged))
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    ranked = placed.withColumn("_rank", F.row_number().over(inside).cast("long") - 1).join(carry, [*keys, "_piece"])
+    return ranked.withColumn("position", F.col("_rank") + F.col("_before")).drop("_piece", "_rank", "_before")
 
 
 def neighbours(

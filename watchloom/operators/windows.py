@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watchloom.functions import times
 from watchloom.functions.text import session_key
-from watchloom.operators.skew import HOT_ROWS, MAX_ITEMS, attach, nest_ordered, neighbours, running_totals
+from watchloom.operators.skew import HOT_ROWS, attach, neighbours, positions, running_totals
 from watchloom.schemas import FIXED_WINDOW_SECONDS, SESSION_GAP_SECONDS
 from watchloom.session import materialize
 
@@ -58,22 +58,16 @@ def fixed_window_events(events: DataFrame, seconds: int = FIXED_WINDOW_SECONDS)
     return placed.select(*_fixed_columns(seconds), *events.columns)
 
 
-def nest_fixed_windows(
-    events: DataFrame, seconds: int = FIXED_WINDOW_SECONDS, item: Column | None = None,
-    group: str = GROUP, max_items: int = MAX_ITEMS, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Windows with their events in time order (several chunks when a window is very long).
+def fixed_window_members(events: DataFrame, seconds: int = FIXED_WINDOW_SECONDS, group: str = GROUP) -> DataFrame:
+    """The content of every window, in time order: one row an event with ``window_id`` and ``position``.
 
-    ``event_count`` is the number of events in the record, that is, in the chunk.
+    ``event_count`` is the window's. Windows themselves are :func:`fixed_windows`.
     """
     check_seconds("window_seconds", seconds)
-    item = F.struct(*[c for c in events.columns if c not in ("ts", group)]) if item is None else item
     placed = events.withColumn("window_start", times.window_floor(F.col("ts"), seconds))
-    nested = nest_ordered(placed, [group, "window_start"], ["ts", "event_id"], item, max_items, hot_rows)
-    return nested.select(
-        group, *_fixed_columns(seconds), F.size("items").alias("event_count"), "chunk",
-        F.col("items").alias("events"),
-    )
+    numbered = positions(placed, [group, "window_start"], ["ts", "event_id"])
+    kept = [c for c in events.columns if c != group]
+    return numbered.select(group, times.fixed_window_id(F.col("window_start"), seconds).alias("window_id"), "event_count", "position", *kept)
 
 
 # --- sessions ------------------------------------------------------------------------------
@@ -204,29 +198,24 @@ def session_events(
     ).drop("_slot", "_n")
 
 
-def nest_sessions(
-    events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS, key_fields=KEY_FIELDS, item: Column | None = None,
-    group: str | None = GROUP, max_items: int = MAX_ITEMS, hot_rows: int = HOT_ROWS,
+def session_members(
+    events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS, key_fields=KEY_FIELDS,
+    group: str | None = GROUP, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Sessions with their events in time order (several chunks when a session is very long).
+    """The content of every session, in time order: one row an event with ``window_id`` and ``position``.
 
-    ``event_count`` is the number of events in the record, that is, in the chunk.
+    ``event_count`` and ``start_time`` are the session's. Sessions themselves are :func:`sessions`.
     """
     keys = _keys(key_fields, group)
-    item = F.struct(*[c for c in events.columns if c not in ("ts", group)]) if item is None else item
-    slots = _placed_slots(events, gap_seconds, key_fields, group)
-    session = [*keys, "start_ts", "end_ts"]
-    counts = slots.groupBy(*session).agg(F.sum("_n").alias("_n"))
-    members = session_events(events, gap_seconds, key_fields, group, hot_rows, slots)
-    nested = nest_ordered(members, session, ["ts", "event_id"], item, max_items, hot_rows, counts)
-    return nested.select(
+    members = session_events(events, gap_seconds, key_fields, group, hot_rows)
+    numbered = positions(members, [*keys, "start_ts"], ["ts", "event_id"])
+    kept = [c for c in events.columns if c != group]
+    return numbered.select(
         *([group] if group else []),
         hash_id(keys, "start_ts").alias("window_id"),
-        F.lit("session").alias("window_type"),
         F.struct(*[F.col(f"key_{f}").alias(f) for f in key_fields]).alias("session_key"),
         times.format_iso_z(F.col("start_ts")).alias("start_time"),
-        times.format_iso_z(F.col("end_ts")).alias("end_time"),
-        F.size("items").alias("event_count"), "chunk", F.col("items").alias("events"),
+        "event_count", "position", *kept,
     )
 
 
@@ -283,14 +272,10 @@ def token_sessions(
     )
 
 
-def identity_sequences(
-    events: DataFrame, seconds: int, identity: str = "identity",
-    max_items: int = MAX_ITEMS, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Per-identity sequences in clock-aligned windows: ordered actions."""
-    placed = events.withColumns(
-        {identity: session_key(F.col(identity)), "window_start": times.window_floor(F.col("ts"), seconds)}
+def identity_sequences(events: DataFrame, seconds: int, identity: str = "identity") -> DataFrame:
+    """Per-identity sequences in clock-aligned windows: one row an action with its place and the length."""
+    placed = events.select(
+        session_key(F.col(identity)).alias(identity), times.window_floor(F.col("ts"), seconds).alias("window_start"),
+        "ts", "event_id", "action",
     )
-    item = F.struct("ts", "event_id", "action")
-    nested = nest_ordered(placed, [identity, "window_start"], ["ts", "event_id"], item, max_items, hot_rows)
-    return nested.select(identity, "window_start", "chunk", F.size("items").alias("length"), F.col("items").alias("sequence"))
+    return positions(placed, [identity, "window_start"], ["ts", "event_id"], "length")

@@ -94,8 +94,17 @@ def run_preprocessing(
     write_table(normalize(classified), f"{staged_path}/events")
     events = spark.read.parquet(f"{staged_path}/events")
     write_jsonl(events.drop("ts"), f"{out_dir}/preprocessed", ["ingest_source"])
-    write_jsonl(win.nest_fixed_windows(events, fixed_seconds), f"{out_dir}/windows/fixed", ["ingest_source"])
-    write_jsonl(win.nest_sessions(events, gap_seconds), f"{out_dir}/windows/session", ["ingest_source"])
+    write_jsonl(win.fixed_windows(events, fixed_seconds), f"{out_dir}/windows/fixed", ["ingest_source"])
+    write_jsonl(win.sessions(events, gap_seconds).drop("start_ts", "end_ts", "session_no"), f"{out_dir}/windows/session", ["ingest_source"])
+    # What a window holds is the events' ids in order; the events themselves are written once.
+    ids = events.select("ingest_source", "ts", "event_id", "identity", "host")
+    members = win.fixed_window_members(ids, fixed_seconds).drop("ts", "identity", "host")
+    write_jsonl(members, f"{out_dir}/windows/fixed_members", ["ingest_source"])
+    members = win.session_members(ids, gap_seconds).drop("ts", "identity", "host", "session_key", "start_time")
+    write_jsonl(members, f"{out_dir}/windows/session_members", ["ingest_source"])
+    if "action" in events.columns:
+        sequences = win.identity_sequences(events, fixed_seconds)
+        write_jsonl(sequences.withColumn("identity_hash", F.pmod(F.xxhash64("identity"), F.lit(64))), f"{out_dir}/sequences", ["identity_hash"])
     failing = classified.filter(F.col("stage").isNotNull())
     if "_row" in lines.columns:
         failing = number_lines(lines, failing)

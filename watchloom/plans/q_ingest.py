@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.functions import text, times, variants
@@ -173,9 +176,8 @@ def envelope_publish(spark, sf):
 def uuid(spark, sf):
     wrapped = log.envelope(event_frame(spark, sf), F.col("ingest_source"), F.col("event_type"))
     return wrapped.agg(
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("envelope_id", 0.01).alias("_d"),
-        F.max(F.length("envelope_id")).alias("id_length"),
-    ).select("n", F.when(F.col("_d") >= F.col("n") * 0.9, F.col("n")).alias("distinct_ids"), "id_length")
+        F.count(F.lit(1)).alias("n"), F.count_distinct("envelope_id").alias("distinct_ids"), F.max(F.length("envelope_id")).alias("id_length")
+    )
 
 
 @query("now_utc")
@@ -216,6 +218,23 @@ def source_outputs(spark, sf):
     return both
 
 
+@query("pipeline_outputs", f"""
+WITH {TELE}, g AS (SELECT ingest_source, ts_us, lag(ts_us) OVER (PARTITION BY ingest_source, coalesce(identity, '<unknown>'), host ORDER BY ts_us) AS before FROM good)
+SELECT 'preprocessed' AS output, ingest_source, count(*) AS records FROM good GROUP BY ALL
+UNION ALL SELECT 'errors', ingest_source, count(*) FROM tele WHERE stage IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'windows/fixed', ingest_source, count(DISTINCT ts_us // 60000000) FROM good GROUP BY ALL
+UNION ALL SELECT 'windows/session', ingest_source, count(*) FROM g WHERE before IS NULL OR ts_us - before > 300000000 GROUP BY ALL
+UNION ALL SELECT name, ingest_source, count(*) FROM good, (VALUES ('windows/fixed_members'), ('windows/session_members')) v(name) GROUP BY ALL""")
+def pipeline_outputs(spark, sf):
+    path = scratch_path(spark, "run")
+    run_preprocessing(materialize(telemetry_raw(spark, sf), "lines"), path)
+    counts = [
+        spark.read.text(f"{path}/{name}").groupBy("ingest_source").agg(F.count(F.lit(1)).alias("records")).withColumn("output", F.lit(name))
+        for name in (*OUTPUTS, "windows/fixed_members", "windows/session_members")
+    ]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
 @query("run_summary", f"""
 WITH {TELE}, s AS (SELECT ingest_source, sum(starts) AS n FROM (
   SELECT ingest_source, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY ingest_source, coalesce(identity, '<unknown>'), host
@@ -230,11 +249,16 @@ def run_summary_query(spark, sf):
     return run_summary(telemetry_raw(spark, sf))
 
 
-@query("csv_export", f"WITH {TELE} SELECT event_id, {iso('ts_us')} AS timestamp, identity, host, action FROM good")
+@query("csv_export", f"""
+WITH {TELE} SELECT event_id, {iso('ts_us')} AS timestamp, identity, host, action, CASE WHEN is_ollama THEN 'question "é" ' || n END AS prompt,
+  CASE WHEN is_ollama THEN 'answer' || chr(10) || n END AS response, 21 AS columns FROM good""")
 def csv_export(spark, sf):
     path = scratch_path(spark, "csv")
-    sinks.write_csv(normalize_lines(telemetry_raw(spark, sf)).drop("prompt", "response", "raw_payload"), path)
-    return spark.read.option("header", True).csv(path).select("event_id", "timestamp", "identity", "host", "action")
+    sinks.write_csv(normalize_lines(telemetry_raw(spark, sf)).drop("ts", "ingest_source"), path)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return back.select(
+        "event_id", "timestamp", "identity", "host", "action", "prompt", "response", F.lit(len(back.columns)).alias("columns")
+    )
 
 
 @query("partitioned_export", f"""
@@ -441,11 +465,23 @@ def generate_telemetry(spark, sf):
 
 
 @query("chat_telemetry", """
-SELECT conv_id, 0::BIGINT AS chunk, count(*) AS messages, md5(CAST(to_json(list({'role': role, 'content': text} ORDER BY turn)) AS VARCHAR)) AS prompt_md5
-FROM conversations GROUP BY conv_id""")
+WITH c AS (SELECT conv_id, 'svc-' || (conv_id % 7) AS identity, 'model-' || (conv_id % 3) AS model, CAST(conv_id % 1000 AS DOUBLE) AS latency_ms,
+                  CASE WHEN conv_id % 5 = 0 THEN 'said ' || conv_id END AS body, arg_max(role, turn) AS last_role, arg_max(text, turn) AS said
+           FROM conversations GROUP BY conv_id)
+SELECT conv_id, role, text AS content, count(*) OVER (PARTITION BY conv_id) AS messages,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, identity, model, latency_ms,
+       coalesce(body, CASE WHEN last_role = 'assistant' THEN said END) AS response
+FROM conversations JOIN c USING (conv_id)""")
 def chat_telemetry(spark, sf):
-    chats = access.chat_telemetry(read_table(spark, sf, "conversations"), "conv_id", "turn")
-    return chats.select("conv_id", "chunk", F.col("messages").cast("long").alias("messages"), F.md5("prompt").alias("prompt_md5"))
+    turns = read_table(spark, sf, "conversations")
+    chat = F.col("conv_id")
+    calls = turns.select("conv_id").distinct().select(
+        "conv_id", F.concat(F.lit("svc-"), (chat % 7).cast("string")).alias("identity"),
+        F.concat(F.lit("model-"), (chat % 3).cast("string")).alias("model"), (chat % 1000).cast("double").alias("latency_ms"),
+        F.when(chat % 5 == 0, F.concat(F.lit('{"response": "said '), chat.cast("string"), F.lit('"}'))).alias("response_body"),
+    )
+    found = access.chat_telemetry(turns, "conv_id", "turn", calls)
+    return found.select("conv_id", "role", "content", "messages", "position", "identity", "model", "latency_ms", "response")
 
 
 @query("required_header", f"""
@@ -543,9 +579,11 @@ def lower_source(spark, sf):
     return normalize_lines(telemetry_raw(spark, sf)).select("event_id", "source_type")
 
 
-@query("json_decode", f"WITH {EV} SELECT event_id, k FROM ev")
+@query("json_decode", f"WITH {EV} SELECT event_id, CASE WHEN n % 5 NOT IN (1, 2) THEN k END AS k FROM ev")
 def json_decode(spark, sf):
-    doc = variants.parse_object(F.col("props"))
+    form = F.pmod(F.col("event_id"), F.lit(5))  # some texts go on after the object
+    said = F.when(form == 1, F.concat("props", F.lit(" x"))).when(form == 2, F.concat("props", F.lit(',"z":2'))).otherwise(F.col("props"))
+    doc = variants.decode_object(said)
     return read_table(spark, sf, "events").select(
         F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("event_id"), F.try_variant_get(doc, "$.k", "int").alias("k")
     )

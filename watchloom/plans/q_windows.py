@@ -32,17 +32,13 @@ def session_agg(spark, sf):
 
 @query("fixed_window_agg", f"""
 WITH {TELE}
-SELECT ingest_source, 'fixed_' || strftime(make_timestamp(w), '%Y%m%dT%H%M%SZ') || '_3600s' AS window_id,
-       count(*) AS event_count, string_agg(event_id, ',' ORDER BY ts_us, event_id) AS event_ids
-FROM (SELECT *, ts_us // {HOUR_US} * {HOUR_US} AS w FROM good) GROUP BY ingest_source, w""")
+SELECT ingest_source, 'fixed_' || strftime(make_timestamp(w), '%Y%m%dT%H%M%SZ') || '_3600s' AS window_id, event_id,
+       count(*) OVER (PARTITION BY ingest_source, w) AS event_count,
+       row_number() OVER (PARTITION BY ingest_source, w ORDER BY ts_us, event_id) - 1 AS position
+FROM (SELECT *, ts_us // {HOUR_US} * {HOUR_US} AS w FROM good)""")
 def fixed_window_agg(spark, sf):
-    # Nesting reads its input three times: parse once.
-    events = materialize(good_events(spark, sf).select("ingest_source", "ts", "event_id"), "events")
-    nested = win.nest_fixed_windows(events, 3600, item=F.col("event_id"))
-    return nested.select(
-        "ingest_source", "window_id", F.col("event_count").cast("long").alias("event_count"),
-        F.concat_ws(",", "events").alias("event_ids"),
-    )
+    events = good_events(spark, sf).select("ingest_source", "ts", "event_id")
+    return win.fixed_window_members(events, 3600).select("ingest_source", "window_id", "event_count", "position", "event_id")
 
 
 @query("tumbling_window", f"""
@@ -79,16 +75,14 @@ def session_key_fields(spark, sf):
 
 @query("session_events", f"""
 WITH {EV}, {sessions_cte('ev', 'ingest_source, identity, host', 6 * HOUR_US)}
-SELECT ingest_source, identity, host, start_us, count(*) AS event_count,
-       string_agg(event_id, ',' ORDER BY us, event_id) AS event_ids
-FROM ses JOIN ses_ev USING (ingest_source, identity, host, session_no) GROUP BY ALL""")
+SELECT ingest_source, identity, host, start_us, event_id, count(*) OVER (PARTITION BY ingest_source, identity, host, session_no) AS event_count,
+       row_number() OVER (PARTITION BY ingest_source, identity, host, session_no ORDER BY us, event_id) - 1 AS position
+FROM ses JOIN ses_ev USING (ingest_source, identity, host, session_no)""")
 def session_events(spark, sf):
     events = event_frame(spark, sf).select("ingest_source", "ts", "event_id", "identity", "host")
-    nested = win.nest_sessions(events, 6 * 3600, item=F.col("event_id"))
-    return nested.select(
+    return win.session_members(events, 6 * 3600).select(
         "ingest_source", "session_key.identity", "session_key.host",
-        F.unix_micros(F.col("start_time").cast("timestamp")).alias("start_us"),
-        F.col("event_count").cast("long").alias("event_count"), F.concat_ws(",", "events").alias("event_ids"),
+        F.unix_micros(F.col("start_time").cast("timestamp")).alias("start_us"), "event_count", "position", "event_id",
     )
 
 
@@ -183,26 +177,23 @@ def window_config(spark, sf):
 
 
 @query("identity_sequences", f"""
-WITH {EV} SELECT identity, us // {24 * HOUR_US} * {24 * HOUR_US} AS start_us, count(*) AS length,
-  string_agg(action, '>' ORDER BY us, event_id) AS sequence FROM ev GROUP BY 1, 2""")
+WITH {EV}, w AS (SELECT *, us // {24 * HOUR_US} * {24 * HOUR_US} AS start_us FROM ev)
+SELECT identity, start_us, count(*) OVER (PARTITION BY identity, start_us) AS length,
+  row_number() OVER (PARTITION BY identity, start_us ORDER BY us, event_id) - 1 AS position, action FROM w""")
 def identity_sequences(spark, sf):
     found = win.identity_sequences(event_frame(spark, sf), 24 * 3600)
-    return found.select(
-        "identity", F.unix_micros("window_start").alias("start_us"), F.col("length").cast("long").alias("length"),
-        F.concat_ws(">", F.transform("sequence", lambda x: x["action"])).alias("sequence"),
-    )
+    return found.select("identity", F.unix_micros("window_start").alias("start_us"), "length", "position", "action")
 
 
 @query("identity_session_sequences", f"""
 WITH {EV}, {sessions_cte('ev', 'identity', 6 * HOUR_US)}
-SELECT identity, start_us, string_agg(action, '>' ORDER BY us, event_id) AS sequence
-FROM ses JOIN ses_ev USING (identity, session_no) GROUP BY ALL""")
+SELECT identity, start_us, row_number() OVER (PARTITION BY identity, session_no ORDER BY us, event_id) - 1 AS position, action
+FROM ses JOIN ses_ev USING (identity, session_no)""")
 def identity_session_sequences(spark, sf):
     events = event_frame(spark, sf).select("ts", "event_id", "identity", "action")
-    nested = win.nest_sessions(events, 6 * 3600, key_fields=("identity",), item=F.col("action"), group=None)
-    return nested.select(
-        "session_key.identity", F.unix_micros(F.col("start_time").cast("timestamp")).alias("start_us"),
-        F.concat_ws(">", "events").alias("sequence"),
+    found = win.session_members(events, 6 * 3600, key_fields=("identity",), group=None)
+    return found.select(
+        "session_key.identity", F.unix_micros(F.col("start_time").cast("timestamp")).alias("start_us"), "position", "action"
     )
 
 

@@ -27,10 +27,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a local one only where none is configured (tests)."""
+    """The folder all executors see; a local one only where none is configured and all runs in one process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         base = configured.rstrip("/")
+    elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     else:
         base = tempfile.mkdtemp(prefix="watchloom-")
         spark.conf.set("spark.checkpoint.dir", base)

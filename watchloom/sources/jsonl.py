@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchloom.schemas import SOURCES
+from watchloom.functions.text import strip
 from watchloom.session import configure
 
 
@@ -49,7 +50,7 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl", number:
 
 
 def not_blank(lines: DataFrame) -> DataFrame:
-    return lines.filter(F.length(F.btrim("line")) > 0)
+    return lines.filter(F.length(strip(F.col("line"))) > 0)
 
 
 def number_lines(lines: DataFrame, rows: DataFrame | None = None) -> DataFrame:

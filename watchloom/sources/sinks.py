@@ -13,9 +13,9 @@ def write_jsonl(rows: DataFrame, path: str, by: list[str] | None = None) -> None
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Flat CSV view: only scalar columns."""
+    """Flat CSV view: only scalar columns. Quotes are doubled, as ordinary CSV readers expect."""
     flat = [n for n, t in rows.dtypes if not t.startswith(("array", "struct", "map", "variant"))]
-    rows.select(*flat).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    rows.select(*flat).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def write_partitioned(rows: DataFrame, path: str, by: list[str], real: Column | None = None) -> None:

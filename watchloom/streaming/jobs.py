@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from watchloom.functions.text import strip
 from watchloom.functions import times
 from watchloom.operators.normalize import normalize
 from watchloom.operators.parse import classify, dead_letters
@@ -25,7 +26,7 @@ def read_landing(spark: SparkSession, path: str, pattern: str = "*.jsonl", files
     return text.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+$", 1).alias("ingest_source"),
         F.col("value").alias("line"),
-    ).filter(F.length(F.btrim("line")) > 0)
+    ).filter(F.length(strip(F.col("line"))) > 0)
 
 
 def fixed_windows(events: DataFrame, seconds: int = FIXED_WINDOW_SECONDS, delay: str = "10 minutes") -> DataFrame:
