@@ -10,9 +10,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as contract  # noqa: E402
+from watchloom.plans import ORACLES, QUERIES  # noqa: E402
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
-ROWS_ONLY = {"now_utc", "sorted_paths", "reconstruct_pca", "reconstruct_lstm", "lotl_classifier"}
+ROWS_ONLY = {"reconstruct_pca", "reconstruct_lstm", "lotl_classifier"}
 
 
 @pytest.fixture(scope="module")
@@ -37,11 +38,11 @@ def table(rows, names):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, sf_dir, name):
-    frame = contract.queries()[name](spark, sf_dir)
+    frame = QUERIES[name](spark, sf_dir)
     rows = frame.collect()
-    sql = contract.oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
         assert name in ROWS_ONLY and rows
         return
@@ -58,5 +59,9 @@ def test_no_cross_products_and_no_single_partition_windows(spark, sf_dir):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
+def test_contract_has_all_of_them():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0

@@ -26,9 +26,11 @@ def temporal_correlation(
     partner is near enough, and from a neighbouring slot only its nearest end matters.
     """
     flags = ("is_a", "is_b", "partner_before", "partner_after", "correlated")
-    flagged = rows.withColumns({"is_a": a, "is_b": b, "_slot": times.slot(F.col("ts"), delta_seconds)})
-    named = flagged.filter(F.col(key).isNotNull())
-    slots = named.groupBy(key, "_slot").agg(
+    flagged = rows.withColumns({"is_a": a, "is_b": b})
+    # Only alerts that name a key can correlate; all other rows keep their flags and shuffle nowhere.
+    can = F.col(key).isNotNull() & (F.coalesce("is_a", F.lit(False)) | F.coalesce("is_b", F.lit(False)))
+    alerts = flagged.filter(can).withColumn("_slot", times.slot(F.col("ts"), delta_seconds))
+    slots = alerts.groupBy(key, "_slot").agg(
         F.count(F.lit(1)).alias("_n"),
         *[f(F.when(F.col(f"is_{k}"), F.unix_micros("ts"))).alias(f"_{name}_{k}")
           for k in "ab" for f, name in ((F.min, "min"), (F.max, "max"))],
@@ -40,7 +42,7 @@ def temporal_correlation(
         is_prev = F.lag("_slot").over(in_time) == F.col("_slot") - 1
         beside[f"_next_{k}"] = F.when(is_next, F.lead(f"_min_{k}").over(in_time))
         beside[f"_prev_{k}"] = F.when(is_prev, F.lag(f"_max_{k}").over(in_time))
-    near = attach(named, slots.withColumns(beside), [key, "_slot"], "_n", [row_id], hot_rows)
+    near = attach(alerts, slots.withColumns(beside), [key, "_slot"], "_n", [row_id], hot_rows)
     now, reach = F.unix_micros("ts"), delta_seconds * 1_000_000
 
     def holds(test: Column) -> Column:
@@ -59,9 +61,8 @@ def temporal_correlation(
             "partner_after": (is_a & after("b")) | (is_b & after("a")),
         }
     ).withColumn("correlated", F.col("partner_before") | F.col("partner_after"))
-    # Without a key there is nothing to correlate on.
-    unnamed = flagged.filter(F.col(key).isNull()).withColumns({f: F.lit(False) for f in flags[2:]})
-    return found.select(*rows.columns, *flags).unionByName(unnamed.select(*rows.columns, *flags))
+    others = flagged.filter(~can).withColumns({f: F.lit(False) for f in flags[2:]})
+    return found.select(*rows.columns, *flags).unionByName(others.select(*rows.columns, *flags))
 
 
 def with_thresholds(rows: DataFrame, config: DataFrame) -> DataFrame:

@@ -40,6 +40,10 @@ def confusion_metrics(rows: DataFrame, truth: Column, verdict: Column, by: list[
         F.count_if(truth & verdict).alias("tp"), F.count_if(~truth & verdict).alias("fp"),
         F.count_if(truth & ~verdict).alias("fn"), F.count_if(~truth & ~verdict).alias("tn"),
     )
+    return with_metrics(counted)
+
+
+def with_metrics(counted: DataFrame) -> DataFrame:
     return counted.withColumns(_metrics(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
 
 
@@ -118,13 +122,15 @@ def source_coverage(events: DataFrame, source: str = "ingest_source") -> DataFra
 def weight_grid_sweep(rows: DataFrame, static: str, dynamic: str, truth: Column, grid: list[tuple[float, float]]) -> DataFrame:
     """Metrics of ``w * static + (1 - w) * dynamic >= theta`` for each ``(w, theta)`` of a fixed grid.
 
-    Each row is scored against the grid where it lies and counted before the shuffle, which
-    carries one record per task and grid point.
+    All grid points are counted in one aggregation, so each row is read once and only counts are shuffled.
     """
-    point = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("theta")) for w, t in grid]))
-    scored = rows.select(static, dynamic, truth.alias("_truth"), point.alias("_g")).select("*", "_g.*")
-    hit = F.round(F.col("w") * F.col(static) + (1 - F.col("w")) * F.col(dynamic), 6) >= F.col("theta")
-    return confusion_metrics(scored, F.col("_truth"), hit, ["w", "theta"])
+    counts, points = [], []
+    for i, (w, theta) in enumerate(grid):
+        hit = F.round(F.lit(w) * F.col(static) + (1 - F.lit(w)) * F.col(dynamic), 6) >= F.lit(theta)
+        for name, test in (("tp", truth & hit), ("fp", ~truth & hit), ("fn", truth & ~hit), ("tn", ~truth & ~hit)):
+            counts.append(F.count_if(test).alias(f"_{name}{i}"))
+        points.append(F.struct(F.lit(w).alias("w"), F.lit(theta).alias("theta"), *(F.col(f"_{n}{i}").alias(n) for n in ("tp", "fp", "fn", "tn"))))
+    return with_metrics(rows.agg(*counts).select(F.inline(F.array(*points))))
 
 
 def best_setting(swept: DataFrame) -> DataFrame:

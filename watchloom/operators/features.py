@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from watchloom.functions import times
 from watchloom.operators.access import small
+from watchloom.session import materialize
 from watchloom.schemas import MOVING_AVERAGE_WINDOW
 
 
@@ -99,7 +100,8 @@ def static_rule(rows: DataFrame, max_privilege: int, max_age_days: int) -> DataF
 
 def unseen_category(rows: DataFrame, vocabulary: DataFrame, columns: list[str]) -> DataFrame:
     """Rows whose category combination never occurred in training."""
-    return rows.join(small(vocabulary.select(*columns).distinct()), columns, "left_anti")
+    known = materialize(vocabulary.select(*columns).distinct(), "vocabulary")  # counted and joined
+    return rows.join(small(known), columns, "left_anti")
 
 
 def lexicon_weight(texts: DataFrame, text_id: str, text: Column, lexicon: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watchloom.functions import times
 from watchloom.functions.text import session_key
-from watchloom.operators.skew import HOT_ROWS, attach, neighbours, positions, running_totals
+from watchloom.operators.skew import HOT_ROWS, attach, hot_keys, neighbours, positions, running_totals
 from watchloom.schemas import FIXED_WINDOW_SECONDS, SESSION_GAP_SECONDS
 from watchloom.session import materialize
 
@@ -234,13 +234,25 @@ def gap_to_previous(events: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS
     """
     key_columns = [f"key_{k}" for k in keys]
     keyed = with_session_key(events, keys)
+    counts = keyed.groupBy(*key_columns).agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialize(hot_keys(counts, key_columns, "_n", hot_rows).select(*key_columns), "hot-keys")
+    in_time = Window.partitionBy(*key_columns).orderBy("ts", "event_id")
+    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(in_time))
+    if not hot.limit(1).count():  # every key fits into one task
+        return keyed.withColumn("gap_us", gap).select(*events.columns, "gap_us")
+    hot = F.broadcast(hot)  # at most (all rows / hot_rows) keys
+    usual = keyed.join(hot, key_columns, "left_anti").withColumn("gap_us", gap).select(*events.columns, "gap_us")
+    return usual.unionByName(_gap_by_slots(keyed.join(hot, key_columns, "left_semi"), key_columns, hot_rows).select(*events.columns, "gap_us"))
+
+
+def _gap_by_slots(keyed: DataFrame, key_columns: list[str], hot_rows: int) -> DataFrame:
+    """The same for keys with too many events for one task: instants are compared inside short time slots."""
     instants = neighbours(
         keyed, key_columns, "ts", {"_n": F.count(F.lit(1)), "_first_id": F.min("event_id")}
     ).select(*key_columns, "ts", "_n", "_first_id", F.col("prev").alias("_prev"))
     joined = attach(keyed, instants, [*key_columns, "ts"], "_n", ["event_id"], hot_rows)
     since = F.unix_micros("ts") - F.unix_micros("_prev")
-    gap = F.when(F.col("event_id") == F.col("_first_id"), since).otherwise(F.lit(0).cast("long"))
-    return joined.withColumn("gap_us", gap).select(*events.columns, "gap_us")
+    return joined.withColumn("gap_us", F.when(F.col("event_id") == F.col("_first_id"), since).otherwise(F.lit(0).cast("long")))
 
 
 def sort_sessions(found: DataFrame, order: str = "time") -> DataFrame:

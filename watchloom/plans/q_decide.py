@@ -19,7 +19,7 @@ DELTA = 6 * 3600
 CALLS = f"""
 {EV}, calls AS (SELECT event_id, 'svc-' || (user_id * 20) AS identity, 'secret/' || (k * 2) AS secret_path FROM ev),
 reg AS (SELECT 'svc-' || c_custkey AS identity, 'token-' || c_name AS token, 'role-' || n_name AS role FROM customer JOIN nation ON c_nationkey = n_nationkey),
-sec AS (SELECT 'secret/' || s_suppkey AS path FROM supplier)
+sec AS (SELECT 'secret/' || s_suppkey AS path, 'value of ' || s_name AS value FROM supplier)
 """
 
 
@@ -39,7 +39,9 @@ def registry(spark, sf):
 
 
 def secrets(spark, sf):
-    return read_table(spark, sf, "supplier").select(F.concat(F.lit("secret/"), F.col("s_suppkey").cast("string")).alias("path"))
+    return read_table(spark, sf, "supplier").select(
+        F.concat(F.lit("secret/"), F.col("s_suppkey").cast("string")).alias("path"), F.concat(F.lit("value of "), F.col("s_name")).alias("value")
+    )
 
 
 @query("auth_known_identity", f"WITH {CALLS} SELECT event_id, identity, identity IN (SELECT identity FROM reg) AS success FROM calls")
@@ -53,9 +55,11 @@ def auth_secret_access(spark, sf):
     return access.secret_access(calls(spark, sf), registry(spark, sf), secrets(spark, sf)).select("event_id", "success")
 
 
-@query("role_token_lookup", f"WITH {CALLS} SELECT event_id, identity, token, role FROM calls JOIN reg USING (identity)")
+@query("role_token_lookup", f"""
+WITH {CALLS} SELECT event_id, identity, token, role, value AS secret_value FROM calls JOIN reg USING (identity) LEFT JOIN sec ON path = secret_path""")
 def role_token_lookup(spark, sf):
-    return access.role_token(calls(spark, sf), registry(spark, sf)).select("event_id", "identity", "token", "role")
+    granted = access.secret_access(access.role_token(calls(spark, sf), registry(spark, sf)), registry(spark, sf), secrets(spark, sf))
+    return access.secret_value(granted, secrets(spark, sf)).select("event_id", "identity", "token", "role", F.col("value").alias("secret_value"))
 
 
 # --- labelled events and scores ------------------------------------------------------------
@@ -276,10 +280,9 @@ def latency_distribution(spark, sf):
 
 @query("source_coverage", f"""
 WITH {TELE}, s(ingest_source) AS (VALUES ('sysmon'), ('auditd'), ('ollama'), ('iam'), ('vault'), ('api_gateway'))
-SELECT ingest_source, count(n) AS n, count(n) = 0 AS missing FROM s LEFT JOIN (SELECT * FROM good WHERE et <> 'view' OR ingest_source <> 'iam') g USING (ingest_source) GROUP BY 1""")
+SELECT ingest_source, count(n) AS n, count(n) = 0 AS missing FROM s LEFT JOIN good USING (ingest_source) GROUP BY 1""")
 def source_coverage(spark, sf):
-    events = normalize_lines(telemetry_raw(spark, sf))
-    return evaluate.source_coverage(events.filter((F.col("event_type") != "view") | (F.col("ingest_source") != "iam")))
+    return evaluate.source_coverage(normalize_lines(telemetry_raw(spark, sf)))
 
 
 GRID = [(round(w / 4, 2), round(0.3 + t / 10, 1)) for w in range(5) for t in range(5)]

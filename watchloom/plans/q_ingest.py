@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.functions import text, times, variants
@@ -17,7 +18,7 @@ from watchloom.operators.parse import (
 from watchloom.plans.oracle_parts import EV, TELE, iso
 from watchloom.plans.preprocessing import OUTPUTS, run_preprocessing, run_summary
 from watchloom.plans.registry import query
-from watchloom.schemas import EVENT_FIELDS, SOURCES, STREAM_PREFIX
+from watchloom.schemas import ALIASES, EVENT_FIELDS, SOURCES, STREAM_PREFIX
 from watchloom.session import materialize, scratch_path
 from watchloom.sources import jsonl, log, sinks
 from watchloom.sources.adapter import event_frame, read_table, telemetry_raw
@@ -77,9 +78,15 @@ def union_files(spark, sf):
     return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("ingest_source").alias("sources"))
 
 
-@query("sorted_paths")
+@query("sorted_paths", f"""
+WITH {TELE} SELECT ingest_source AS folder, row_number() OVER (ORDER BY ingest_source) AS place, count(*) AS lines, TRUE AS sorted FROM tele GROUP BY 1""")
 def sorted_paths(spark, sf):
-    return jsonl.source_files(jsonl.read_all_sources(spark, landed(spark, sf), "*.txt"))
+    files = jsonl.source_files(jsonl.read_all_sources(spark, landed(spark, sf), "*.txt"))
+    files = files.withColumns({"folder": F.regexp_extract("file_path", "ingest_source=([^/]+)", 1), "at": F.monotonically_increasing_id()})
+    folders = files.groupBy("folder").agg(F.sum("lines").alias("lines"), F.min("at").alias("first"), F.max("at").alias("last"))
+    in_order = Window.orderBy("folder")  # six folders
+    follows = F.coalesce(F.lag("last").over(in_order) < F.col("first"), F.lit(True))
+    return folders.select("folder", F.row_number().over(in_order).cast("long").alias("place"), "lines", follows.alias("sorted"))
 
 
 @query("unknown_source_guard", """
@@ -180,10 +187,15 @@ def uuid(spark, sf):
     )
 
 
-@query("now_utc")
+@query("now_utc", f"WITH {EV} SELECT ingest_source AS source_type, count(*) AS n, TRUE AS within_run, TRUE AS in_form FROM ev GROUP BY 1")
 def now_utc(spark, sf):
+    begun = datetime.datetime.now(datetime.timezone.utc) - datetime.timedelta(seconds=2)
     wrapped = log.envelope(event_frame(spark, sf), F.col("ingest_source"), F.col("event_type"))
-    return wrapped.groupBy("source_type").agg(F.count(F.lit(1)).alias("n"), F.max("ingested_at").alias("latest"))
+    at = F.col("ingested_at").cast("timestamp")
+    return wrapped.groupBy("source_type").agg(
+        F.count(F.lit(1)).alias("n"), F.every(at.between(F.lit(begun), F.current_timestamp() + F.expr("INTERVAL 1 MINUTE"))).alias("within_run"),
+        F.every(F.col("ingested_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|\+00:00)$")).alias("in_form"),
+    )
 
 
 # --- sinks ---------------------------------------------------------------------------------
@@ -326,7 +338,8 @@ def validate_event(spark, sf):
 @query("split_valid_invalid", f"""
 WITH {TELE} SELECT ingest_source, stage IS NULL AS valid, count(*) AS n FROM tele GROUP BY ALL""")
 def split_valid_invalid_query(spark, sf):
-    valid, invalid = split_valid_invalid(classified(spark, sf))
+    parsed = materialize(classified(spark, sf).select("ingest_source", "stage", "error", "line"), "parsed")
+    valid, invalid = split_valid_invalid(parsed)
     return valid.select("ingest_source", F.lit(True).alias("valid")).unionByName(
         invalid.select("ingest_source", F.lit(False).alias("valid"))
     ).groupBy("ingest_source", "valid").agg(F.count(F.lit(1)).alias("n"))
@@ -397,7 +410,7 @@ def dead_letter(spark, sf):
 
 @query("union_errors", f"WITH {TELE} SELECT stage, count(*) AS n FROM tele WHERE stage IS NOT NULL GROUP BY ALL")
 def union_errors(spark, sf):
-    letters = dead_letters(classified(spark, sf))
+    letters = materialize(dead_letters(classified(spark, sf)), "letters")  # read twice, parsed once
     early = letters.filter(F.col("stage").isin("read", "parse"))
     late = letters.filter(~F.col("stage").isin("read", "parse")).withColumn("raw", F.col("raw"))
     return early.unionByName(late, allowMissingColumns=True).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
@@ -418,25 +431,31 @@ def source_adapter(spark, sf):
     return normalize_lines(telemetry_raw(spark, sf), by_source=True).select("event_id", "identity", "parent_process")
 
 
+CHECKED = [f for f in EVENT_FIELDS if f != "raw_payload"]
+
+
 @query("schema_conformance", f"""
-WITH {TELE}, f AS ({FIELDS_SQL})
-SELECT c AS field, CAST(n AS BIGINT) AS nulls, 0::BIGINT AS violations FROM (
-  SELECT count(*) FILTER (event_id IS NULL) AS event_id, count(*) FILTER (identity IS NULL) AS identity,
-         count(*) FILTER (host IS NULL) AS host, count(*) FILTER (source_type IS NULL) AS source_type,
-         count(*) FILTER (latency_ms IS NULL) AS latency_ms FROM f)
-UNPIVOT (n FOR c IN (event_id, identity, host, source_type, latency_ms))""")
+WITH {TELE}, f AS ({FIELDS_SQL}), v AS (SELECT count(*) FILTER (is_access AND n % 41 = 0) AS bad FROM good)
+SELECT c AS field, CAST(n AS BIGINT) AS nulls, CASE c WHEN 'success' THEN bad ELSE 0 END AS violations FROM (
+  SELECT {', '.join(f'count(*) FILTER ({c} IS NULL) AS {c}' for c in CHECKED)}, 0 AS raw_payload FROM f)
+UNPIVOT (n FOR c IN ({', '.join(EVENT_FIELDS)})), v""")
 def schema_conformance(spark, sf):
     events = normalize_lines(telemetry_raw(spark, sf))
-    return conformance(
-        events, ["event_id", "identity", "host", "source_type", "latency_ms"],
-        {"source_type": ~F.col("source_type").isin(*SOURCES), "latency_ms": F.col("latency_ms") < 0},
-    )
-
-
-@query("alias_table", f"WITH {TELE} SELECT event_id, 'proc-' || n AS process_name FROM good WHERE is_host")
+    stated = lambda key: F.try_variant_get("raw_payload", f"$.{key}", "variant")
+    texts = [f for f in CHECKED if f not in ("success", "latency_ms")]
+    rules = {f: ~F.col(f).rlike(r"\S") for f in texts}
+    rules |= {
+        "source_type": ~F.col("source_type").isin(*SOURCES), "timestamp": ~F.col("timestamp").rlike("^[0-9T:.-]+Z$"),
+        "success": F.coalesce(variants.type_of(stated("success")) != "BOOLEAN", F.lit(False)) & F.col("success").isNull(),
+        "latency_ms": F.col("latency_ms") < 0,
+    }
+    return conformance(events, list(EVENT_FIELDS), rules)
+
+
+@query("alias_table", f"WITH {TELE}, f AS ({FIELDS_SQL}) SELECT event_id, {', '.join(ALIASES)} FROM f")
 def alias_table(spark, sf):
-    rows = classified(spark, sf).filter(F.col("stage").isNull() & F.col("source_type").isin("sysmon", "auditd"))
-    return rows.select(event_id().alias("event_id"), alias_column("process_name").alias("process_name"))
+    rows = classified(spark, sf).filter(F.col("stage").isNull())
+    return rows.select(event_id().alias("event_id"), *(text.clean_string(alias_column(name)).alias(name) for name in ALIASES))
 
 
 # --- calls ---------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from watchloom.operators.normalize import normalize
 from watchloom.operators.parse import classify, dead_letters
 from watchloom.operators.windows import GROUP, KEY_FIELDS, check_seconds, hash_id, with_session_key
 from watchloom.schemas import FIXED_WINDOW_SECONDS, SESSION_GAP_SECONDS
-from watchloom.session import configure, scratch_path
+from watchloom.session import materialize, configure, scratch_path
 from watchloom.sources.sinks import write_jsonl
 
 
@@ -108,7 +108,7 @@ def write_once(stream: DataFrame, path: str, partitions: int | None = None) -> D
 def split_stream(lines: DataFrame, path: str) -> StreamingQuery:
     """Write each batch's good events and dead letters; a repeated batch overwrites itself."""
     def write(batch: DataFrame, number: int) -> None:
-        classified = classify(batch)
+        classified = materialize(classify(batch), "batch")  # both outputs read one parse
         write_jsonl(normalize(classified).drop("ts"), f"{path}/events/batch={number}")
         write_jsonl(dead_letters(classified), f"{path}/errors/batch={number}")
 
