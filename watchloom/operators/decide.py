@@ -110,11 +110,16 @@ def sandbox_trigger(rows: DataFrame, static: str, dynamic: str, t_static: Column
     return rows.filter((F.col(static) >= t_static) | (F.col(dynamic) >= t_dynamic))
 
 
+def planned_action(decision: Column) -> Column:
+    """The action a decision asks for; NULL for none."""
+    return F.when(decision == "HARD_CONTAINMENT", "revoke_credentials").when(
+        decision == "SOFT_QUARANTINE", "restrict_session"
+    ).when(decision == "ESCALATE", "notify_analyst")
+
+
 def response_plan(decisions: DataFrame, identity: str = "identity") -> DataFrame:
     """One planned action per decision that asks for one; rows for a log, nothing is executed."""
-    action = F.when(F.col("decision") == "HARD_CONTAINMENT", "revoke_credentials").when(
-        F.col("decision") == "SOFT_QUARANTINE", "restrict_session"
-    ).when(F.col("decision") == "ESCALATE", "notify_analyst")
+    action = planned_action(F.col("decision"))
     return decisions.withColumn("action", action).filter(F.col("action").isNotNull()).select(
         "event_id", identity, "decision", "action"
     )

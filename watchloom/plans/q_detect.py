@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from watchloom.functions.text import feature_explanation
 from watchloom.operators import features, models, scoring
 from watchloom.operators.skew import attach
+from watchloom.operators.normalize import normalize_lines
 from watchloom.plans import scoring as job
-from watchloom.plans.oracle_parts import EV
+from watchloom.plans.detection import detection_run
+from watchloom.plans.oracle_parts import EV, TELE
 from watchloom.plans.registry import query
 from watchloom.session import checkpoint, materialize, scratch_path
-from watchloom.sources.adapter import event_frame, read_table
+from watchloom.sources.adapter import event_frame, read_table, telemetry_raw
 from watchloom.sources.sinks import write_table
 
 HOUR, DAY = 3600, 86400
@@ -304,3 +306,44 @@ def unseen_category(spark, sf):
     return features.unseen_category(ev.filter(~is_history), ev.filter(is_history), ["identity", "k"]).select(
         "event_id", "identity", "k"
     )
+
+
+# --- the chained run -----------------------------------------------------------------------
+
+# Fixed values of the run: word weights and thresholds.
+WORDS = {"error": 0.9, "purchase": 0.5, "get": 0.05}
+CHAIN = SEQ.replace(EV, f"""
+{TELE}, ev AS (SELECT event_id, ts_us AS us, identity, et AS event_type, action, 0 AS k FROM good WHERE identity IS NOT NULL)""")
+
+
+@query("detection_pipeline", f"""
+WITH {CHAIN}, sc AS (SELECT identity, seq_no, round(CASE WHEN length < 10 THEN base ELSE mse END, 6) AS s FROM scored),
+st AS (SELECT seq.identity, step_us, s FROM seq LEFT JOIN sc USING (identity, seq_no)),
+al AS (SELECT event_id, ev.identity, us, coalesce(s, 0.0) AS s_n, least(
+    CASE WHEN contains(lower(action), 'error') THEN 0.9 ELSE 0 END + CASE WHEN contains(lower(action), 'purchase') THEN 0.5 ELSE 0 END
+    + CASE WHEN contains(lower(action), 'get') THEN 0.05 ELSE 0 END, 1.0)::DOUBLE AS s_l
+  FROM ev LEFT JOIN st ON ev.identity = st.identity AND us // {HOUR}000000 * {HOUR}000000 = step_us),
+fl AS (SELECT *, s_l >= 0.7 AS is_a, s_n >= 0.5 AS is_b FROM al),
+near AS (SELECT DISTINCT x.event_id FROM fl x JOIN fl y ON x.identity = y.identity AND abs(x.us - y.us) <= 3600000000
+  AND ((x.is_a AND y.is_b) OR (x.is_b AND y.is_a))),
+co AS (SELECT fl.*, near.event_id IS NOT NULL AS correlated FROM fl LEFT JOIN near USING (event_id)),
+fu AS (SELECT *, CASE WHEN correlated THEN least((0.5 * s_l + 0.5 * s_n) * 1.5, 1.0) ELSE 0.5 * s_l + 0.5 * s_n END AS fused FROM co),
+de AS (SELECT *, CASE WHEN abs(s_l - s_n) > 0.6 THEN 'ESCALATE' WHEN correlated AND fused >= 0.75 THEN 'HARD_CONTAINMENT'
+  WHEN fused >= 0.75 THEN 'SOFT_QUARANTINE' WHEN fused >= 0.45 THEN 'ESCALATE' ELSE 'DISMISS' END AS decision FROM fu)
+SELECT event_id, round(s_l, 4) AS s_l, round(s_n, 4) AS s_n, correlated, decision, CASE decision WHEN 'HARD_CONTAINMENT' THEN 'revoke_credentials'
+  WHEN 'SOFT_QUARANTINE' THEN 'restrict_session' WHEN 'ESCALATE' THEN 'notify_analyst' END AS action_taken FROM de""")
+def detection_pipeline(spark, sf):
+    # Lines are parsed and normalised; thresholds are read from a written table, as tuning leaves them.
+    events = normalize_lines(telemetry_raw(spark, sf)).select("event_id", "ts", "identity", "event_type", "action")
+    kind = F.col("event_type")
+    classes = {
+        "logon": kind.isin("signup", "view"), "file": kind.isin("click", "purchase"), "device": kind == "error",
+    }
+    path = scratch_path(spark, "thresholds")
+    config = "0.75D theta_contain, 0.45D theta_escalate, 0.6D theta_disagree, 1.5D boost_factor, 3600D delta_t, 0.5D w_lotllm, 0.5D w_nhi"
+    write_table(spark.sql(f"SELECT {config}"), path)
+    lexicon = spark.createDataFrame(list(WORDS.items()), "term string, weight double")
+    found = detection_run(
+        events, classes, F.lit(False), lexicon, spark.read.parquet(path), F.unix_micros("seq_start") < CUTOFF_US, HOUR, DAY, 0.7, 0.5, 3600
+    )
+    return found.select("event_id", F.round("s_l", 4).alias("s_l"), F.round("s_n", 4).alias("s_n"), "correlated", "decision", "action_taken")
