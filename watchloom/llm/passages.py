@@ -36,7 +36,7 @@ from watchloom.session import materialize
 
 WIDTH, LEAST, HASHES = 5, 46, 4
 GAPS = (12, 4, 0)  # unmatched tokens inside a stretch: first wide, then strict
-SLICE, BUCKET = 4 << 20, 32 << 20
+SLICE, BUCKET = 2 << 20, 32 << 20
 _POS = np.uint64((1 << 28) - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = kernel.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * _GOLD)
@@ -230,16 +230,14 @@ def verify(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int] | None:
 
 
 def _regions(batches):
-    for batch in batches:
-        tokens, before, _, marks = nodes_of(batch.column("text"))
-        short, asked = tokens.astype(np.uint32), batch.column("grids").to_pylist()
-        out = []
-        for i, grids in enumerate(asked):
-            own = short[before[i] : before[i + 1]]
-            for g in grids:
-                low = max(0, (g - 1) * LEAST)
-                out.append((marks[i].astype(np.int64), g, own[low : (g + 2) * LEAST].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([int(r[0]) for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["node", "grid", "tokens"])
+    for whole in batches:
+        for batch in kernel.slices(whole, "text", SLICE):
+            tokens, before, _, marks = nodes_of(batch.column("text"))
+            short, out = tokens.astype(np.uint32), []
+            for i, grids in enumerate(batch.column("grids").to_pylist()):
+                own = short[before[i] : before[i + 1]]
+                out += [(int(marks[i].astype(np.int64)), g, own[max(0, (g - 1) * LEAST) : (g + 2) * LEAST].tobytes()) for g in grids]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["node", "grid", "tokens"])
 
 
 def _checked(batches):
