@@ -122,7 +122,7 @@ def _consistent(likely: DataFrame, rows: DataFrame, items: DataFrame) -> DataFra
     words = computed(texts, "own", template_words(F.col("body"))).select("row_id", "row_text", "own")
     theirs = computed(items.groupBy("item_id").agg(F.min("item_text").alias("item_text")), "theirs", template_words(F.col("item_text")))
     theirs = computed(theirs, "slots", _template(F.col("theirs"))).select("item_id", "theirs", "slots")
-    pairs = likely.join(words, ["row_id", "row_text"]).join(theirs, "item_id")
+    pairs = likely.hint("merge").join(words, ["row_id", "row_text"]).join(theirs, "item_id")  # its arrays are small as files only
     slot = pairs.select(
         "row_id", "row_text", "item_id",
         F.explode(F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform(
