@@ -104,12 +104,12 @@ def test_linear_autoencoder_rebuilds_its_own_plane(spark):
     assert max(got[i] for i in range(60)) < 1e-9 and got[99] > 1
 
 
-def test_nearest_entries_refuse_a_large_index(spark):
-    rows = spark.createDataFrame([(1, [1.0, 0.0])], "id int, v array<double>")
-    index = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "e int, entry array<double>")
-    assert [r.e for r in models.nearest_entries(rows, "id", "v", index, "e", 2).orderBy("rank").collect()] == [0, 1]
-    with pytest.raises(ValueError):
-        models.nearest_entries(rows, "id", "v", index, "e", 2, max_entries=2)
+@pytest.mark.parametrize("block", [1, 2, 10_000])
+def test_nearest_entries_are_the_same_in_any_blocks(spark, block):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id int, v array<double>")
+    index = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "e int, entry array<double>")
+    got = sorted((r.id, r["rank"], r.e) for r in models.nearest_entries(rows, "id", "v", index, "e", 2, block).collect())
+    assert got == [(1, 1, 0), (1, 2, 1), (2, 1, 4), (2, 2, 3)]
 
 
 @pytest.mark.parametrize(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 from collections.abc import Iterator
 
@@ -162,29 +163,34 @@ def class_index(vectors: DataFrame, label: str, vector: str, width: int) -> Data
 
 
 def nearest_entries(
-    rows: DataFrame, row_id: str, vector: str, index: DataFrame, index_id: str, k: int, max_entries: int = 10_000
+    rows: DataFrame, row_id: str, vector: str, index: DataFrame, index_id: str, k: int, block: int = 10_000
 ) -> DataFrame:
     """The ``k`` index entries nearest to each row by cosine similarity.
 
-    The index is a static, curated list. It travels as one value inside the plan, after its
-    size is checked, and each row keeps only its best ``k``: no row pairs are ever formed.
+    The index is a static, curated list. It travels in blocks of ``block`` entries as values inside the plan,
+    each with its norm; each row keeps only its best ``k`` of every block and then of all: no row pairs are
+    ever formed.
     """
-    if index.count() > max_entries:
-        raise ValueError(f"the index has more than {max_entries} entries")
-    entries = index.agg(F.collect_list(F.struct(F.col(index_id).alias("id"), F.col("entry").alias("v")))).scalar()
     dot = lambda a, b: F.aggregate(
         F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v
     )
+    numbered = index.select(F.col(index_id).alias("id"), F.col("entry").alias("v"), F.sqrt(dot(F.col("entry"), F.col("entry"))).alias("norm"))
+    blocks = -(-index.count() // block)
     norm = F.sqrt(dot(F.col(vector), F.col(vector).cast("array<double>")))
-    with_index = rows.select(row_id, vector, norm.alias("_norm")).withColumn("_entries", entries)
-    scored = F.transform(
-        "_entries",
-        lambda e: F.struct(
-            (-dot(F.col(vector), e["v"]) / (F.col("_norm") * F.sqrt(dot(e["v"], e["v"])))).alias("neg"), e["id"].alias("id")
-        ),
-    )
-    best = with_index.select(row_id, F.posexplode(F.slice(F.array_sort(scored), 1, k)).alias("place", "hit"))
-    return best.select(
+    found = []
+    for number in range(max(1, blocks)):
+        part = numbered.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))) == number)
+        entries = part.agg(F.collect_list(F.struct("id", "v", "norm"))).scalar()
+        scored = F.transform(
+            "_entries", lambda e: F.struct((-dot(F.col(vector), e["v"]) / (F.col("_norm") * e["norm"])).alias("neg"), e["id"].alias("id"))
+        )
+        near = rows.select(row_id, vector, norm.alias("_norm")).withColumn("_entries", entries)
+        found.append(near.select(row_id, F.slice(F.array_sort(scored), 1, k).alias("_best")))
+    best = found[0]
+    if blocks > 1:
+        best = functools.reduce(DataFrame.unionByName, found).groupBy(row_id).agg(
+            F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, k).alias("_best")  # k a block
+        )
+    return best.select(row_id, F.posexplode("_best").alias("place", "hit")).select(
         row_id, F.col("hit.id").alias(index_id), (-F.col("hit.neg")).alias("similarity"), (F.col("place") + 1).alias("rank")
     )
-
