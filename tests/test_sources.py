@@ -104,8 +104,11 @@ def test_preprocessing_job_writes_four_outputs(spark, tmp_path):
     assert by_source["iam"]["event_type"] == by_source["iam"]["action"] == "AssumeRole"
     found = [json.loads(r.value) for r in spark.read.text(f"{out}/windows/session").collect()]
     sysmon = [w for w in found if w["session_key"]["host"] == "windows-host"]
-    assert [(w["session_key"]["identity"], w["event_count"], len(w["events"])) for w in sysmon] == [("<unknown>", 6, 6)]
-    assert sysmon[0]["events"][0]["raw_payload"]["user"] == "svc"
+    assert [(w["session_key"]["identity"], w["event_count"]) for w in sysmon] == [("<unknown>", 6)]
+    members = [json.loads(r.value) for r in spark.read.text(f"{out}/windows/session_members").collect()]
+    held = sorted((m["position"], m["event_id"]) for m in members if m["window_id"] == sysmon[0]["window_id"])
+    assert held == list(enumerate(sorted(e["event_id"] for e in events if e["source_type"] == "sysmon")))
+    assert len(members) == len(events) == 28
 
 
 def test_source_without_input_has_a_zero_row(spark, tmp_path):
