@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 NO_ID = 2**63 - 1
 
 
+#: Rows of a batch that goes to Python: with long texts, the default of 10,000 is tens of megabytes a task.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with batches of ``BATCH_ROWS`` at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

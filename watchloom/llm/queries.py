@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm import bpe_chunks, decontaminate, lines, lm, ngram_join, passages, pii, quality, token_files, url_cascade
-from watchloom.llm.common import table
+from watchloom.llm.common import small_batches, table
 from watchloom.session import scratch_path
 
 #: URL rules (action, host, path start) and the host labels on the block list.
@@ -77,10 +77,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.filter_urls(pages, URL_RULES, is_listed).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {
+_ALL = {
     "op1_quality_rules": op1_quality_rules, "op2_passages": op2_passages, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_bpe_codec": op6_bpe_codec,
     "op7_decontamination": op7_decontamination, "op8_token_files": op8_token_files, "op9_lm_scores": op9_lm_scores, "op10_url_filter": op10_url_filter,
 }
+QUERIES = {name: (lambda spark, sf_dir, f=f: f(small_batches(spark), sf_dir)) for name, f in _ALL.items()}
 
 ORACLES = {
     "op10_url_filter": """
