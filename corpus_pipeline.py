@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm import bpe_chunks, decontaminate, lines, ngram_join, quality
-from watchloom.llm.common import table
+from watchloom.llm.common import small_batches, table
 from watchloom.llm.queries import word_bpe
 from watchloom.session import scratch_path
 
@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs.select(*COLUMNS), table(small_batches(spark), sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
