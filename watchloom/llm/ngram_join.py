@@ -39,7 +39,7 @@ from watchloom.session import materialize
 WIDTH = 5
 SLICE, BUCKET = 4 << 20, 8 << 20  # bytes of text in a shard, and behind a bucket
 HEAVY = 16  # a shingle in so many sets of a shard keeps its list in the shard
-LEVELS, VERIFY = 8, 4.0
+LEVELS, VERIFY = 2, 4.0
 SALTS = 8
 
 
@@ -214,9 +214,12 @@ def _rest_pairs(postings: DataFrame) -> DataFrame:
     """
     small = postings.filter("short").select("token", *(F.col(c).alias(f"{c}_w") for c in ("part", "node", "n", "s", "level", "rank")))
     once = (F.col("n_w") < F.col("n")) | (F.col("n_w") == F.col("n")) & (~F.col("short") | (F.col("node_w") < F.col("node")))
-    # As both sizes are known here, so is the overlap they need, and with it how early the matches must lie.
-    spare = F.least("level", "level_w") - F.floor((3 * (F.col("n") + F.col("n_w")) + 6) / 7)
-    early = (F.col("rank") < F.col("s") + spare) & (F.col("rank_w") < F.col("s_w") + spare)
+    # As both sizes are known here, so is the overlap they need, and with it how early the matches must lie and
+    # how far apart their ranks may be: what is common is at most what comes before both and after both.
+    need, least = F.floor((3 * (F.col("n") + F.col("n_w")) + 6) / 7), F.least("level", "level_w")
+    early = (F.col("rank") < F.col("s") - need + least) & (F.col("rank_w") < F.col("s_w") - need + least)
+    apart = F.col("rank") - F.col("rank_w")
+    early = early & (apart <= F.col("s") - need) & (-apart <= F.col("s_w") - need)
     pairs = postings.join(small, "token").filter((F.col("part") != F.col("part_w")) & once & _possible("n", "s", "n_w", "s_w") & early)
     return pairs.groupBy(*_ordered_pair("node", "node_w")).agg(F.count("*").alias("c"), F.min(F.least("level", "level_w")).alias("l")).filter("c >= l").select("u", "v")
 
@@ -240,7 +243,8 @@ def links(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     postings = nodes.select("node", "n", F.size("tokens").alias("s"), "level", "short", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("rank", "token"))
     postings = postings.select("node", "n", "s", "level", "rank", (F.col("rank") < F.col("short")).alias("short"), "token")
     lists = postings.groupBy("token").agg(F.count("*").alias("c"), F.max("short").alias("any")).filter("c > 1 AND any").select("token")
-    edges = materialize(_star_links(postings.join(lists, "token").withColumn("part", F.col("node")), nodes), "links")
+    postings = materialize(postings.join(lists, "token"), "postings")
+    edges = materialize(_star_links(postings.withColumn("part", F.col("node")), nodes), "links")
     parts = connected_components(edges)
     rest = materialize(_verified(_rest_pairs(_open_lists(postings, parts)), nodes), "links")
     if rest.limit(1).count():
