@@ -33,7 +33,7 @@ from watchloom.llm.common import order_id, quoted
 from watchloom.llm.kernel import numbers, planes
 from watchloom.session import materialize
 
-SLICE, BUCKET = 4 << 20, 8 << 20
+SLICE, BUCKET = 2 << 20, 4 << 20
 FOLDS, HELD = 7, 2
 BITS, PROBES, MAX_BITS = 10, 6, 800_000_000
 LEVELS, PRIOR = 40, 8.0

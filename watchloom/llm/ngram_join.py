@@ -37,7 +37,7 @@ from watchloom.llm.kernel import numbers, planes
 from watchloom.session import materialize
 
 WIDTH = 5
-SLICE, BUCKET = 4 << 20, 8 << 20  # bytes of text in a shard, and behind a bucket
+SLICE, BUCKET = 2 << 20, 2 << 20  # bytes of text in a shard, and behind a bucket
 HEAVY = 16  # a shingle in so many sets of a shard keeps its list in the shard
 LEVELS, VERIFY = 2, 4.0
 SALTS = 8
