@@ -53,6 +53,24 @@ def test_shingle_sets():
     assert marks[0] == marks[1] == marks[2] and len(set(marks[3:].tolist())) == len(TEXTS) - 3
 
 
+def test_equal_shards_count_once():
+    text = " ".join(f"w{k}" for k in range(300))
+    batch = pa.RecordBatch.from_arrays([pa.array([text, text + " end", "a b c d e f"])], ["text"])
+    for module, answered, kept in ((ngram_join, ngram_join._counted, ngram_join._nodes), (passages, passages._answered, passages._shared)):
+        seen = []
+        for batches in ([batch], [batch, batch]):
+            sent = pa.Table.from_batches(list(module._sent(6)(iter(batches)))).to_pylist()
+            keys = sorted({r["key"] for r in sent})
+            back = pa.concat_tables([answered(pa.Table.from_pylist([r for r in sent if r["key"] == k], module._schema(module._SENT))) for k in keys])
+            seen.append(kept(back).to_pylist())
+        assert seen[0] and {r["node"] for r in seen[0]} <= {r["node"] for r in seen[1]}
+        again = [r for r in seen[1] if r["node"] in {x["node"] for x in seen[0]}]
+        if module is ngram_join:
+            assert all(len(r["tokens"]) == len(set(r["tokens"])) for r in again)
+        else:
+            assert len({str(r) for r in seen[1]}) == len(seen[1])
+
+
 def test_quality_counts():
     got = quality.counts_of(pa.array(TEXTS))
     for k, text in enumerate(TEXTS):

@@ -187,6 +187,15 @@ def test_lm_scores(docs, empty, rows):
     assert all(r["score"] > r["base_score"] for r in seen)  # repeated pairs are known to the model
 
 
+def test_lm_scores_of_equal_shards(spark):
+    long = " ".join(prose(31, 1000)) + " same" * (lm.SLICE // 5)
+    some = spark.createDataFrame([(0, long), (1, long), (2, "a b"), (3, "a b"), (4, "b c")], "doc_id long, text string")
+    same = spark.createDataFrame([(k, None) for k in range(10, 4010)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in lm.score_documents(some.repartition(5).union(same)).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, *range(10, 4010)}
+    assert got[0]["n_known"] == got[1]["n_known"] == got[0]["n_tokens"] and len({got[k]["base_score"] for k in range(10, 4010)}) == 1
+
+
 def test_decontamination(docs, empty, spark, rows):
     items = spark.createDataFrame([
         (7, "If Maria Bell buys 12 apples at 3 dollars and sells Maria Bell 12 more of them how many apples remain then for the long trip?"),

@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +69,12 @@ def pairs(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _sent(bits: int):
+    """A shard is numbered by its partition and place in it, as equal texts can fill several shards. A repeated task
+    may cut other shards, so what it sent is written before it is grouped."""
+
     def run(batches):
+        task = TaskContext.get()
+        shard = (task.partitionId() if task else 0) << 32
         for whole in batches:
             for batch in kernel.slices(whole, "text", SLICE):
                 ids = batch.column("doc_id").to_pylist()
@@ -79,7 +85,6 @@ def _sent(bits: int):
                 both, often = np.unique(pairs(hashes, rows)[train], return_counts=True)
                 own = rows.astype(np.int64) * len(known) + back
                 own, times = np.unique(own, return_counts=True)
-                shard = int(np.bitwise_xor.reduce(kernel.mix(marks + np.arange(len(marks), dtype=np.uint64)))) >> 1
                 order = batch.column("order_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 out = [(-1 - shard, shard, planes(order), planes(marks), planes((own // len(known)).astype(np.uint32)), planes((own % len(known)).astype(np.uint32)), planes(times.astype(np.uint32)))]
                 edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
@@ -89,6 +94,7 @@ def _sent(bits: int):
                         if i < j:
                             out.append(((bucket << 1) + kind, shard, planes(values[i:j]), planes(numbers_[i:j]), b"", b"", b""))
                 yield pa.RecordBatch.from_pylist([dict(zip(("key", "shard", *"abcde"), r, strict=True)) for r in out], _schema(_SENT))
+                shard += 1
 
     return run
 
@@ -217,7 +223,8 @@ def score_documents(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     rows = df.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), order_id(quoted(id_column)).alias("order_id"), F.col(quoted(text)).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, int(size // BUCKET).bit_length())
-    back = materialize(rows.mapInArrow(_sent(bits), _SENT).groupBy("key").applyInArrow(_counted(MAX_BITS >> (bits + 1)), _BACK), "n-grams")
+    sent = materialize(rows.mapInArrow(_sent(bits), _SENT), "shards")
+    back = materialize(sent.groupBy("key").applyInArrow(_counted(MAX_BITS >> (bits + 1)), _BACK), "n-grams")
     totals = back.filter("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     segments = back.filter("kind = 2").select("bucket", "n", "a").toArrow()  # MAX_BITS at most
     model = df.sparkSession.sparkContext.broadcast(Filter(segments, bits, *totals))
