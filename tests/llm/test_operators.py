@@ -148,6 +148,20 @@ def test_passages_find_what_brute_force_finds(spark):
     assert all(got[i] >= 50 for i in range(150) if i % 3) and not any(got[i] for i in range(0, 150, 3))
 
 
+def test_passages_of_variants_in_large_groups(spark):
+    rng, out, kinds = random.Random(8), [], {}
+    for f in range(24):
+        most = prose(40 + f, 70)
+        few = [*most[:30], *prose(140 + f, 10), *most[40:]]  # 52 of 66 shingles, in halves too short alone
+        for i in range(20):
+            at, own = rng.randrange(60), prose(5000 + 20 * f + i, 60)
+            kinds[len(out)] = (f, i in (7, 13))
+            out.append((len(out), " ".join([*own[:at], *(few if i in (7, 13) else most), *own[at:]])))
+    got = {r["doc_id"]: r for r in passages.mark_passages(spark.createDataFrame(out, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[i]["n_repeated"] >= 70 for i in kinds)
+    assert {i: got[i]["component_id"] for i in kinds} == {i: min(j for j in kinds if kinds[j] == kinds[i]) for i in kinds}
+
+
 def test_bpe_codec(docs, empty, rows):
     library = tokenizer.load(word_bpe())
     coded = bpe_chunks.encode_corpus(docs, word_bpe())

@@ -7,11 +7,13 @@
    ancestors in the tree are as long, so the tree over them alone is the same.
 2. Windows with one min-hash in different texts collide. Which min-hashes occur in several texts is found by
    sending each shard's distinct ones to buckets of the hash range and getting the shared ones back. A text's
-   windows are compared with those of two picked texts of their group, so a group costs links, not pairs.
+   windows are first compared with those of two picked texts of their group, so a group costs links, not pairs.
 3. For two texts, an interval join pairs collisions of different hash functions whose windows overlap in both
    texts and leave room for ``LEAST`` tokens: subsequences there agree in at least two min-hashes.
 4. Every such place is verified: the tokens around it are compared, and the longest stretch of matching
    tokens, with wide or else narrower gaps, must have ``LEAST`` tokens and a Jaccard similarity of 0.75.
+5. Groups whose texts are then in several components, or have pivots outside the passages found, are joined
+   whole, by the min-hashes of two functions at once, and verified like the others.
 
 Equal texts (by their words) are one node; their copies share its passages, and a text with copies is a
 passage as a whole if it is long enough.
@@ -37,6 +39,7 @@ from watchloom.session import materialize
 WIDTH, LEAST, HASHES = 5, 46, 4
 GAPS = (12, 4, 0)  # unmatched tokens inside a stretch: first wide, then strict
 SLICE, BUCKET = 2 << 20, 32 << 20
+CELL, BLOCK = 256, 500  # words that spans are looked up by; spots of a group that are joined in one task
 _POS = np.uint64((1 << 28) - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = kernel.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * _GOLD)
@@ -199,9 +202,53 @@ def _seeds(collisions: DataFrame) -> DataFrame:
     other = collisions.select("u", "v", F.explode(F.array(grid - 1, grid, grid + 1)).alias("grid"), *(F.col(c).alias(f"o_{c}") for c in ("fn", "xl", "xc", "xr", "yl", "yc", "yr")))
     paired = one.join(other, ["u", "v", "grid"]).filter("fn != o_fn")
     for s in "xy":
-        start, low, high, end = F.greatest(f"{s}l", f"o_{s}l"), F.least(f"{s}c", f"o_{s}c"), F.greatest(f"{s}c", f"o_{s}c"), F.least(f"{s}r", f"o_{s}r")
-        paired = paired.filter((start <= low) & (high <= end) & (end - start + 1 >= LEAST))
-    return paired.groupBy("u", "v", "grid").agg(F.min(F.struct("yc", "xc")).alias("s")).select("u", "v", F.col("s.xc").alias("at_u"), F.col("s.yc").alias("at_v"))
+        paired = paired.filter(_room(s, f"o_{s}", s, f"o_{s}"))
+    return _places(paired.select("u", "v", F.col("xc").alias("at_u"), F.col("yc").alias("at_v")))
+
+
+def _room(a: str, b: str, c: str, d: str):
+    """Two windows of one text, of which the columns' names begin so, leave room for ``LEAST`` tokens with both pivots."""
+    start, end = F.greatest(f"{a}l", f"{b}l"), F.least(f"{a}r", f"{b}r")
+    return (start <= F.least(f"{c}c", f"{d}c")) & (F.greatest(f"{c}c", f"{d}c") <= end) & (end - start + 1 >= LEAST)
+
+
+def _places(seeds: DataFrame) -> DataFrame:
+    """One place for each two texts and grid cells of both."""
+    cells = [F.floor(F.col(f"at_{s}") / LEAST).cast("int").alias(f"grid_{s}") for s in "uv"]
+    return seeds.groupBy("u", "v", *cells).agg(F.min(F.struct("at_v", "at_u")).alias("s")).select("u", "v", "s.at_u", "s.at_v", "grid_u", "grid_v")
+
+
+def _left(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Seeds between all texts of a group that the picked texts leave open.
+
+    Two windows of one text with different hash functions that leave room for a passage are a spot. Spots with
+    the same two min-hashes are a group. Where it lies in texts of one component and in verified passages only,
+    nothing is left to find; of any other group all pairs are built that differ in component or have a spot
+    outside the passages. Groups are dealt out in blocks by the text on one side.
+    """
+    spans = _spans(found).select("node", F.explode("spans").alias("s"))
+    spans = spans.select("node", "s.low", "s.high").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / CELL), F.floor(F.col("high") / CELL))))
+    own = shared.select("hash", "fn", "node", "l", "c", "r").distinct().withColumn("cell", F.floor(F.col("c") / CELL))
+    inside = (own["node"] == spans["node"]) & (own["cell"] == spans["cell"]) & (spans["low"] <= own["c"]) & (own["c"] + WIDTH <= spans["high"])
+    bare = own.join(spans, inside, "left_anti").select("hash", "fn", "node", "c").withColumn("bare", F.lit(True))
+    marked = own.drop("cell").join(bare, ["hash", "fn", "node", "c"], "left").withColumn("bare", F.col("bare").isNotNull())
+    marked = marked.join(connected_components(found.select("u", "v")), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    # Only groups with something left go on: those of min-hashes first, then those of spots.
+    open_ = (F.min("part") != F.max("part")) | (F.max("bare") & (F.min("node") != F.max("node")))
+    marked = materialize(marked.join(marked.groupBy("hash").agg(open_.alias("o")).filter("o").select("hash"), "hash", "left_semi"), "open-windows")
+    grid = F.floor(F.col("c") / LEAST).cast("int")
+    other = marked.select("node", F.explode(F.array(grid - 1, grid, grid + 1)).alias("grid"), *(F.col(x).alias(f"o_{x}") for x in ("hash", "fn", "l", "c", "r", "bare")))
+    spots = marked.withColumn("grid", grid).join(other, ["node", "grid"]).filter((F.col("fn") < F.col("o_fn")) & _room("", "o_", "", "o_"))
+    spots = spots.select("hash", "o_hash", "node", "part", F.least("c", "o_c").alias("at"), (F.col("bare") | F.col("o_bare")).alias("bare"), F.floor(F.col("c") / LEAST).alias("g"))
+    # Spots of one text, cell and group lead to the same places.
+    spots = materialize(spots.groupBy("hash", "o_hash", "node", "part", "g").agg(F.min("at").alias("at"), F.max("bare").alias("bare")), "spots")
+    groups = spots.groupBy("hash", "o_hash").agg(open_.alias("o"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("o").drop("o")
+    dealt = spots.join(groups, ["hash", "o_hash"])
+    x = dealt.withColumn("block", F.pmod(F.xxhash64("node", "g"), F.col("blocks")).cast("int")).select("hash", "o_hash", "block", F.col("node").alias("u"), "part", "bare", F.col("at").alias("at_u"))
+    y = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    y = y.select("hash", "o_hash", "block", F.col("node").alias("v"), F.col("part").alias("o_part"), F.col("bare").alias("o_bare"), F.col("at").alias("at_v"))
+    pairs = x.join(y, ["hash", "o_hash", "block"]).filter("u < v AND (part != o_part OR bare OR o_bare)")
+    return _places(pairs)
 
 
 def _stretch(matched: np.ndarray, gap: int) -> tuple[int, int]:
@@ -263,6 +310,17 @@ def _marked(keep_text: bool):
     return run
 
 
+def _verified(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The passages around the seeds; only texts with a seed are read again."""
+    asked = seeds.select(F.col("u").alias("node"), F.col("grid_u").alias("g")).union(seeds.select("v", "grid_v")).distinct()
+    asked = asked.groupBy("node").agg(F.collect_list("g").alias("grids"))  # at most a text's length / LEAST
+    texts = rows.mapInArrow(_marked(True), "doc_id long, node long, n_words long, text string").join(asked, "node").select("text", "grids")
+    regions = materialize(texts.mapInArrow(_regions, "node long, grid int, tokens binary").dropDuplicates(["node", "grid"]), "regions")
+    side = lambda end: regions.select(F.col("node").alias(end), F.col("grid").alias(f"grid_{end}"), F.col("tokens").alias(f"t_{end}"))
+    whole = seeds.join(side("u"), ["u", "grid_u"]).join(side("v"), ["v", "grid_v"])
+    return materialize(whole.mapInArrow(_checked, "u long, v long, u_low int, u_high int, v_low int, v_high int"), "passages")
+
+
 def find_passages(df: DataFrame, text: str = "text") -> DataFrame:
     """Verified passages of two texts: ``u``, ``v`` (text hashes) and word spans in both; ends are exclusive."""
     rows = df.select(F.lit(None).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
@@ -271,15 +329,15 @@ def find_passages(df: DataFrame, text: str = "text") -> DataFrame:
     back = materialize(rows.mapInArrow(_sent(bits), _SENT).groupBy("key").applyInArrow(_answered, _BACK), "min-hashes")
     shared = materialize(back.groupBy("shard").applyInArrow(_shared, _SHARED), "windows")
     seeds = materialize(_seeds(_collisions(shared)), "seeds")
-    grid = lambda c: F.floor(F.col(c) / LEAST).cast("int")
-    seeds = seeds.withColumns({"grid_u": grid("at_u"), "grid_v": grid("at_v")})
-    asked = seeds.select(F.col("u").alias("node"), F.col("grid_u").alias("g")).union(seeds.select("v", "grid_v")).distinct()
-    asked = asked.groupBy("node").agg(F.collect_list("g").alias("grids"))  # at most a text's length / LEAST
-    texts = rows.mapInArrow(_marked(True), "doc_id long, node long, n_words long, text string").join(asked, "node").select("text", "grids")
-    regions = materialize(texts.mapInArrow(_regions, "node long, grid int, tokens binary").dropDuplicates(["node", "grid"]), "regions")
-    side = lambda end: regions.select(F.col("node").alias(end), F.col("grid").alias(f"grid_{end}"), F.col("tokens").alias(f"t_{end}"))
-    whole = seeds.join(side("u"), ["u", "grid_u"]).join(side("v"), ["v", "grid_v"])
-    return materialize(whole.mapInArrow(_checked, "u long, v long, u_low int, u_high int, v_low int, v_high int"), "passages")
+    found = _verified(rows, seeds)
+    rest = materialize(_left(shared, found).join(seeds, ["u", "v", "grid_u", "grid_v"], "left_anti"), "seeds-left")
+    return found.union(_verified(rows, rest)) if rest.count() else found
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """Per text (``node``) its ``spans`` of words in passages."""
+    spans = found.select(F.col("u").alias("node"), F.col("u_low").alias("low"), F.col("u_high").alias("high")).union(found.select("v", "v_low", "v_high")).distinct()
+    return spans.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans")).withColumn("spans", _merged(F.col("spans")))
 
 
 def _merged(spans):
@@ -298,8 +356,7 @@ def mark_passages(df: DataFrame, id_column: str = "doc_id", text: str = "text")
     """Per row: ``doc_id``, ``n_words``, ``n_repeated`` (words in passages found elsewhere), ``spans`` of words,
     ``n_copies`` (documents with equal words) and ``component_id``, the smallest id linked by passages."""
     found = find_passages(df, text)
-    spans = found.select(F.col("u").alias("node"), F.col("u_low").alias("low"), F.col("u_high").alias("high")).union(found.select("v", "v_low", "v_high")).distinct()
-    per_node = spans.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans")).withColumn("spans", _merged(F.col("spans")))
+    per_node = _spans(found)
     parts = connected_components(found.select("u", "v"))
     rows = df.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
     marked = materialize(rows.mapInArrow(_marked(False), "doc_id long, node long, n_words long"), "documents")
