@@ -227,6 +227,19 @@ def test_decontamination(docs, empty, spark, rows):
     assert decontaminate.mark_contaminated(empty, items).count() == 0 and not decontaminate.mark_contaminated(docs, items.limit(0)).filter("contaminated").count()
 
 
+def test_decontamination_looks_at_each_occurrence(spark):
+    first = "a train leaves the old station at 12 with 80 people and at 15 another one follows it with 95 people so when do both of them meet"
+    second = " then ".join(f"add {k} and {k + 2}" for k in (3, 7, 20, 31, 50, 64)) + " and say what remains"
+    other = lambda *n: first.replace("12", n[0]).replace("80", n[1]).replace("15", n[2]).replace("95", n[3])
+    docs = [
+        (1, first), (2, f"{first}. Once more: {other('31', '44', '72', '63')}"), (3, f"{other('9', '71', '22', '18')} or, as well, {other('31', '44', '72', '63')}"), (4, second),
+        (5, first.replace("another one", "another quite fast one")), (6, "a train leaves the old station and nothing else of it is here"), (7, other("9", "9", "9", "9") + " again"),
+    ]
+    items = spark.createDataFrame([(1, first), (2, second)], "item_id long, text string")
+    got = decontaminate.mark_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert {r["doc_id"]: r["n_items"] for r in got.filter("contaminated").collect()} == dict.fromkeys((1, 2, 3, 4, 5, 7), 1)
+
+
 def test_urls(spark):
     urls = [
         None, "", "no scheme", "http://", "https://A.B.Example.COM/en/x?y#z", "http://example.com/en", "http://example.com?q", "ftp://x.net/es/1", "http://www.example.com/en/#t",

@@ -4,7 +4,10 @@ Texts and benchmark items are rewritten to templates: numbers, names (a capitali
 doesn't end a sentence) and units after a number become typed placeholders, the rest is lower-cased and cut
 at everything but letters and digits. Windows of ``WINDOW`` template words are hashed and joined by hash. An
 item is found in a document that has at least ``SHARE`` of its distinct windows, or a run of ``RUN``
-consecutive ones. Then the slots are checked: over the matched windows, a number, name or unit of the item
+consecutive ones. Matched places lie on alignments (document place less item place), each of which is taken
+alone, with its neighbours up to each number of ``REACH``, and with all others, and one that passes is enough: an
+item may occur several times with other values, and a repeated template matches crosswise. Then the slots are
+checked: over the matched windows of the alignment, a number, name or unit of the item
 must stand for one value of the document each; re-parameterised questions pass, mere look-alikes with
 changing values don't. At least ``CONSISTENT`` of the item's slot values must do so.
 
@@ -19,7 +22,7 @@ skipped; items that share an id are searched as one id. No items: nothing is con
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.llm.common import computed, fresh, order_id, quoted
@@ -27,6 +30,7 @@ from watchloom.session import materialize
 
 WINDOW, LEAST = 8, 5
 SHARE, RUN, CONSISTENT = 0.5, 12, 0.8
+REACH = (0, 1, 4)  # words that may be added or left out between alignments taken together
 MAX_BROADCAST = 1_000_000
 # Unit words that count as a unit after a number.
 UNITS = (
@@ -103,8 +107,14 @@ def find_contamination(df: DataFrame, items: DataFrame, id_column: str = "doc_id
     seen = hashed.select("row_id", "row_text", F.inline(every))
     matched = seen.join(F.broadcast(windows) if small else windows, "hash")
     found = matched.groupBy("row_id", "row_text", "item_id", "n_windows").agg(
-        F.count_distinct("hash").alias("n_found"), F.array_sort(F.collect_set(F.struct("place", "at", "width"))).alias("places")
+        F.count_distinct("hash").alias("n_found"), F.array_sort(F.collect_set(F.struct("place", "at", "width", "hash"))).alias("places")
     )
+    likely = materialize(_enough(found), "likely")
+    return _consistent(likely, rows, items.select(order_id(quoted(item_id)).alias("item_id"), F.col(quoted(item_text)).alias("item_text")))
+
+
+def _enough(found: DataFrame) -> DataFrame:
+    """Rows whose ``places`` make up enough of the item, with the longest run."""
     longest = F.aggregate(
         F.array_sort(F.array_distinct(F.transform("places", lambda p: p["place"]))), F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")),
         lambda acc, p: F.struct(
@@ -112,8 +122,21 @@ def find_contamination(df: DataFrame, items: DataFrame, id_column: str = "doc_id
             F.greatest(acc["best"], F.when(p == acc["last"] + 1, acc["run"] + 1).otherwise(1)).alias("best"),
         ), lambda acc: acc["best"],
     )
-    likely = materialize(found.withColumn("longest", longest).filter((F.col("n_found") >= SHARE * F.col("n_windows")) | (F.col("longest") >= RUN)), "likely")
-    return _consistent(likely, rows, items.select(order_id(quoted(item_id)).alias("item_id"), F.col(quoted(item_text)).alias("item_text")))
+    return found.withColumn("longest", longest).filter((F.col("n_found") >= SHARE * F.col("n_windows")) | (F.col("longest") >= RUN))
+
+
+def _alignments(likely: DataFrame) -> DataFrame:
+    """Each pair once for every group of its alignments that makes up enough of the item: ``reach``, ``line``."""
+    key = ["row_id", "row_text", "item_id", "n_windows"]
+    single = likely.select(*key, F.explode("places").alias("p")).groupBy(*key, (F.col("p.at") - F.col("p.place")).alias("shift")).agg(F.collect_list("p").alias("p"))
+    order = Window.partitionBy(*key).orderBy("shift")
+    gap = F.col("shift") - F.lag("shift").over(order)
+    broken = single.withColumn("gap", gap).withColumns({f"line{r}": F.sum((F.col("gap") > r).cast("int")).over(order) for r in REACH})
+    lines = F.array(*(F.struct(F.lit(r).alias("reach"), F.coalesce(f"line{r}", F.lit(0)).alias("line")) for r in REACH))
+    grouped = broken.select(*key, "p", F.inline(lines)).groupBy(*key, "reach", "line").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("places"))
+    grouped = grouped.withColumn("n_found", F.size(F.array_distinct(F.transform("places", lambda p: p["hash"]))).cast("long"))
+    whole = likely.select(*key, F.lit(-1).alias("reach"), F.lit(0).cast("long").alias("line"), "places", "n_found", "longest")
+    return _enough(grouped).unionByName(whole)
 
 
 def _consistent(likely: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -122,18 +145,20 @@ def _consistent(likely: DataFrame, rows: DataFrame, items: DataFrame) -> DataFra
     words = computed(texts, "own", template_words(F.col("body"))).select("row_id", "row_text", "own")
     theirs = computed(items.groupBy("item_id").agg(F.min("item_text").alias("item_text")), "theirs", template_words(F.col("item_text")))
     theirs = computed(theirs, "slots", _template(F.col("theirs"))).select("item_id", "theirs", "slots")
-    pairs = likely.hint("merge").join(words, ["row_id", "row_text"]).join(theirs, "item_id")  # its arrays are small as files only
+    lines, key = materialize(_alignments(likely), "alignments"), ["row_id", "row_text", "item_id", "reach", "line"]
+    pairs = lines.hint("merge").join(words, ["row_id", "row_text"]).join(theirs, "item_id")  # its arrays are small as files only
     slot = pairs.select(
-        "row_id", "row_text", "item_id",
+        *key,
         F.explode(F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform(
             F.filter(F.sequence(F.lit(0), p["width"] - 1), lambda j: F.get("slots", p["place"] + j).isin(_NUMBER, _NAME, _UNIT)),
             lambda j: F.struct(F.get("theirs", p["place"] + j).alias("theirs"), F.get("own", p["at"] + j).alias("own")),
         ))))).alias("s"),
     )
-    values = slot.groupBy("row_id", "row_text", "item_id", "s.theirs").agg(F.count("*").alias("n"))
-    agreed = values.groupBy("row_id", "row_text", "item_id").agg(F.avg((F.col("n") == 1).cast("double")).alias("agreed"))
-    out = likely.join(agreed, ["row_id", "row_text", "item_id"], "left").withColumn("agreed", F.coalesce("agreed", F.lit(1.0)))
-    return out.filter(F.col("agreed") >= CONSISTENT).drop("places")
+    values = slot.groupBy(*key, "s.theirs").agg(F.count("*").alias("n"))
+    agreed = values.groupBy(*key).agg(F.avg((F.col("n") == 1).cast("double")).alias("agreed"))
+    out = lines.drop("places").join(agreed, key, "left").withColumn("agreed", F.coalesce("agreed", F.lit(1.0))).filter(F.col("agreed") >= CONSISTENT)
+    best = out.groupBy("row_id", "row_text", "item_id", "n_windows").agg(F.max(F.struct("n_found", "longest", "agreed")).alias("best"))
+    return best.select("row_id", "row_text", "item_id", "n_windows", "best.*")
 
 
 def mark_contaminated(df: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
