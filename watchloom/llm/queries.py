@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import bpe_chunks, decontaminate, lines, lm, ngram_join, passages, pii, quality, token_files, url_cascade
+from watchloom.llm import bpe_chunks, decontaminate, licenses, lines, lm, ngram_join, passages, pii, quality, token_files, url_cascade
 from watchloom.llm.common import small_batches, table
 from watchloom.session import scratch_path
 
@@ -77,9 +77,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.filter_urls(pages, URL_RULES, is_listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("licenses", lambda m: m["phrase"])
+    starts = F.transform(base, lambda m: m["first_word"])
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda m: m["label"]))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("licenses")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("licenses", lambda m: m["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 _ALL = {
     "op1_quality_rules": op1_quality_rules, "op2_passages": op2_passages, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_bpe_codec": op6_bpe_codec,
     "op7_decontamination": op7_decontamination, "op8_token_files": op8_token_files, "op9_lm_scores": op9_lm_scores, "op10_url_filter": op10_url_filter,
+    "op13_license_scan": op13_license_scan,
 }
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(small_batches(spark), sf_dir)) for name, f in _ALL.items()}
 
