@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import bpe_chunks, decontaminate, licenses, lines, lm, ngram_join, passages, pii, quality, token_files, url_cascade
+from watchloom.llm import bpe_chunks, decontaminate, licenses, lines, lm, ngram_join, passages, pii, quality, spelling, token_files, url_cascade
 from watchloom.llm.common import small_batches, table
 from watchloom.session import scratch_path
 
@@ -77,6 +77,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.filter_urls(pages, URL_RULES, is_listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = spelling.group_variants(table(spark, sf_dir, "documents"), slips=True)
+    return grouped.select("word", "n", "n_near", "form", "form_n", "root")
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("licenses", lambda m: m["phrase"])
@@ -92,7 +97,7 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = {
     "op1_quality_rules": op1_quality_rules, "op2_passages": op2_passages, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_bpe_codec": op6_bpe_codec,
     "op7_decontamination": op7_decontamination, "op8_token_files": op8_token_files, "op9_lm_scores": op9_lm_scores, "op10_url_filter": op10_url_filter,
-    "op13_license_scan": op13_license_scan,
+    "op12_spelling_variants": op12_spelling_variants, "op13_license_scan": op13_license_scan,
 }
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(small_batches(spark), sf_dir)) for name, f in _ALL.items()}
 
