@@ -11,9 +11,9 @@ away: lengths ``m``, ``m + 1`` and ``m - 1``, each with its own bound on the cou
   box is within its bounds. The cuts are all that tasks are given.
 * A leaf with more words, or more queries, than a task should hold is dealt into blocks; each block of
   queries meets each block of words, whatever makes the leaf large.
-* Inside a block a k-d tree with tight boxes is built over the words. Pairs of queries and boxes are pruned level
-  by level, all queries at once and in bounded parts; words of the boxes that are left are compared by vector,
-  then letter by letter in order.
+* Inside a block a k-d tree with tight boxes is built over the words' distinct vectors. Pairs of query vectors and
+  boxes are pruned level by level, in bounded parts; vectors of the boxes that are left are compared, and words
+  with near vectors letter by letter in order.
 
 Each block answers with a query's number of near words and its best one; these are combined, so pairs of words
 are never listed. A word's form is its near word of largest count if that has at least twice its own count.
@@ -44,8 +44,8 @@ from watchloom.session import materialize
 
 SLICE = 4 << 20
 LETTERS, LEAST, SLIP = 5, 3, 97
-DIMENSIONS, LEAF, MAX_LEAVES, SAMPLE = 32, 8192, 4096, 1 << 18
-BUCKET, PART = 16, 1 << 18
+DIMENSIONS, MOST, LEAF, MAX_LEAVES, SAMPLE = 32, 7, 16384, 4096, 1 << 18
+BUCKET, PART = 8, 1 << 17
 _LETTER, _LEAD = byte_set((65, 90), (97, 122)), 0xC3
 _FIRST_LONG = 64
 
@@ -120,12 +120,17 @@ def count_words(df: DataFrame, id_column: str = "doc_id", text: str = "text", le
     return rows.mapInArrow(_counted(letters, SLIP if slips else None), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def letters_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points as a matrix filled up with zeros, and each word's length; all code points are below 256."""
-    raw = [w.encode("latin-1") for w in words]
-    sizes = np.array([len(w) for w in raw], np.int64)
-    width = int(sizes.max(initial=1))
-    return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in raw), np.uint8).reshape(len(raw), width), sizes
+def letters_of(words: list[str]) -> np.ndarray:
+    """Code points, all below 256, as a matrix; words of one length."""
+    return np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), -1 if words else 1)
+
+
+def by_length(words: list[str]):
+    """(length, places, code points) of the words of each length."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        yield size, own, letters_of([words[k] for k in own.tolist()])
 
 
 _SLOT = np.full(256, -1, np.int64)
@@ -134,14 +139,29 @@ _SLOT[0xC0:0x100] = 26 + np.arange(64) % (DIMENSIONS - 26)
 
 
 def vectors(codes: np.ndarray) -> np.ndarray:
-    """Letter counts of each word; counts above 255 are taken as 255, which brings no two words further apart."""
-    out = np.zeros((len(codes), DIMENSIONS), np.uint16)
-    for k in range(codes.shape[1]):
-        used = np.flatnonzero(codes[:, k])
-        if not len(used):
-            break
-        out[used, _SLOT[codes[used, k]]] += 1
-    return np.minimum(out, 255).astype(np.int16)
+    """Letter counts of each word; counts above ``MOST`` are taken as ``MOST``, which brings no two words further apart."""
+    at = np.repeat(np.arange(len(codes)), codes.shape[1]) * DIMENSIONS + _SLOT[codes.ravel()]
+    return np.minimum(np.bincount(at, minlength=len(codes) * DIMENSIONS).reshape(-1, DIMENSIONS), MOST).astype(np.int16)
+
+
+def packed(counts: np.ndarray) -> np.ndarray:
+    """A vector as two numbers of sixteen half bytes."""
+    halves = counts.astype(np.uint64).reshape(len(counts), 2, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(halves, axis=2)
+
+
+_TOP, _LOW = np.uint64(0x8888888888888888), np.uint64(0x1111111111111111)
+
+
+def above(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Whether the counts of ``x`` above those of ``y`` sum to ``most`` (0 or 1) at most; packed vectors."""
+    gap = (x | _TOP) - y
+    over = gap & (((gap & _TOP) >> np.uint64(3)) * np.uint64(7))
+    a, b = over[:, 0], over[:, 1]
+    if most == 0:
+        return (a | b) == 0
+    one = np.uint64(1)
+    return (((a & (a - one)) | (b & (b - one)) | ((a | b) & ~_LOW)) == 0) & ((a == 0) | (b == 0))
 
 
 #: For each difference in length: how many counts of a near word may be above the query's, and how many below.
@@ -152,14 +172,12 @@ class Cuts:
     """The top of the trees: for each length a list of nodes (letter, largest count on the left, left, right) or leaves."""
 
     def __init__(self, words: list[str], total: int, leaf: int = LEAF, most: int = MAX_LEAVES):
-        codes, sizes = letters_of(words)
-        counts = vectors(codes)
         self.nodes: list[tuple[int, int, int, int]] = []
         self.roots: dict[int, int] = {}
         self.leaves = 0
         each = max(leaf, -(-total // most)) * len(words) / max(1, total)
-        for size in np.unique(sizes).tolist():
-            self.roots[size] = self._grow(counts[sizes == size], each)
+        for size, _, codes in by_length(words):
+            self.roots[size] = self._grow(vectors(codes), each)
 
     def _grow(self, counts: np.ndarray, each: float) -> int:
         node = len(self.nodes)
@@ -194,107 +212,103 @@ class Cuts:
                 if fits.any():
                     stack.append((child, rows[fits], more[fits], less[fits], box | {letter: (lo, hi)}))
 
-    def home(self, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The leaf each word lies in; -1 where no sampled word has its length."""
-        out = np.full(len(counts), -1, np.int64)
-        for size, root in self.roots.items():
-            own = np.flatnonzero(sizes == size)
-            for leaf, rows in self._walk(root, counts[own], 0, 0):
-                out[own[rows]] = leaf
-        return out
-
-    def reached(self, counts: np.ndarray, sizes: np.ndarray):
-        """(rows, leaf) for all leaves where a word may have a near one."""
-        for size, root in self.roots.items():
-            for step, (up, down) in STEPS.items():
-                own = np.flatnonzero(sizes == size - step)
-                if len(own):
-                    for leaf, rows in self._walk(root, counts[own], up, down):
-                        yield own[rows], leaf
+    def placed(self, size: int, counts: np.ndarray):
+        """(rows, leaf, whether as queries) of words of one length: each in its own leaf, and in all it has to search.
 
+        Words of a length without sampled words lie in leaf -1 - length.
+        """
+        everyone = np.arange(len(counts))
+        for step, (up, down) in {None: (0, 0), **STEPS}.items():
+            root = self.roots.get(size + (step or 0))
+            if root is None:
+                yield everyone, -1 - (size + (step or 0)), step is not None
+            else:
+                for leaf, rows in self._walk(root, counts, up, down):
+                    yield rows, leaf, step is not None
 
-def _dealt(cuts):
-    """Each word in its leaf (``query`` false), and as a query in every leaf it has to search. Words of a length that the
-    sample doesn't have lie in leaf -1 - length, which is searched by words of neighbouring lengths."""
 
+def _dealt(cuts):
     def run(batches):
         for batch in batches:
-            codes, sizes = letters_of(batch.column("word").to_pylist())
-            counts = vectors(codes)
-            everyone = np.arange(len(sizes))
-            home = cuts.value.home(counts, sizes)
-            rows, leaves, query = [everyone], [np.where(home < 0, -1 - sizes, home)], [np.zeros(len(sizes), bool)]
-            for found, leaf in cuts.value.reached(counts, sizes):
-                rows.append(found)
-                leaves.append(np.full(len(found), leaf))
-                query.append(np.ones(len(found), bool))
-            for step in STEPS:
-                found = everyone[~np.isin(sizes + step, list(cuts.value.roots))]
-                rows.append(found)
-                leaves.append(-1 - (sizes[found] + step))
-                query.append(np.ones(len(found), bool))
-            taken = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(leaves), pa.int64()), pa.array(np.concatenate(query)), batch.column("word").take(taken), batch.column("n").take(taken),
-            ], ["leaf", "query", "word", "n"])
+            rows, leaves, query = [], [], []
+            for size, own, codes in by_length(batch.column("word").to_pylist()):
+                for found, leaf, asks in cuts.value.placed(size, vectors(codes)):
+                    rows.append(own[found])
+                    leaves.append(np.full(len(found), leaf))
+                    query.append(np.full(len(found), asks))
+            if rows:
+                taken = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(leaves), pa.int64()), pa.array(np.concatenate(query)), batch.column("word").take(taken), batch.column("n").take(taken),
+                ], ["leaf", "query", "word", "n"])
 
     return run
 
 
 class Tree:
-    """A k-d tree over the words of a block, by halves: box bounds of every node, and the order of the words."""
+    """A k-d tree over distinct vectors, by halves: packed box bounds of every node, and the order of the vectors."""
 
     def __init__(self, counts: np.ndarray):
         depth = max(0, int(np.ceil(np.log2(max(1, len(counts)) / BUCKET))))
         self.order, edges = np.arange(len(counts)), np.array([0, len(counts)])
-        self.levels = []
+        self.points, self.levels = packed(counts), []
         for level in range(depth + 1):
             begin = edges[:-1]
-            filled = np.minimum(begin, max(0, len(counts) - 1))
             own = counts[self.order]
+            filled = np.minimum(begin, max(0, len(counts) - 1))
             low, high = np.minimum.reduceat(own, filled, axis=0), np.maximum.reduceat(own, filled, axis=0)
-            self.levels.append((low, high, edges))
+            self.levels.append((packed(low), packed(high), edges))
             if level == depth:
                 break
             letter = (high - low).argmax(axis=1)
             node = np.repeat(np.arange(len(begin)), np.diff(edges))
             self.order = self.order[np.lexsort((own[np.arange(len(own)), letter[node]], node))]
-            middle = (edges[:-1] + edges[1:]) // 2
-            edges = np.sort(np.concatenate([edges, middle]))
+            edges = np.sort(np.concatenate([edges, (edges[:-1] + edges[1:]) // 2]))
 
     def near(self, queries: np.ndarray, up: int, down: int):
-        """(query, word) in bounded parts: every pair whose vectors are within the bounds and whose boxes were not pruned."""
+        """(query, vector) in bounded parts: all pairs within the bounds, found by pruning boxes."""
         stack = [(0, np.arange(len(queries)), np.zeros(len(queries), np.int64))]
         while stack:
             level, query, node = stack.pop()
-            for at in range(0, len(query), PART // DIMENSIONS):
-                q, b = query[at : at + PART // DIMENSIONS], node[at : at + PART // DIMENSIONS]
-                low, high, edges = self.levels[level]
-                fits = (np.maximum(low[b] - queries[q], 0).sum(axis=1) <= up) & (np.maximum(queries[q] - high[b], 0).sum(axis=1) <= down)
-                fits &= edges[b + 1] > edges[b]
+            low, high, edges = self.levels[level]
+            for at in range(0, len(query), PART):
+                q, b = query[at : at + PART], node[at : at + PART]
+                fits = above(low[b], queries[q], up) & above(queries[q], high[b], down) & (edges[b + 1] > edges[b])
                 q, b = q[fits], b[fits]
-                if not len(q):
-                    continue
                 if level + 1 < len(self.levels):
-                    stack.append((level + 1, np.repeat(q, 2), (np.repeat(2 * b, 2).reshape(-1, 2) + [0, 1]).ravel()))
+                    stack.append((level + 1, np.repeat(q, 2), (2 * b[:, None] + [0, 1]).ravel()))
                     continue
                 sizes = edges[b + 1] - edges[b]
-                place = np.repeat(edges[b] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                yield np.repeat(q, sizes), self.order[place]
+                point = self.order[np.repeat(edges[b] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+                q = np.repeat(q, sizes)
+                fits = above(self.points[point], queries[q], up) & above(queries[q], self.points[point], down)
+                yield q[fits], point[fits]
 
 
-def one_edit(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, step: int) -> np.ndarray:
-    """Whether words of one length (``sizes``) are one edit from words longer by ``step``; letters row by row."""
-    width = max(a.shape[1], b.shape[1]) + 1
-    a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
-    if step == 0:
+def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether words are one edit apart, row by row; all of ``a`` have one length, and all of ``b``."""
+    if a.shape[1] == b.shape[1]:
         return (a != b).sum(axis=1) == 1
-    if step < 0:
-        a, b, sizes = b, a, sizes - 1
-    head = np.argmax(a != b, axis=1)  # a is the shorter one, so they differ where it ends at the latest
-    tail = a[:, :-1] == b[:, 1:]
-    beyond = np.arange(width - 1)[None, :] < head[:, None]
-    return (tail | beyond).all(axis=1)
+    if a.shape[1] > b.shape[1]:
+        a, b = b, a
+    same = a == b[:, :-1]
+    head = np.where(same.all(axis=1), a.shape[1], np.argmin(same, axis=1))
+    return ((a == b[:, 1:]) | (np.arange(a.shape[1]) < head[:, None])).all(axis=1)
+
+
+def _classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct vectors, the words' places ordered by vector, and where each vector's words begin in that order."""
+    keys = packed(counts)
+    order = np.lexsort((np.arange(len(keys)), keys[:, 1], keys[:, 0]))
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else np.zeros(0, np.int64)
+    return counts[order[first]], order, np.append(first, len(keys))
+
+
+def _spread(picked: np.ndarray, order: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each picked vector, and which pick they are of."""
+    sizes = (edges[1:] - edges[:-1])[picked]
+    return order[np.repeat(edges[picked] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())], np.repeat(np.arange(len(picked)), sizes)
 
 
 def _searched(group: pa.Table) -> pa.Table:
@@ -302,25 +316,30 @@ def _searched(group: pa.Table) -> pa.Table:
     mine, words = group.filter(query), group.filter(pc.invert(query))
     words = words.take(pc.sort_indices(words, [("n", "descending"), ("word", "ascending")]))
     names, often = words.column("word").to_pylist(), words.column("n").to_numpy()
-    own_codes, own_sizes = letters_of(mine.column("word").to_pylist())
-    codes, sizes = letters_of(names)
-    total, best = np.zeros(len(own_codes), np.int64), np.full(len(own_codes), len(names), np.int64)
-    if len(names) and len(own_codes):
-        own, points = vectors(own_codes), vectors(codes)
-        tree, length = Tree(points), int(sizes[0])
-        for step, (up, down) in STEPS.items():
-            rows = np.flatnonzero(own_sizes == length - step)
-            for q, w in tree.near(own[rows], up, down):
-                q = rows[q]
-                gap = points[w] - own[q]
-                fits = (np.maximum(gap, 0).sum(axis=1) <= up) & (np.maximum(-gap, 0).sum(axis=1) <= down)
-                q, w = q[fits], w[fits]
-                fits = one_edit(own_codes[q], codes[w], own_sizes[q], step)
-                q, w = q[fits], w[fits]
-                total += np.bincount(q, minlength=len(total))
-                np.minimum.at(best, q, w)
+    codes = letters_of(names)
+    points, order, edges = _classes(vectors(codes))
+    tree, asked = Tree(points), mine.column("word").to_pylist()
+    total, best = np.zeros(len(asked), np.int64), np.full(len(asked), len(names), np.int64)
+    part = max(1, 8 * PART // codes.shape[1])
+    for size, own, letters in by_length(asked):
+        queries, its, begins = _classes(vectors(letters))
+        for qv, pv in tree.near(packed(queries), *STEPS[codes.shape[1] - size]):
+            for at in range(0, len(qv), 1024):
+                q, pick = _spread(qv[at : at + 1024], its, begins)
+                pick = pv[at : at + 1024][pick]
+                ends = np.cumsum((edges[1:] - edges[:-1])[pick])
+                low = 0
+                while low < len(q):
+                    high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + part, "right")))
+                    w, which = _spread(pick[low:high], order, edges)
+                    who = q[low:high][which]
+                    fits = one_edit(letters[who], codes[w])
+                    who, w = own[who[fits]], w[fits]
+                    total += np.bincount(who, minlength=len(total))
+                    np.minimum.at(best, who, w)
+                    low = high
     hit = np.flatnonzero(total)
-    return pa.table({"word": mine.column("word").take(pa.array(hit)), "n_near": total[hit], "best_n": often[best[hit]] if len(hit) else np.zeros(0, np.int64), "best": pa.array([names[k] for k in best[hit].tolist()], pa.string())})
+    return pa.table({"word": mine.column("word").take(pa.array(hit)), "n_near": total[hit], "best_n": often[best[hit]], "best": pa.array([names[k] for k in best[hit].tolist()], pa.string())})
 
 
 def near_words(words: DataFrame, leaf: int = LEAF) -> DataFrame:
