@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import bpe_chunks, decontaminate, licenses, lines, lm, ngram_join, passages, pii, quality, spelling, token_files, url_cascade
+from watchloom.llm import bpe_chunks, collocations, decontaminate, licenses, lines, lm, ngram_join, passages, pii, quality, spelling, token_files, url_cascade
 from watchloom.llm.common import small_batches, table
 from watchloom.session import scratch_path
 
@@ -77,6 +77,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.filter_urls(pages, URL_RULES, is_listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = spelling.group_variants(table(spark, sf_dir, "documents"), slips=True)
     return grouped.select("word", "n", "n_near", "form", "form_n", "root")
@@ -97,11 +101,32 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = {
     "op1_quality_rules": op1_quality_rules, "op2_passages": op2_passages, "op3_ngram_join": op3_ngram_join, "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_bpe_codec": op6_bpe_codec,
     "op7_decontamination": op7_decontamination, "op8_token_files": op8_token_files, "op9_lm_scores": op9_lm_scores, "op10_url_filter": op10_url_filter,
-    "op12_spelling_variants": op12_spelling_variants, "op13_license_scan": op13_license_scan,
+    "op11_collocations": op11_collocations, "op12_spelling_variants": op12_spelling_variants, "op13_license_scan": op13_license_scan,
 }
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(small_batches(spark), sf_dir)) for name, f in _ALL.items()}
 
 ORACLES = {
+    "op11_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        w AS (SELECT lang, [x for x in string_split_regex(piece, '[\x20\x09]+') if x <> ''] AS ws FROM p),
+        g AS (SELECT lang, unnest(ws) AS phrase, 1 AS k FROM w
+              UNION ALL SELECT lang, unnest([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]), 2 FROM w
+              UNION ALL SELECT lang, unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)]), 3 FROM w),
+        f AS (SELECT lang, phrase, k, count(*) AS a FROM g GROUP BY ALL),
+        t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS s FROM f WHERE k > 1 AND a >= 10),
+        x AS (SELECT lang, k, a, phrase, unnest(range(1, k)) AS cut, s FROM c),
+        y AS (SELECT x.*, u.a AS l, v.a AS r, (1000000::HUGEINT * x.a * x.a // (u.a::HUGEINT * v.a))::BIGINT AS score FROM x
+              JOIN f u ON u.lang = x.lang AND u.phrase = array_to_string(s[1:cut], ' ')
+              JOIN f v ON v.lang = x.lang AND v.phrase = array_to_string(s[cut + 1:x.k], ' ')),
+        z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        o AS (SELECT lang, phrase, max(a) AS longer FROM (
+              SELECT lang, s[1] || ' ' || s[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, s[2] || ' ' || s[3], a FROM c WHERE k = 3) GROUP BY ALL)
+        SELECT z.lang, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, z.a DESC, z.phrase) AS rank, z.phrase, z.a, l, r, n, score
+        FROM z JOIN t USING (lang) LEFT JOIN o ON o.lang = z.lang AND o.phrase = z.phrase AND z.k = 2
+        WHERE longer IS NULL OR 100 * longer < 50 * z.a QUALIFY rank <= 2000
+    """,
     "op10_url_filter": """
         WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
