@@ -92,3 +92,62 @@ def dedup_lines(rows):
 
 def held(i):
     return zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+
+
+def licenses(text, phrases):
+    """n_words, places, first and last of them, labels of the bare phrases."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    at = sorted((i, label) for p, label in phrases.items() for q in [p.split()] for i in range(len(w) - len(q) + 1) if w[i : i + len(q)] == q)
+    return len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at}))
+
+
+def variants(rows):
+    """(word, n, n_near, form, form_n, root) over the texts of (id, text)."""
+    c, patterns, near = Counter(), defaultdict(set), defaultdict(set)
+    for i, text in rows:
+        for w in map(lower, re.findall("[A-Za-z\u00C0-\u00FF]+", text or "")):
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            c[w if h % 97 else w[: h % len(w)] + w[h % len(w) + 1 :]] += 1
+    n = {w: k for w, k in c.items() if len(w) >= 5 and k >= 3}
+    for w in n:
+        for k in range(len(w) + 1):
+            patterns[f"{w[:k]}*{w[k:]}"].add(w)
+            patterns[f"{w[:k]}*{w[k + 1:]}"].add(w)
+    for same in patterns.values():
+        for w in same:
+            near[w] |= same - {w}
+    best = {w: min(near[w], key=lambda x: (-n[x], x), default=None) for w in n}
+    form = {w: b if b and n[b] >= 2 * n[w] else None for w, b in best.items()}
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return [(w, n[w], len(near[w]), form[w], n.get(form[w]), root(w)) for w in n]
+
+
+def collocations(rows, least=10, share=50, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) over (lang, text)."""
+    f, total, out = Counter(), Counter(), []
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall("[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            f.update((lang, *w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    found = {p: a for p, a in f.items() if len(p) > 2 and a >= least}
+    inside = defaultdict(int)
+    for p, a in found.items():
+        if len(p) == 4:
+            for q in (p[:3], (p[0], *p[2:])):
+                inside[q] = max(inside[q], a)
+    by_lang = defaultdict(list)
+    for p, a in found.items():
+        lang, *w = p
+        if not 100 * inside[p] >= share * a or p not in inside:
+            cuts = [(1000000 * a * a // (f[lang, *w[:k]] * f[lang, *w[k:]]), k, f[lang, *w[:k]], f[lang, *w[k:]]) for k in range(1, len(w))]
+            score, _, left, right = min(cuts)
+            by_lang[lang].append((-score, -a, " ".join(w).encode(), left, right))
+    for lang, phrases in by_lang.items():
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(phrases)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, total[lang], -score))
+    return out

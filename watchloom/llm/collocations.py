@@ -139,9 +139,10 @@ def _stripes(bits: int, shared, longer: bool):
                 order = np.argsort(bucket, kind="stable")
                 bucket, prefix, next_, counts = bucket[order], prefix[order], next_[order], counts[order].astype(np.uint32)
                 begins = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends = [*begins[1:].tolist(), len(order)] if len(order) else []
                 new = (np.diff(prefix, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0)
                 out = []
-                for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(order)], strict=True):
+                for i, j in zip(begins.tolist(), ends, strict=True):
                     opens = np.flatnonzero(new[i:j])
                     own = prefix[i:j][opens]
                     sizes = np.diff(opens, append=j - i).astype(np.uint32)
