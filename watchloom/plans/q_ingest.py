@@ -21,6 +21,7 @@ from watchloom.plans.registry import query
 from watchloom.schemas import ALIASES, EVENT_FIELDS, SOURCES, STREAM_PREFIX
 from watchloom.session import materialize, scratch_path
 from watchloom.sources import jsonl, log, sinks
+from watchloom.sources import landed as landed_files
 from watchloom.sources.adapter import event_frame, read_table, telemetry_raw
 
 
@@ -128,11 +129,19 @@ def entries(spark, sf):
     return log.with_position(rows)
 
 
+def landed_log(spark, sf):
+    """The entries as a landed log, added in two batches by time, with several files to a stream."""
+    rows = entries(spark, sf)
+    half = rows.agg(F.percentile_approx("ms", 0.5)).first()[0] or 0
+    out = landed_files.LandedLog(spark, scratch_path(spark, "log"))
+    return out.add(rows.filter(F.col("ms") < half), 0, 20_000).add(rows.filter(F.col("ms") >= half), 1, 20_000)
+
+
 @query("stream_read_batch", f"""
 WITH {LOG} SELECT ms || '-' || seq AS entry_id FROM entries WHERE stream = 'telemetry:iam' AND ms > 1704700000000
 ORDER BY ms, seq LIMIT 100""")
 def stream_read_batch(spark, sf):
-    return log.read_batch(entries(spark, sf), "telemetry:iam", 100, "1704700000000-999999999").select("entry_id")
+    return landed_log(spark, sf).read_batch("telemetry:iam", 100, "1704700000000-999999999").select("entry_id")
 
 
 @query("limit_after_cursor", f"""
@@ -145,7 +154,15 @@ def limit_after_cursor(spark, sf):
 WITH {LOG} SELECT stream, ms || '-' || seq AS entry_id FROM entries
 QUALIFY row_number() OVER (PARTITION BY stream ORDER BY ms, seq) <= 100""")
 def stream_read_all_once(spark, sf):
-    return log.read_all_once(entries(spark, sf)).select("stream", "entry_id")
+    return landed_log(spark, sf).read_all_once().select("stream", "entry_id")
+
+
+@query("stream_walk", f"""
+WITH {LOG} SELECT stream, ms || '-' || seq AS entry_id, (row_number() OVER (PARTITION BY stream ORDER BY ms, seq) - 1) // 100 AS "read",
+(row_number() OVER (PARTITION BY stream ORDER BY ms, seq) - 1) % 100 AS place FROM entries""")
+def stream_walk(spark, sf):
+    """Every cursor read of 100 entries at once, each file read once."""
+    return landed_log(spark, sf).walk(100).select("stream", "entry_id", "read", "place")
 
 
 @query("stream_range_export", f"""
@@ -153,7 +170,7 @@ WITH {LOG} SELECT ms || '-' || seq AS entry_id, '{{"event_id":"' || ms || '-' ||
   '","source_type":"' || source_type || '","host":"' || host || '","raw_payload":' || CAST(to_json(raw_payload) AS VARCHAR) || '}}' AS line
 FROM entries WHERE stream = 'telemetry:ollama'""")
 def stream_range_export(spark, sf):
-    return log.export_range(entries(spark, sf), "telemetry:ollama")
+    return landed_log(spark, sf).export_range("telemetry:ollama")
 
 
 @query("stream_retention", f"""
