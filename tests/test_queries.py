@@ -13,7 +13,7 @@ import __spark_entry__ as contract  # noqa: E402
 from watchloom.plans import ORACLES, QUERIES  # noqa: E402
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
-ROWS_ONLY = {"reconstruct_pca", "reconstruct_lstm", "lotl_classifier"}
+ROWS_ONLY = {"reconstruct_pca", "reconstruct_lstm", "lotl_classifier", "lotl_comparison"}
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from watchloom.functions.text import feature_explanation
-from watchloom.operators import features, models, scoring
+from watchloom.operators import evaluate, features, models, scoring
 from watchloom.operators.skew import attach
 from watchloom.operators.normalize import normalize_lines
 from watchloom.plans import scoring as job
@@ -257,20 +257,34 @@ def reconstruct_pca(spark, sf):
 @query("reconstruct_lstm")
 def reconstruct_lstm(spark, sf):
     _, current = split(spark, sf)
-    return models.recurrent_errors(current, models.random_weights(WIDTH, 16)).select(
+    path = scratch_path(spark, "weights")
+    write_table(models.weights_table(spark, models.random_weights(WIDTH, 16)), path)
+    return models.recurrent_errors(current, spark.read.parquet(path)).select(
         "identity", "seq_no", "length", F.round("mse", 6).alias("mse")
     )
 
 
+def classified(spark, sf):
+    """All documents as command text, labelled or not, scored out of fold."""
+    labels = read_table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
+    rows = read_table(spark, sf, "documents").join(labels, "doc_id", "left")
+    return models.cross_fitted(rows, "doc_id", "text", "label", F.coalesce(F.lower("text").rlike(RULE), F.lit(False)))
+
+
+#: Fixed value: the static rule that the classifier is compared with.
+RULE = r"\b(password|secret|token)\b"
+
+
 @query("lotl_classifier")
 def lotl_classifier(spark, sf):
-    rows = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id").select(
-        "doc_id", "text", F.col("toxic").cast("double").alias("label")
-    )
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(100))
-    model = models.fit_text_classifier(rows.filter(bucket < 70))
-    scored = models.classify_text(rows.filter(bucket >= 70), model, F.lower("text").rlike(r"\b(password|secret|token)\b"))
-    return scored.select("doc_id", "label", F.round("score", 4).alias("score"), "rule")
+    return classified(spark, sf).select("doc_id", "label", "fold", F.round("score", 4).alias("score"), "rule")
+
+
+@query("lotl_comparison")
+def lotl_comparison(spark, sf):
+    """Precision, recall and F1 of the model and of the rule over all labelled documents."""
+    rows = classified(spark, sf).filter(F.col("label").isNotNull())
+    return evaluate.compare_detectors(rows, F.col("label") == 1, {"model": F.coalesce(F.col("score") >= 0.5, F.lit(False)), "rule": F.col("rule")})
 
 
 @query("topk_similarity", """
