@@ -134,6 +134,24 @@ def test_gap_to_previous(spark, hot_rows):
     assert got == want
 
 
+def test_gap_to_previous_with_copies(spark):
+    df = frame(spark, [("a", "h", 1), ("a", "h", 5), ("a", "h", 5), ("a", "h", 9)])
+    df = df.withColumn("event_id", F.when(F.col("ts") == df.agg(F.min("ts")).first()[0], F.lit("e1")).otherwise(F.lit("e2")))
+    got = [sorted((r.gap_us for r in win.gap_to_previous(df, ["identity", "host"], hot).collect()), key=str) for hot in (1, 10**6)]
+    assert got[0] == got[1] == [0, 4_000_000, 4_000_000, None]
+
+
+def test_ordinals_of_keys_with_one_first_instant(spark):
+    """Ties are cut by key too, so they are numbered over many tasks."""
+    n = 20_000
+    found = win.session_ordinals(
+        spark.range(n).select(F.lit("s").alias("ingest_source"), F.format_string("k%06d", "id").alias("key_a"), F.timestamp_seconds(F.lit(5)).alias("start_ts"), F.lit(1).cast("long").alias("session_no")),
+        ["ingest_source", "key_a"],
+    )
+    r = found.agg(F.count_if(F.col("ordinal") == F.substring("key_a", 2, 6).cast("long") + 1).alias("n"), F.count_distinct("ordinal").alias("d")).first()
+    assert tuple(r) == (n, n)
+
+
 def test_ordinals_follow_first_appearance(spark):
     rows = [("b", "h", 5), ("a", "h", 10), ("b", "h", 1000), ("c", "h", 5), ("a", "h", 2000)]
     found = win.sessions(frame(spark, rows), 300, ids="ordinal").collect()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchloom.session import checkpoint, materialize
+from watchloom.session import materialize
 
 # Rows of one key that may meet in one task.
 HOT_ROWS = 1_000_000
@@ -102,36 +104,25 @@ def neighbours(
 
 
 def running_totals(
-    rows: DataFrame, groups: list[str], order: str, ties: list[str], values: list[str], pieces: int = 256
+    rows: DataFrame, groups: list[str], order: str, ties: list[str], values: list[str], pieces: int | None = None
 ) -> DataFrame:
-    """Running sums ``cum_<value>`` over each group in the order of a numeric column.
+    """Running sums ``cum_<value>`` over each group in the order of a column and, where it is equal, of ``ties``.
 
-    The group is cut at its own quantiles, sums run inside each piece, and each piece starts
-    from the total of the pieces before it: no task holds a whole group. The rows are read
-    three times and so checkpointed, as are the cut points, at most ``pieces`` per group, so
-    that all readers cut alike. ``groups`` must be few; rows with equal ``order`` stay in one
-    piece, so combine them beforehand.
+    Rows are range-sorted by group, order and ties over all tasks, sums run inside a task's piece of a group, and
+    each piece starts from the totals of the group's pieces before it. So no task holds a whole group, nor all rows of
+    one ``order`` value. There are ``pieces`` of all rows, or as many as a shuffle has partitions. Rows equal in order and ties should be combined beforehand.
     """
-    rows = checkpoint(rows)
-    share = [i / pieces for i in range(1, pieces)]
-    cuts = rows.groupBy(*groups) if groups else rows.groupBy(F.lit(0).alias("_all"))
-    cuts = checkpoint(cuts.agg(F.percentile_approx(order, share, 10 * pieces).alias("_cuts")))
-    if groups:
-        placed = rows.join(F.broadcast(cuts), groups)
-    else:
-        placed = rows.withColumns({"_all": F.lit(0), "_cuts": cuts.select("_cuts").scalar()})
-    by = groups or ["_all"]
-    placed = placed.withColumn(
-        "_piece", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    ).drop("_cuts")
-    totals = placed.groupBy(*by, "_piece").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ([pieces] if pieces else []) + [*groups, order, *ties]
+    placed = materialize(rows.repartitionByRange(*ranges).withColumn("_piece", F.spark_partition_id()), "placed")
+    totals = placed.groupBy(*groups, "_piece").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *by, "_piece", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_c_{v}") for v in values]
+        *groups, "_piece", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_c_{v}") for v in values]
     )
-    inside = Window.partitionBy(*by, "_piece").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*groups, "_piece")]
+    inside = Window.partitionBy(*groups, "_piece").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     running = placed.withColumns({f"_r_{v}": F.sum(v).over(inside) for v in values})
-    joined = running.join(F.broadcast(carry), [*by, "_piece"])
+    joined = running.alias("r").join(carry.alias("c"), functools.reduce(lambda a, b: a & b, same))
     return joined.select(
-        *rows.columns, *[(F.col(f"_r_{v}") + F.col(f"_c_{v}")).alias(f"cum_{v}") for v in values]
+        *[F.col(f"r.{c}") for c in rows.columns], *[(F.col(f"_r_{v}") + F.col(f"_c_{v}")).alias(f"cum_{v}") for v in values]
     )

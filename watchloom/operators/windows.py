@@ -157,6 +157,7 @@ def session_ordinals(found: DataFrame, keys: list[str], group: str | None = GROU
     ``order='text'`` ranks keys by the timestamp's text, where an instant with a fraction sorts
     before the same second without one.
     """
+    found = materialize(found, "sessions")  # counted by key, then joined
     first = F.min(F.unix_micros("start_ts"))
     per_key = found.groupBy(*keys).agg(first.alias("_first"), F.count(F.lit(1)).alias("_sessions"))
     if order == "text":
@@ -230,7 +231,8 @@ def group_by_key(events: DataFrame, key_fields=KEY_FIELDS) -> DataFrame:
 def gap_to_previous(events: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each event with ``gap_us``, the time since the previous event of its key.
 
-    Events at one instant follow each other by id, so all but the first have gap zero.
+    Events at one instant follow each other by id, so all but the first have gap zero; of several copies of the
+    first event, one has the gap.
     """
     key_columns = [f"key_{k}" for k in keys]
     keyed = with_session_key(events, keys)
@@ -251,8 +253,10 @@ def _gap_by_slots(keyed: DataFrame, key_columns: list[str], hot_rows: int) -> Da
         keyed, key_columns, "ts", {"_n": F.count(F.lit(1)), "_first_id": F.min("event_id")}
     ).select(*key_columns, "ts", "_n", "_first_id", F.col("prev").alias("_prev"))
     joined = attach(keyed, instants, [*key_columns, "ts"], "_n", ["event_id"], hot_rows)
-    since = F.unix_micros("ts") - F.unix_micros("_prev")
-    return joined.withColumn("gap_us", F.when(F.col("event_id") == F.col("_first_id"), since).otherwise(F.lit(0).cast("long")))
+    since, named = F.unix_micros("ts") - F.unix_micros("_prev"), F.col("event_id") == F.col("_first_id")
+    copy = F.row_number().over(Window.partitionBy(*key_columns, "ts", "event_id").orderBy(F.lit(0)))  # copies of one id, not of an instant
+    first = joined.filter(named).withColumn("gap_us", F.when(copy == 1, since).otherwise(F.lit(0).cast("long")))
+    return first.unionByName(joined.filter(~named).withColumn("gap_us", F.lit(0).cast("long")))
 
 
 def sort_sessions(found: DataFrame, order: str = "time") -> DataFrame:

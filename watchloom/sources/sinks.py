@@ -31,7 +31,10 @@ def write_table(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
-def spread_by_run(rows: DataFrame, key: str, files_per_key: int = 8) -> DataFrame:
-    """Bring rows of one output folder together, but let a crowded folder use several tasks."""
-    part = F.pmod(F.xxhash64(*rows.columns), F.lit(files_per_key))
-    return rows.withColumn("_file", part).repartition(key, "_file").drop("_file")
+def spread_by_run(rows: DataFrame, key: str) -> DataFrame:
+    """Bring rows of one output folder together; a crowded folder is split by size into as many tasks as it needs.
+
+    The rebalancing hint lets the adaptive planner merge small shuffle partitions and split large ones
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), so the number of files follows a folder's size.
+    """
+    return rows.hint("rebalance", key)
