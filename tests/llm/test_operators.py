@@ -211,22 +211,38 @@ def test_lm_scores_of_equal_shards(spark):
 
 
 def test_decontamination(docs, empty, spark, rows):
+    question = "If Maria Bell buys 12 apples at 3 dollars and sells Maria Bell 12 more of them how many apples remain then for the long trip?"
     items = spark.createDataFrame([
-        (7, "If Maria Bell buys 12 apples at 3 dollars and sells Maria Bell 12 more of them how many apples remain then for the long trip?"),
+        (7, question), (12, "What is 2 + 2"),
         (8, None), (9, "short one"), (None, " ".join(prose(2, 60))), (11, "seven words are what this has, exactly"),
     ], "item_id long, text string")
     more = spark.createDataFrame([
         (200, "intro. So if Peter Cole buys 15 apples at 4 dollars and sells Peter Cole 15 more of them how many apples remain then for the long trip, he asks"),
         (201, "if Peter Cole buys 15 apples at 4 dollars and sells John Fox 17 more of them how many apples remain then for the long trip"),
         (202, "SEVEN words are what this has: exactly!"), (203, "seven words are what this had exactly"),
+        (204, "well: " + question.lower()), (205, question.upper() + " " + " ".join(prose(9, 20000))), (206, question.replace("Maria", "\n   Maria")), (207, "so, What is 2+2? said"), (208, "what is 2 + 3, he said"),
     ], "doc_id long, text string")
     got = decontaminate.mark_contaminated(docs.select("doc_id", "text").union(more), items)
-    assert {r["doc_id"] for r in got.filter("contaminated").collect()} == {10, 11, 200, 202}
+    assert {r["doc_id"] for r in got.filter("contaminated").collect()} == {10, 11, 200, 202, 204, 205, 206, 207}
     whole = decontaminate.mark_contaminated(docs, items)
     assert whole.columns[: len(docs.columns)] == docs.columns and whole.count() == len(rows)
     assert decontaminate.mark_contaminated(empty, items).count() == 0 and not decontaminate.mark_contaminated(docs, items.limit(0)).filter("contaminated").count()
 
 
+def test_decontamination_on_the_table(spark, sf_dir):
+    """Against plain search: every verbatim copy of an item is found, and what else is found shares half of its words' windows."""
+    items = {r["item_id"]: plain.words(plain.lower(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    docs = {r["doc_id"]: plain.words(plain.lower(r["text"])) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    joined = {i: f" {' '.join(w)} " for i, w in docs.items()}
+    verbatim = {d for d, t in joined.items() if any(f" {' '.join(w)} " in t for w in items.values())}
+    found = decontaminate.mark_contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    got = {r["doc_id"] for r in found.filter("contaminated").collect()}
+    windows = [runs(w, 4) for w in items.values()]
+    assert verbatim and verbatim <= got
+    assert all(any(len(w & runs(docs[d], 4)) >= 0.3 * len(w) for w in windows) for d in got)
+
+
 def test_decontamination_looks_at_each_occurrence(spark):
     first = "a train leaves the old station at 12 with 80 people and at 15 another one follows it with 95 people so when do both of them meet"
     second = " then ".join(f"add {k} and {k + 2}" for k in (3, 7, 20, 31, 50, 64)) + " and say what remains"

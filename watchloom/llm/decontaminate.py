@@ -4,34 +4,38 @@ Texts and benchmark items are rewritten to templates: numbers, names (a capitali
 doesn't end a sentence) and units after a number become typed placeholders, the rest is lower-cased and cut
 at everything but letters and digits. Windows of ``WINDOW`` template words are hashed and joined by hash. An
 item is found in a document that has at least ``SHARE`` of its distinct windows, or a run of ``RUN``
-consecutive ones. Matched places lie on alignments (document place less item place), each of which is taken
+consecutive ones. The plain lower-cased words have windows of their own, joined by the same hash join: a copy whose
+names can't be told (all lower case, all capitals) is found by them, and as its words are the item's, its slots
+agree. Matched places lie on alignments (document place less item place), each of which is taken
 alone, with its neighbours up to each number of ``REACH``, and with all others, and one that passes is enough: an
 item may occur several times with other values, and a repeated template matches crosswise. Then the slots are
 checked: over the matched windows of the alignment, a number, name or unit of the item
 must stand for one value of the document each; re-parameterised questions pass, mere look-alikes with
 changing values don't. At least ``CONSISTENT`` of the item's slot values must do so.
 
-Everything is DataFrame operations. The item windows are broadcast up to ``MAX_BROADCAST`` of them, and
-joined by shuffle beyond.
+Everything is DataFrame operations. A bitmap of the item windows' hashes, of at most 0.5 MB, drops most windows of
+the documents where they are made; those left carry their slot words along, so no text is read twice or moved.
 
-Defined cases: null and empty texts are not contaminated. An item with fewer than ``LEAST`` template words is
-not searched; one with fewer than ``WINDOW`` words has one window of all of them. Repeated rows get equal
+Defined cases: null and empty texts are not contaminated. An item with fewer than ``WINDOW`` words has one window of
+all of them, and below ``TYPED`` words a plain one only; an item with fewer than ``LEAST`` is not searched, as chance would find it. Repeated rows get equal
 results; null ids count as an id, and rows that share an id are told apart by their text. Null items are
 skipped; items that share an id are searched as one id. No items: nothing is contaminated.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.llm.common import computed, fresh, order_id, quoted
 from watchloom.session import materialize
 
-WINDOW, LEAST = 8, 5
+WINDOW, TYPED, LEAST = 8, 5, 3
 SHARE, RUN, CONSISTENT = 0.5, 12, 0.8
 REACH = (0, 1, 4)  # words that may be added or left out between alignments taken together
-MAX_BROADCAST = 1_000_000
+MOST_WORDS = 16  # binary logarithm of the bitmap's most words of 64 bits
 # Unit words that count as a unit after a number.
 UNITS = (
     "percent|degrees|meters|metres|meter|metre|kilometers|kilometres|miles|feet|inches|centimeters|centimetres|millimeters|km|cm|mm|ft|kg|grams|gram|mg|pounds|ounces|lb|oz"
@@ -42,7 +46,7 @@ _NUMBER, _NAME, _UNIT = "0num", "0name", "0unit"
 
 def _spaced(text: Column) -> Column:
     """Typed text before cutting: names are marked by a prefix, as their case is lost afterwards."""
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;] )(?=\p{Lu}\p{L})", "0name")
+    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;]\s{1,8})(?=\p{Lu}\p{L})", "0name")
     return F.lower(named)
 
 
@@ -64,30 +68,44 @@ def _template(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def _hash_at(hashes: Column, i: Column, width: int) -> Column:
-    return F.xxhash64(*(F.get(hashes, i + j) for j in range(width)))
+def _windows(hashes: Column, width: int, kind: str) -> Column:
+    """``at`` and ``hash`` of all runs of ``width`` values."""
+    n = F.size(hashes)
+    one = lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(kind), F.slice(hashes, i + 1, width)).alias("hash"))
+    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), one)).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
 
-def _windows(hashes: Column, width: int) -> Column:
-    n = F.size(hashes)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), lambda i: _hash_at(hashes, i, width))).otherwise(F.array().cast("array<bigint>"))
+def _hashed(rows: DataFrame, body: str) -> DataFrame:
+    """Adds ``words``, and the hashes of typed (``typed``) and of lower-cased words (``plain``)."""
+    words = computed(rows, "words", template_words(F.col(body)))
+    words = computed(words, "typed", F.transform(_template(F.col("words")), lambda w: F.xxhash64(w)))
+    return computed(words, "plain", F.transform("words", lambda w: F.xxhash64(F.when(w.startswith(_NAME), F.substring(w, len(_NAME) + 1, 2**31 - 1)).otherwise(w))))
 
 
 def item_windows(items: DataFrame, id_column: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_id``, ``width``, ``place`` and ``hash`` of every window, with the item's number of distinct ones."""
+    """``item_id``, ``kind``, ``width``, ``place``, ``hash`` of every window, its ``words`` and which are slots, and how many distinct ones the item has of the kind."""
     own = items.select(order_id(quoted(id_column)).alias("item_id"), F.col(quoted(text)).alias("body"))
-    words = computed(own, "words", template_words(F.col("body"))).filter(F.size("words") >= LEAST)
-    hashed = computed(words, "h", F.transform(_template(F.col("words")), lambda w: F.xxhash64(w)))
-    parts = [
-        hashed.filter(F.size("h") >= WINDOW if width == WINDOW else F.size("h") == width)
-        .select("item_id", F.lit(width).alias("width"), F.posexplode(_windows(F.col("h"), width)).alias("place", "hash"))
-        for width in range(LEAST, WINDOW + 1)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    counts = out.groupBy("item_id").agg(F.count_distinct("hash").alias("n_windows"))
-    return out.join(counts, "item_id")
+    hashed = _hashed(own, "body").filter(F.size("words") >= LEAST)
+    hashed = computed(hashed, "slot", F.transform(_template(F.col("words")), lambda w: w.isin(_NUMBER, _NAME, _UNIT)))
+    n, out = F.size("words"), None
+    for kind, least in (("typed", TYPED), ("plain", LEAST)):
+        for width in range(least, WINDOW + 1):
+            part = hashed.filter(n >= width if width == WINDOW else n == width).select("item_id", "words", "slot", F.inline(_windows(F.col(kind), width, kind)))
+            part = part.select("item_id", F.lit(kind).alias("kind"), F.lit(width).alias("width"), F.col("at").alias("place"), "hash", F.slice("words", F.col("at") + 1, width).alias("theirs"), F.slice("slot", F.col("at") + 1, width).alias("slot"))
+            out = part if out is None else out.union(part)
+    counts = out.groupBy("item_id", "kind").agg(F.count_distinct("hash").alias("n_windows"))
+    return out.join(counts, ["item_id", "kind"])
+
+
+def _among(windows: DataFrame):
+    """A test whether a hash may be one of the windows': 64 bits or more a window, up to the bitmap's most words."""
+    size = 1 << max(4, min(MOST_WORDS, windows.count().bit_length()))
+    at = lambda h: F.call_function("shiftrightunsigned", h, F.lit(6)).bitwiseAND(F.lit(size - 1))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    set_ = windows.groupBy(at(F.col("hash")).alias("id")).agg(F.bit_or(bit(F.col("hash"))).alias("bits"))
+    words = dict(set_.collect())  # 2 ** MOST_WORDS at most
+    bitmap = F.from_json(F.lit(json.dumps([words.get(k, 0) for k in range(size)])), "array<bigint>")  # folded to one literal
+    return lambda h: F.get(bitmap, at(h).cast("int")).bitwiseAND(bit(h)) != 0
 
 
 def find_contamination(df: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -96,21 +114,28 @@ def find_contamination(df: DataFrame, items: DataFrame, id_column: str = "doc_id
     Null ids appear as ``NO_ID``.
     """
     windows = materialize(item_windows(items, item_id, item_text), "item-windows")
-    widths = [r["width"] for r in windows.select("width").distinct().collect()]  # eight at most
-    small = windows.count() <= MAX_BROADCAST
-    body = F.col(quoted(text))
+    shapes = sorted((r["kind"], r["width"]) for r in windows.select("kind", "width").distinct().collect())  # ten at most
+    among, body = _among(windows), F.col(quoted(text))
     rows = df.select(order_id(quoted(id_column)).alias("row_id"), F.xxhash64(body).alias("row_text"), body.alias("body"))
-    words = computed(rows, "words", template_words(F.col("body"))).select("row_id", "row_text", "words")
-    hashed = computed(words, "h", F.transform(_template(F.col("words")), lambda w: F.xxhash64(w)))
-    lists = [F.transform(_windows(F.col("h"), w), lambda x, i: F.struct(i.alias("at"), x.alias("hash"))) for w in sorted(widths)]
-    every = lists[0] if len(lists) == 1 else F.concat(*lists) if lists else F.array().cast("array<struct<at:int,hash:bigint>>")
+    hashed = _hashed(rows, "body")
+    def kept(kind: str, width: int) -> Column:
+        """Windows of a row that may be an item's, with their words."""
+        likely = F.filter(_windows(F.col(kind), width, kind), lambda x: among(x["hash"]))
+        return F.transform(likely, lambda x: F.struct(x["at"].alias("at"), x["hash"].alias("hash"), F.slice("words", x["at"] + 1, width).alias("own")))
+
+    lists = [kept(kind, width) for kind, width in shapes]
+    every = lists[0] if len(lists) == 1 else F.concat(*lists) if lists else F.array().cast("array<struct<at:int,hash:bigint,own:array<string>>>")
     seen = hashed.select("row_id", "row_text", F.inline(every))
-    matched = seen.join(F.broadcast(windows) if small else windows, "hash")
-    found = matched.groupBy("row_id", "row_text", "item_id", "n_windows").agg(
-        F.count_distinct("hash").alias("n_found"), F.array_sort(F.collect_set(F.struct("place", "at", "width", "hash"))).alias("places")
+    value = F.transform("theirs", lambda w, j: F.when(F.get("slot", j), F.struct(w.alias("theirs"), F.get("own", j).alias("own"))))
+    values = F.when(F.col("kind") == "typed", F.filter(value, lambda v: v.isNotNull())).otherwise(F.array().cast("array<struct<theirs:string,own:string>>"))
+    matched = seen.join(windows, "hash").withColumn("values", values)
+    found = matched.groupBy("row_id", "row_text", "item_id", "kind", "n_windows").agg(
+        F.count_distinct("hash").alias("n_found"), F.array_sort(F.collect_set(F.struct("place", "at", "width", "hash", "values"))).alias("places")
     )
     likely = materialize(_enough(found), "likely")
-    return _consistent(likely, rows, items.select(order_id(quoted(item_id)).alias("item_id"), F.col(quoted(item_text)).alias("item_text")))
+    plain = likely.filter("kind = 'plain'").select("row_id", "row_text", "item_id", "n_windows", "n_found", "longest", F.lit(1.0).alias("agreed"))
+    both = _consistent(likely.filter("kind = 'typed'").drop("kind")).unionByName(plain)
+    return both.groupBy("row_id", "row_text", "item_id").agg(F.max(F.struct("n_found", "longest", "agreed", "n_windows")).alias("best")).select("row_id", "row_text", "item_id", "best.*")
 
 
 def _enough(found: DataFrame) -> DataFrame:
@@ -139,21 +164,10 @@ def _alignments(likely: DataFrame) -> DataFrame:
     return _enough(grouped).unionByName(whole)
 
 
-def _consistent(likely: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
-    """Keeps the pairs whose slots agree; only texts of documents with a likely pair are read again."""
-    texts = rows.join(likely.select("row_id", "row_text").distinct(), ["row_id", "row_text"], "left_semi").dropDuplicates(["row_id", "row_text"])
-    words = computed(texts, "own", template_words(F.col("body"))).select("row_id", "row_text", "own")
-    theirs = computed(items.groupBy("item_id").agg(F.min("item_text").alias("item_text")), "theirs", template_words(F.col("item_text")))
-    theirs = computed(theirs, "slots", _template(F.col("theirs"))).select("item_id", "theirs", "slots")
+def _consistent(likely: DataFrame) -> DataFrame:
+    """Keeps the pairs whose slots agree: each value of the item stands for one value of the document."""
     lines, key = materialize(_alignments(likely), "alignments"), ["row_id", "row_text", "item_id", "reach", "line"]
-    pairs = lines.hint("merge").join(words, ["row_id", "row_text"]).join(theirs, "item_id")  # its arrays are small as files only
-    slot = pairs.select(
-        *key,
-        F.explode(F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform(
-            F.filter(F.sequence(F.lit(0), p["width"] - 1), lambda j: F.get("slots", p["place"] + j).isin(_NUMBER, _NAME, _UNIT)),
-            lambda j: F.struct(F.get("theirs", p["place"] + j).alias("theirs"), F.get("own", p["at"] + j).alias("own")),
-        ))))).alias("s"),
-    )
+    slot = lines.select(*key, F.explode(F.array_distinct(F.flatten(F.transform("places", lambda p: p["values"])))).alias("s"))
     values = slot.groupBy(*key, "s.theirs").agg(F.count("*").alias("n"))
     agreed = values.groupBy(*key).agg(F.avg((F.col("n") == 1).cast("double")).alias("agreed"))
     out = lines.drop("places").join(agreed, key, "left").withColumn("agreed", F.coalesce("agreed", F.lit(1.0))).filter(F.col("agreed") >= CONSISTENT)
