@@ -126,8 +126,6 @@ def _counted(most: int):
         rows = group.to_pylist()
         key = rows[0]["key"]
         blank = {"a": b"", "b": b"", "c": b"", "d": b"", "e": b"", "n": 0, "v": 0}
-        if key < 0:
-            return pa.Table.from_pylist([{"shard": r["shard"], "bucket": -1, "kind": 0, **{x: r[x] for x in "abcde"}, "n": 0, "v": 0} for r in rows], _schema(_BACK))
         known, counts = [numbers(r["a"], np.uint64) for r in rows], [numbers(r["b"], np.uint32) for r in rows]
         keys, back = np.unique(np.concatenate(known), return_inverse=True)
         total = np.bincount(back, np.concatenate(counts)).astype(np.int64)
@@ -224,11 +222,13 @@ def score_documents(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, int(size // BUCKET).bit_length())
     sent = materialize(rows.mapInArrow(_sent(bits), _SENT), "shards")
-    back = materialize(sent.groupBy("key").applyInArrow(_counted(MAX_BITS >> (bits + 1)), _BACK), "n-grams")
+    back = materialize(sent.filter("key >= 0").groupBy("key").applyInArrow(_counted(MAX_BITS >> (bits + 1)), _BACK), "n-grams")
     totals = back.filter("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     segments = back.filter("kind = 2").select("bucket", "n", "a").toArrow()  # MAX_BITS at most
     model = df.sparkSession.sparkContext.broadcast(Filter(segments, bits, *totals))
-    base = back.filter("kind < 2").groupBy("shard").applyInArrow(_based(*totals), "order_id long, mark long, n_tokens long, n_known long, base_score double")
+    nothing = [F.lit(0).cast("long").alias(c) for c in ("n", "v")]
+    own = sent.filter("key < 0").select("shard", F.lit(-1).alias("bucket"), F.lit(0).alias("kind"), *"abcde", *nothing)  # moved once, to meet their answers
+    base = back.filter("kind = 1").unionByName(own).groupBy("shard").applyInArrow(_based(*totals), "order_id long, mark long, n_tokens long, n_known long, base_score double")
     base = base.groupBy("order_id", "mark").agg(*(F.first(c).alias(c) for c in ("n_tokens", "n_known", "base_score")))
     scored = rows.mapInArrow(_scored(model), "doc_id long, order_id long, mark long, held_out boolean, score double")
     return scored.join(base, ["order_id", "mark"]).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(totals[0])).cast("long").alias("train_tokens"), "base_score", "score")

@@ -176,7 +176,7 @@ def _marked(batches):
     for whole in batches:
         for batch in kernel.slices(whole, "text", SLICE):
             _, _, n, marks = signatures(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(marks.view(np.int64))], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), pa.array(n.astype(np.int64)), pa.array(marks.view(np.int64))], ["doc_id", "body", "n_shingles", "node"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -254,10 +254,10 @@ def links(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
 
 
 def _classes(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Every row's id, set size and node; and for each node its component's smallest id and that one's node."""
+    """Every row's id, text hash (``body``), set size and node; and for each node its component's smallest id and that one's node."""
     _, parts = links(df, text)
-    rows = df.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
-    marked = materialize(rows.mapInArrow(_marked, "doc_id long, n_shingles long, node long"), "documents")
+    rows = df.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.xxhash64(F.col(quoted(text))).alias("body"), F.col(quoted(text)).alias("text"))
+    marked = materialize(rows.mapInArrow(_marked, "doc_id long, body long, n_shingles long, node long"), "documents")
     sets = marked.filter("n_shingles > 0").groupBy("node").agg(F.min(order_id()).alias("low"))
     found = sets.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     lowest = found.groupBy("part").agg(F.min(F.struct("low", "node")).alias("first"))
@@ -278,18 +278,12 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     """
     marked, classes = _classes(df, id_column, text)
     first = marked.join(classes, "node").filter((order_id() == F.col("low")) & (F.col("node") == F.col("first_node")))
-    stay = first.groupBy(order_id().alias("stay_id"), F.col("node").alias("stay_node")).agg(F.count("*").alias("stay_count"))
+    stay = first.groupBy(order_id().alias("stay_id"), "node").agg(F.min("body").alias("stay_body"), F.count("*").alias("stay_count"))
     stay = materialize(stay, "stay")
-
-    @F.arrow_udf("long")
-    def node(column: pa.Array) -> pa.Array:
-        parts = [signatures(b.column("t")) for b in kernel.slices(pa.RecordBatch.from_arrays([column], ["t"]), "t", SLICE)]
-        return pa.array(np.concatenate([np.where(n > 0, marks.view(np.int64), 0) for _, _, n, marks in parts] or [np.zeros(0, np.int64)]), pa.int64())
-
-    key, mark = fresh(df, "stay_id"), fresh(df, "stay_node")
-    rows = df.withColumns({key: order_id(quoted(id_column)), mark: node(F.col(quoted(text)))})
+    key, mark = fresh(df, "stay_id"), fresh(df, "stay_body")
+    rows = df.withColumns({key: order_id(quoted(id_column)), mark: F.xxhash64(F.col(quoted(text)))})
     blank = ~F.rlike(F.coalesce(F.col(quoted(text)), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    kept = rows.filter(~blank).join(stay.select(F.col("stay_id").alias(key), F.col("stay_node").alias(mark)), [key, mark], "left_semi")
+    kept = rows.filter(~blank).join(stay.select(F.col("stay_id").alias(key), F.col("stay_body").alias(mark)), [key, mark], "left_semi")
     if stay.filter("stay_count > 1").limit(1).count():
         kept = kept.dropDuplicates([key, mark])
     return kept.select(*columns(df)).union(df.filter(blank))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.llm import kernel
-from watchloom.llm.common import quoted
+from watchloom.llm.common import columns, fresh, order_id, quoted
 from watchloom.session import materialize
 
 MIN_WORDS, MAX_REPEATED = 10, 20
@@ -212,23 +212,10 @@ def judge(df: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id", "
 
 
 def keep_good(df: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``df`` that are kept, with their columns."""
-    cutoffs = fit_cutoffs(materialize(measure(df, text), "measured"), labels)
-    whole = measure_beside(df, text)
-    return whole.filter(verdict(cutoffs)).select(*(F.col(quoted(c)) for c in df.columns))
-
-
-def measure_beside(df: DataFrame, text: str = "text") -> DataFrame:
-    """All rows with the counts beside their columns; columns of these names are replaced."""
-
-    @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
-    def counted(column: pa.Array) -> pa.Array:
-        parts = {c: [] for c in COUNTS}
-        for batch in kernel.slices(pa.RecordBatch.from_arrays([column], ["t"]), "t", SLICE):
-            for c, v in counts_of(batch.column("t")).items():
-                parts[c].append(v)
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(parts[c] or [np.zeros(0, np.int64)]).astype(np.int64)) for c in COUNTS], list(COUNTS))
-
-    clash = {c.lower() for c in COUNTS} | {"counts"}
-    kept = [F.col(quoted(c)) for c in df.columns if c.lower() not in clash]
-    return df.select(*kept, counted(F.col(quoted(text))).alias("counts")).select("*", "counts.*").drop("counts")
+    """The rows of ``df`` that are kept, with their columns. Texts are measured once; a row finds its verdict by id, language and a hash of its text."""
+    mark, number, where = (fresh(df, c) for c in ("text_mark", "number_mark", "lang_mark"))
+    keys = {mark: F.xxhash64(F.col(quoted(text))), number: order_id(), where: F.coalesce(F.col("lang").cast("string"), F.lit(""))}
+    rows = df.withColumns(keys)
+    counts = materialize(measure(rows, text, ("doc_id", "lang", *keys)), "measured")
+    good = counts.filter(verdict(fit_cutoffs(counts, labels))).select(*keys).distinct()
+    return rows.join(good, list(keys), "left_semi").select(*columns(df))
