@@ -1,12 +1,11 @@
 r"""Benchmark decontamination by template canonicalisation.
 
-Texts and benchmark items are rewritten to templates: numbers, names (a capitalised word after a word that
+Texts and benchmark items are rewritten to templates: numbers, names (a word with one capital after a word that
 doesn't end a sentence) and units after a number become typed placeholders, the rest is lower-cased and cut
 at everything but letters and digits. Windows of ``WINDOW`` template words are hashed and joined by hash. An
 item is found in a document that has at least ``SHARE`` of its distinct windows, or a run of ``RUN``
-consecutive ones. The plain lower-cased words have windows of their own, joined by the same hash join: a copy whose
-names can't be told (all lower case, all capitals) is found by them, and as its words are the item's, its slots
-agree. Matched places lie on alignments (document place less item place), each of which is taken
+consecutive ones. An item with names also has windows that keep them as lower-cased words, joined by the same hash
+join: they find a copy whose names can't be told (all lower case, all capitals). Matched places lie on alignments (document place less item place), each of which is taken
 alone, with its neighbours up to each number of ``REACH``, and with all others, and one that passes is enough: an
 item may occur several times with other values, and a repeated template matches crosswise. Then the slots are
 checked: over the matched windows of the alignment, a number, name or unit of the item
@@ -17,7 +16,7 @@ Everything is DataFrame operations. A bitmap of the item windows' hashes, of at
 the documents where they are made; those left carry their slot words along, so no text is read twice or moved.
 
 Defined cases: null and empty texts are not contaminated. An item with fewer than ``WINDOW`` words has one window of
-all of them, and below ``TYPED`` words a plain one only; an item with fewer than ``LEAST`` is not searched, as chance would find it. Repeated rows get equal
+all of them, below ``TYPED`` words with equal slot values only; an item with fewer than ``LEAST`` is not searched, as chance would find it. Repeated rows get equal
 results; null ids count as an id, and rows that share an id are told apart by their text. Null items are
 skipped; items that share an id are searched as one id. No items: nothing is contaminated.
 """
@@ -46,7 +45,7 @@ _NUMBER, _NAME, _UNIT = "0num", "0name", "0unit"
 
 def _spaced(text: Column) -> Column:
     """Typed text before cutting: names are marked by a prefix, as their case is lost afterwards."""
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;]\s{1,8})(?=\p{Lu}\p{L})", "0name")
+    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;]\s{1,8})(?=\p{Lu}\p{Ll})", "0name")
     return F.lower(named)
 
 
@@ -68,29 +67,36 @@ def _template(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def _windows(hashes: Column, width: int, kind: str) -> Column:
+def _windows(hashes: Column, width: int) -> Column:
     """``at`` and ``hash`` of all runs of ``width`` values."""
     n = F.size(hashes)
-    one = lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(kind), F.slice(hashes, i + 1, width)).alias("hash"))
+    one = lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, width)).alias("hash"))
     return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), one)).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
 
 def _hashed(rows: DataFrame, body: str) -> DataFrame:
-    """Adds ``words``, and the hashes of typed (``typed``) and of lower-cased words (``plain``)."""
+    """Adds ``words``, and ``typed``, the hashes of the template's words."""
     words = computed(rows, "words", template_words(F.col(body)))
-    words = computed(words, "typed", F.transform(_template(F.col("words")), lambda w: F.xxhash64(w)))
-    return computed(words, "plain", F.transform("words", lambda w: F.xxhash64(F.when(w.startswith(_NAME), F.substring(w, len(_NAME) + 1, 2**31 - 1)).otherwise(w))))
+    return computed(words, "typed", F.transform(_template(F.col("words")), lambda w: F.xxhash64(w)))
+
+
+def _unnamed() -> Column:
+    """The words with names as plain words."""
+    return F.transform("words", lambda w: F.when(w.startswith(_NAME), F.substring(w, len(_NAME) + 1, 2**31 - 1)).otherwise(w))
 
 
 def item_windows(items: DataFrame, id_column: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_id``, ``kind``, ``width``, ``place``, ``hash`` of every window, its ``words`` and which are slots, and how many distinct ones the item has of the kind."""
+    """``item_id``, ``kind``, ``width``, ``place``, ``hash`` of every window, its words (``theirs``) and which are slots
+    (``slot``), and how many distinct ones the item has of the kind. Kind ``named`` keeps names as words; only items with names have it."""
     own = items.select(order_id(quoted(id_column)).alias("item_id"), F.col(quoted(text)).alias("body"))
-    hashed = _hashed(own, "body").filter(F.size("words") >= LEAST)
-    hashed = computed(hashed, "slot", F.transform(_template(F.col("words")), lambda w: w.isin(_NUMBER, _NAME, _UNIT)))
+    typed = _hashed(own, "body").filter(F.size("words") >= LEAST)
+    named = typed.filter(F.exists("words", lambda w: w.startswith(_NAME))).withColumn("words", _unnamed())
+    named = computed(named.drop("typed"), "typed", F.transform(_template(F.col("words")), lambda w: F.xxhash64(w)))
     n, out = F.size("words"), None
-    for kind, least in (("typed", TYPED), ("plain", LEAST)):
-        for width in range(least, WINDOW + 1):
-            part = hashed.filter(n >= width if width == WINDOW else n == width).select("item_id", "words", "slot", F.inline(_windows(F.col(kind), width, kind)))
+    for kind, rows in (("typed", typed), ("named", named)):
+        rows = computed(rows, "slot", F.transform(_template(F.col("words")), lambda w: w.isin(_NUMBER, _NAME, _UNIT)))
+        for width in range(LEAST, WINDOW + 1):
+            part = rows.filter(n >= width if width == WINDOW else n == width).select("item_id", "words", "slot", F.inline(_windows(F.col("typed"), width)))
             part = part.select("item_id", F.lit(kind).alias("kind"), F.lit(width).alias("width"), F.col("at").alias("place"), "hash", F.slice("words", F.col("at") + 1, width).alias("theirs"), F.slice("slot", F.col("at") + 1, width).alias("slot"))
             out = part if out is None else out.union(part)
     counts = out.groupBy("item_id", "kind").agg(F.count_distinct("hash").alias("n_windows"))
@@ -114,28 +120,30 @@ def find_contamination(df: DataFrame, items: DataFrame, id_column: str = "doc_id
     Null ids appear as ``NO_ID``.
     """
     windows = materialize(item_windows(items, item_id, item_text), "item-windows")
-    shapes = sorted((r["kind"], r["width"]) for r in windows.select("kind", "width").distinct().collect())  # ten at most
+    widths = sorted(r["width"] for r in windows.select("width").distinct().collect())  # six at most
     among, body = _among(windows), F.col(quoted(text))
     rows = df.select(order_id(quoted(id_column)).alias("row_id"), F.xxhash64(body).alias("row_text"), body.alias("body"))
     hashed = _hashed(rows, "body")
-    def kept(kind: str, width: int) -> Column:
+    short = [w for w in widths if w < WINDOW]  # one wrongly told name would hide a short item, so documents have these windows without names too
+    if short:
+        hashed = computed(hashed, "bare", F.transform(_template(_unnamed()), lambda w: F.xxhash64(w)))
+
+    def kept(words: str, width: int) -> Column:
         """Windows of a row that may be an item's, with their words."""
-        likely = F.filter(_windows(F.col(kind), width, kind), lambda x: among(x["hash"]))
+        likely = F.filter(_windows(F.col(words), width), lambda x: among(x["hash"]))
         return F.transform(likely, lambda x: F.struct(x["at"].alias("at"), x["hash"].alias("hash"), F.slice("words", x["at"] + 1, width).alias("own")))
 
-    lists = [kept(kind, width) for kind, width in shapes]
+    lists = [*(kept("typed", w) for w in widths), *(kept("bare", w) for w in short)]
     every = lists[0] if len(lists) == 1 else F.concat(*lists) if lists else F.array().cast("array<struct<at:int,hash:bigint,own:array<string>>>")
     seen = hashed.select("row_id", "row_text", F.inline(every))
     value = F.transform("theirs", lambda w, j: F.when(F.get("slot", j), F.struct(w.alias("theirs"), F.get("own", j).alias("own"))))
-    values = F.when(F.col("kind") == "typed", F.filter(value, lambda v: v.isNotNull())).otherwise(F.array().cast("array<struct<theirs:string,own:string>>"))
-    matched = seen.join(windows, "hash").withColumn("values", values)
+    matched = seen.join(windows, "hash").withColumn("values", F.filter(value, lambda v: v.isNotNull()))
+    matched = matched.filter((F.col("width") >= TYPED) | F.forall("values", lambda v: v["theirs"] == v["own"]))
     found = matched.groupBy("row_id", "row_text", "item_id", "kind", "n_windows").agg(
         F.count_distinct("hash").alias("n_found"), F.array_sort(F.collect_set(F.struct("place", "at", "width", "hash", "values"))).alias("places")
     )
-    likely = materialize(_enough(found), "likely")
-    plain = likely.filter("kind = 'plain'").select("row_id", "row_text", "item_id", "n_windows", "n_found", "longest", F.lit(1.0).alias("agreed"))
-    both = _consistent(likely.filter("kind = 'typed'").drop("kind")).unionByName(plain)
-    return both.groupBy("row_id", "row_text", "item_id").agg(F.max(F.struct("n_found", "longest", "agreed", "n_windows")).alias("best")).select("row_id", "row_text", "item_id", "best.*")
+    agreed = _consistent(materialize(_enough(found), "likely"))
+    return agreed.groupBy("row_id", "row_text", "item_id").agg(F.max(F.struct("n_found", "longest", "agreed", "n_windows")).alias("best")).select("row_id", "row_text", "item_id", "best.*")
 
 
 def _enough(found: DataFrame) -> DataFrame:
@@ -152,7 +160,7 @@ def _enough(found: DataFrame) -> DataFrame:
 
 def _alignments(likely: DataFrame) -> DataFrame:
     """Each pair once for every group of its alignments that makes up enough of the item: ``reach``, ``line``."""
-    key = ["row_id", "row_text", "item_id", "n_windows"]
+    key = ["row_id", "row_text", "item_id", "kind", "n_windows"]
     single = likely.select(*key, F.explode("places").alias("p")).groupBy(*key, (F.col("p.at") - F.col("p.place")).alias("shift")).agg(F.collect_list("p").alias("p"))
     order = Window.partitionBy(*key).orderBy("shift")
     gap = F.col("shift") - F.lag("shift").over(order)
@@ -166,12 +174,12 @@ def _alignments(likely: DataFrame) -> DataFrame:
 
 def _consistent(likely: DataFrame) -> DataFrame:
     """Keeps the pairs whose slots agree: each value of the item stands for one value of the document."""
-    lines, key = materialize(_alignments(likely), "alignments"), ["row_id", "row_text", "item_id", "reach", "line"]
+    lines, key = materialize(_alignments(likely), "alignments"), ["row_id", "row_text", "item_id", "kind", "reach", "line"]
     slot = lines.select(*key, F.explode(F.array_distinct(F.flatten(F.transform("places", lambda p: p["values"])))).alias("s"))
     values = slot.groupBy(*key, "s.theirs").agg(F.count("*").alias("n"))
     agreed = values.groupBy(*key).agg(F.avg((F.col("n") == 1).cast("double")).alias("agreed"))
     out = lines.drop("places").join(agreed, key, "left").withColumn("agreed", F.coalesce("agreed", F.lit(1.0))).filter(F.col("agreed") >= CONSISTENT)
-    best = out.groupBy("row_id", "row_text", "item_id", "n_windows").agg(F.max(F.struct("n_found", "longest", "agreed")).alias("best"))
+    best = out.groupBy("row_id", "row_text", "item_id", "kind", "n_windows").agg(F.max(F.struct("n_found", "longest", "agreed")).alias("best"))
     return best.select("row_id", "row_text", "item_id", "n_windows", "best.*")
 
 
