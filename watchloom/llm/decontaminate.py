@@ -45,7 +45,7 @@ _NUMBER, _NAME, _UNIT = "0num", "0name", "0unit"
 
 def _spaced(text: Column) -> Column:
     """Typed text before cutting: names are marked by a prefix, as their case is lost afterwards."""
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;]\s{1,8})(?=\p{Lu}\p{Ll})", "0name")
+    named = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{Nd},;]\s{1,8})", "0name")
     return F.lower(named)
 
 
