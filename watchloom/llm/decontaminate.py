@@ -12,8 +12,8 @@ checked: over the matched windows of the alignment, a number, name or unit of th
 must stand for one value of the document each; re-parameterised questions pass, mere look-alikes with
 changing values don't. At least ``CONSISTENT`` of the item's slot values must do so.
 
-Everything is DataFrame operations. A bitmap of the item windows' hashes, of at most 0.5 MB, drops most windows of
-the documents where they are made; those left carry their slot words along, so no text is read twice or moved.
+Everything is DataFrame operations. Bitmaps of the item windows' first and last words and of their hashes, of at most
+0.5 MB each, drop most windows of the documents where they are made; those left carry their slot words along, so no text is read twice or moved.
 
 Defined cases: null and empty texts are not contaminated. An item with fewer than ``WINDOW`` words has one window of
 all of them, below ``TYPED`` words with equal slot values only; an item with fewer than ``LEAST`` is not searched, as chance would find it. Repeated rows get equal
@@ -51,33 +51,41 @@ def _spaced(text: Column) -> Column:
 
 def template_words(text: Column) -> Column:
     """Lower-cased words, cut at everything but letters, digits, and points or commas between digits."""
-    cut = F.regexp_replace(_spaced(text), r"[^\p{L}\p{Nd}.,]+|[.,](?![0-9])|(?<![0-9])[.,]", " ")
-    return F.filter(F.split(cut, " +"), lambda w: w != "")
+    return F.filter(F.split(_spaced(text), r"[^\p{L}\p{Nd}.,]+|[.,](?![0-9])|(?<![0-9])[.,]"), lambda w: w != "")
 
 
 def _template(words: Column) -> Column:
-    """Placeholders for typed words; a unit word counts after a number only."""
+    return F.transform(words, lambda w, i: _placeholder(words, w, i))
 
-    def one(w: Column, i: Column) -> Column:
-        number = F.rlike(w, F.lit(r"^[0-9][0-9.,]*$"))
-        before = F.get(words, i - 1)
-        is_unit = F.rlike(w, F.lit(rf"^(?:{UNITS})$")) & F.rlike(F.coalesce(before, F.lit("")), F.lit(r"^[0-9][0-9.,]*$"))
-        return F.when(w.startswith(_NAME), F.lit(_NAME)).when(number, F.lit(_NUMBER)).when(is_unit, F.lit(_UNIT)).otherwise(w)
 
-    return F.transform(words, one)
+def _hashes(words: Column) -> Column:
+    """Hashes of the template's words."""
+    return F.transform(words, lambda w, i: F.xxhash64(_placeholder(words, w, i)))
 
 
-def _windows(hashes: Column, width: int) -> Column:
-    """``at`` and ``hash`` of all runs of ``width`` values."""
-    n = F.size(hashes)
-    one = lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, width)).alias("hash"))
-    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), one)).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+def _placeholder(words: Column, w: Column, i: Column) -> Column:
+    """Stands for typed words; a unit word counts after a number only. Most words begin and follow no digit, and end at a comparison."""
+    number = lambda x: F.rlike(x, F.lit(r"^[0-9][0-9.,]*$"))
+    before = F.coalesce(F.get(words, i - 1), F.lit(""))
+    typed = F.when(w.startswith(_NAME), F.lit(_NAME)).when(number(w), F.lit(_NUMBER)).otherwise(w)
+    is_unit = (before < ":") & w.isin(UNITS.split("|")) & number(before)
+    return F.when(w < ":", typed).when(is_unit, F.lit(_UNIT)).otherwise(w)
+
+
+def _windows(hashes: Column, width: int | Column, likely=None) -> Column:
+    """``at``, ``hash`` and ``ends`` (a hash of first and last) of all runs of ``width`` values, or of those with likely ends."""
+    n, ends = F.size(hashes), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + (width - 1)))
+    one = lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, width)).alias("hash"), ends(i).alias("ends"))
+    spots = F.sequence(F.lit(0), n - width)
+    if likely:
+        spots = F.filter(spots, lambda i: likely(ends(i)))
+    return F.when(n >= width, F.transform(spots, one)).otherwise(F.array().cast("array<struct<at:int,hash:bigint,ends:bigint>>"))
 
 
 def _hashed(rows: DataFrame, body: str) -> DataFrame:
     """Adds ``words``, and ``typed``, the hashes of the template's words."""
     words = computed(rows, "words", template_words(F.col(body)))
-    return computed(words, "typed", F.transform(_template(F.col("words")), lambda w: F.xxhash64(w)))
+    return computed(words, "typed", _hashes(F.col("words")))
 
 
 def _unnamed() -> Column:
@@ -86,29 +94,30 @@ def _unnamed() -> Column:
 
 
 def item_windows(items: DataFrame, id_column: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_id``, ``kind``, ``width``, ``place``, ``hash`` of every window, its words (``theirs``) and which are slots
+    """``item_id``, ``kind``, ``width``, ``place``, ``hash`` and ``ends`` of every window, its words (``theirs``) and which are slots
     (``slot``), and how many distinct ones the item has of the kind. Kind ``named`` keeps names as words; only items with names have it."""
     own = items.select(order_id(quoted(id_column)).alias("item_id"), F.col(quoted(text)).alias("body"))
     typed = _hashed(own, "body").filter(F.size("words") >= LEAST)
     named = typed.filter(F.exists("words", lambda w: w.startswith(_NAME))).withColumn("words", _unnamed())
-    named = computed(named.drop("typed"), "typed", F.transform(_template(F.col("words")), lambda w: F.xxhash64(w)))
-    n, out = F.size("words"), None
+    named = computed(named.drop("typed"), "typed", _hashes(F.col("words")))
+    out = None
     for kind, rows in (("typed", typed), ("named", named)):
         rows = computed(rows, "slot", F.transform(_template(F.col("words")), lambda w: w.isin(_NUMBER, _NAME, _UNIT)))
-        for width in range(LEAST, WINDOW + 1):
-            part = rows.filter(n >= width if width == WINDOW else n == width).select("item_id", "words", "slot", F.inline(_windows(F.col("typed"), width)))
-            part = part.select("item_id", F.lit(kind).alias("kind"), F.lit(width).alias("width"), F.col("at").alias("place"), "hash", F.slice("words", F.col("at") + 1, width).alias("theirs"), F.slice("slot", F.col("at") + 1, width).alias("slot"))
-            out = part if out is None else out.union(part)
+        rows = rows.select("item_id", "words", "slot", "typed", F.least(F.size("words"), F.lit(WINDOW)).alias("width"))
+        width, after = F.col("width"), F.col("at") + 1
+        part = rows.select("item_id", "words", "slot", "width", F.inline(_windows(F.col("typed"), width)))
+        part = part.select("item_id", F.lit(kind).alias("kind"), "width", F.col("at").alias("place"), "hash", "ends", F.slice("words", after, width).alias("theirs"), F.slice("slot", after, width).alias("slot"))
+        out = part if out is None else out.union(part)
     counts = out.groupBy("item_id", "kind").agg(F.count_distinct("hash").alias("n_windows"))
     return out.join(counts, ["item_id", "kind"])
 
 
-def _among(windows: DataFrame):
-    """A test whether a hash may be one of the windows': 64 bits or more a window, up to the bitmap's most words."""
+def _among(windows: DataFrame, column: str):
+    """A test whether a hash may be one of the windows' column: 64 bits or more a window, up to the bitmap's most words."""
     size = 1 << max(4, min(MOST_WORDS, windows.count().bit_length()))
     at = lambda h: F.call_function("shiftrightunsigned", h, F.lit(6)).bitwiseAND(F.lit(size - 1))
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    set_ = windows.groupBy(at(F.col("hash")).alias("id")).agg(F.bit_or(bit(F.col("hash"))).alias("bits"))
+    set_ = windows.groupBy(at(F.col(column)).alias("id")).agg(F.bit_or(bit(F.col(column))).alias("bits"))
     words = dict(set_.collect())  # 2 ** MOST_WORDS at most
     bitmap = F.from_json(F.lit(json.dumps([words.get(k, 0) for k in range(size)])), "array<bigint>")  # folded to one literal
     return lambda h: F.get(bitmap, at(h).cast("int")).bitwiseAND(bit(h)) != 0
@@ -121,23 +130,23 @@ def find_contamination(df: DataFrame, items: DataFrame, id_column: str = "doc_id
     """
     windows = materialize(item_windows(items, item_id, item_text), "item-windows")
     widths = sorted(r["width"] for r in windows.select("width").distinct().collect())  # six at most
-    among, body = _among(windows), F.col(quoted(text))
+    among, likely_ends, body = _among(windows, "hash"), _among(windows, "ends"), F.col(quoted(text))
     rows = df.select(order_id(quoted(id_column)).alias("row_id"), F.xxhash64(body).alias("row_text"), body.alias("body"))
     hashed = _hashed(rows, "body")
     short = [w for w in widths if w < WINDOW]  # one wrongly told name would hide a short item, so documents have these windows without names too
     if short:
-        hashed = computed(hashed, "bare", F.transform(_template(_unnamed()), lambda w: F.xxhash64(w)))
+        hashed = computed(hashed, "bare", _hashes(_unnamed()))
 
     def kept(words: str, width: int) -> Column:
         """Windows of a row that may be an item's, with their words."""
-        likely = F.filter(_windows(F.col(words), width), lambda x: among(x["hash"]))
+        likely = F.filter(_windows(F.col(words), width, likely_ends), lambda x: among(x["hash"]))
         return F.transform(likely, lambda x: F.struct(x["at"].alias("at"), x["hash"].alias("hash"), F.slice("words", x["at"] + 1, width).alias("own")))
 
     lists = [*(kept("typed", w) for w in widths), *(kept("bare", w) for w in short)]
     every = lists[0] if len(lists) == 1 else F.concat(*lists) if lists else F.array().cast("array<struct<at:int,hash:bigint,own:array<string>>>")
     seen = hashed.select("row_id", "row_text", F.inline(every))
     value = F.transform("theirs", lambda w, j: F.when(F.get("slot", j), F.struct(w.alias("theirs"), F.get("own", j).alias("own"))))
-    matched = seen.join(windows, "hash").withColumn("values", F.filter(value, lambda v: v.isNotNull()))
+    matched = seen.join(windows.drop("ends"), "hash").withColumn("values", F.filter(value, lambda v: v.isNotNull()))
     matched = matched.filter((F.col("width") >= TYPED) | F.forall("values", lambda v: v["theirs"] == v["own"]))
     found = matched.groupBy("row_id", "row_text", "item_id", "kind", "n_windows").agg(
         F.count_distinct("hash").alias("n_found"), F.array_sort(F.collect_set(F.struct("place", "at", "width", "hash", "values"))).alias("places")
