@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchloom.operators import access, decide, evaluate, features, models, scoring
+from watchloom.plans import scoring as job
 from watchloom.schemas import EVENT_FIELDS
 
 
@@ -153,3 +154,52 @@ def test_runs_are_never_split(spark):
 
 def test_record_has_the_fixed_fields():
     assert len(EVENT_FIELDS) == 22
+
+
+def test_moments_in_steps_equal_the_fit_at_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"i{n % 7}", n, (1e6 + rng.normal(size=(4, 3))).tolist()) for n in range(60)] + [("late", 60, [[1, 2, 3]])]
+    parts = [seqs(spark, rows[:25]), seqs(spark, rows[25:40]), seqs(spark, rows[40:])]
+    want = {r.identity: (r.mean, r["std"]) for r in scoring.baseline_fit(seqs(spark, rows)).collect()}
+    state = None
+    for part in parts:
+        new = scoring.moments(part)
+        state = new if state is None else scoring.merge_moments(state, new)
+    at_once = scoring.merge_moments(*[scoring.moments(p) for p in parts])
+    for merged in (state, at_once):
+        got = {r.identity: (r.mean, r["std"]) for r in scoring.baseline_of(merged).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_profiles_in_steps_equal_the_fit_at_once(spark):
+    rows = [("a", n, [[n, 2.0 * n, 1.0]] * (1 + n % 4)) for n in range(20)]
+    parts = [scoring.profile_sums(seqs(spark, part), 3) for part in (rows[:3], rows[3:])]
+    merged = scoring.profile_of(scoring.merge_profiles(*parts, width=3), 3)
+    got, want = ({r.t: r.expected for r in p.collect()} for p in (merged, scoring.profile_fit(seqs(spark, rows), 3)))
+    assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t]) for t in want)
+
+
+def test_a_step_can_be_run_again_and_empty_steps_change_nothing(spark, tmp_path):
+    rows = seqs(spark, [("a", 1, [[1, 2, 3]] * 3), ("b", 2, [[4, 5, 9]] * 2)]).withColumn("adversarial", F.lit(False))
+    fitted = lambda pair: [sorted(map(str, part.collect())) for part in pair]
+    first = fitted(job.fit_step(rows, 3, f"{tmp_path}/1"))
+    again = fitted(job.fit_step(rows.filter("false"), 3, f"{tmp_path}/2", previous=f"{tmp_path}/1"))
+    assert first == again == fitted(job.fit_step(rows.filter("false"), 3, f"{tmp_path}/2", previous=f"{tmp_path}/1"))
+    stats, profile = job.fit_step(rows.filter("false"), 3, f"{tmp_path}/none")
+    assert stats.count() == 0 and [r.t for r in profile.collect()] == [0]
+
+
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_phrases_count_wherever_they_begin(spark, limit):
+    lexicon = spark.createDataFrame(
+        [("rm", 1.0), ("rm rf", 1.0), ("rf", 0.5), ("net  User add", 2.0), ("net", 1.0), ("rm", 0.25), ("--", 9.0), (None, 1.0), ("x", None), ("a a", 4.0)],
+        "term string, weight double",
+    )
+    texts = spark.createDataFrame(
+        [(1, "rm -rf / ; RM"), (2, "Net\nuser\tADD net user"), (3, None), (4, ""), (5, "farm rmx net-user"), (6, "a a a")], "id int, text string"
+    )
+    signals = features.lexicon_weight(texts, "id", F.col("text"), lexicon, limit)
+    assert {r.id: r.signal for r in signals.collect()} == {1: 4.0, 2: 4.0, 3: 0.0, 4: 0.0, 5: 1.0, 6: 8.0}
+    assert ("Exchange" in signals._jdf.queryExecution().executedPlan().toString()) == (limit == 1)
+    nothing = features.lexicon_weight(texts, "id", F.col("text"), lexicon.filter("false"), limit)
+    assert {r.signal for r in nothing.collect()} == {0.0}

@@ -104,12 +104,56 @@ def unseen_category(rows: DataFrame, vocabulary: DataFrame, columns: list[str])
     return rows.join(small(known), columns, "left_anti")
 
 
-def lexicon_weight(texts: DataFrame, text_id: str, text: Column, lexicon: DataFrame) -> DataFrame:
-    """Sum of lexicon weights over all words of each text: a soft signal, 0 without a match.
+_NOT_LETTERS = r"[^\p{L}]+"
 
-    Words of one text are summed up where they were split, before the shuffle.
+
+def _phrase_pattern(phrases: list[tuple[str, ...]]) -> str:
+    """A pattern for the places where one of ``phrases`` begins, none of which is the start of another: words that
+    phrases share at their start are tried once. Words are letters only, so nothing needs escaping."""
+    def branches(rest: list[tuple[str, ...]]) -> str:
+        heads: dict[str, list[tuple[str, ...]]] = {}
+        for words in sorted(rest):
+            heads.setdefault(words[0], []).append(words[1:])
+        return "|".join(head + (" (?:" + branches(tails) + ")" if tails[0] else " ") for head, tails in heads.items())
+
+    return f" (?={branches(phrases)})"
+
+
+def phrase_weight(text: Column, weights: dict[str, float]) -> Column:
+    """Sum of ``weights`` over all places where a phrase stands in ``text``, overlaps included, as one expression.
+
+    Words are maximal runs of letters, lower-cased, in texts and phrases alike. Phrases of one weight are looked for in
+    one pass; a phrase that begins with another one goes to a later pass. Null texts have the sum 0.
+    """
+    passes: dict[tuple[float, int], list[tuple[str, ...]]] = {}
+    for phrase, weight in weights.items():
+        words = tuple(phrase.split(" "))
+        starts = sum(weights.get(" ".join(words[:n])) == weight for n in range(1, len(words)))
+        passes.setdefault((weight, starts), []).append(words)
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _NOT_LETTERS, " "), F.lit(" "))
+    total = F.lit(0.0)
+    for (weight, _), phrases in sorted(passes.items()):
+        total = total + F.regexp_count(spaced, F.lit(_phrase_pattern(phrases))) * F.lit(weight)
+    return F.coalesce(total, F.lit(0.0))
+
+
+def lexicon_weight(texts: DataFrame, text_id: str, text: Column, lexicon: DataFrame, limit: int = 1_000) -> DataFrame:
+    """Sum of lexicon weights over all words and phrases of each text: a soft signal, 0 without a match.
+
+    A lexicon of at most ``limit`` phrases becomes one expression: no row is split and nothing is shuffled. A larger
+    one is joined: the words of one text, and its runs as long as a phrase, are summed up where they were split,
+    before the shuffle. Both give one row a text (ids are distinct) and count a place for each phrase that begins there.
     """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    terms = texts.select(text_id, F.explode_outer(words).alias("term"))
-    weighted = terms.join(small(lexicon.select("term", "weight")), "term", "left")
+    joined = lambda column: F.trim(F.regexp_replace(F.lower(column), _NOT_LETTERS, " "))
+    terms = lexicon.select(joined(F.col("term")).alias("term"), "weight").filter("term <> '' AND weight IS NOT NULL")
+    terms = terms.groupBy("term").agg(F.sum("weight").alias("weight"))
+    few = terms.limit(limit + 1).collect()
+    if len(few) <= limit:
+        return texts.select(text_id, phrase_weight(text, {r.term: r.weight for r in few}).alias("signal"))
+    lengths = [r[0] for r in terms.select(F.size(F.split("term", " "))).distinct().collect()]  # at most the longest phrase
+    words = F.filter(F.split(F.lower(text), _NOT_LETTERS), lambda w: w != "")
+    runs = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.size("_words") + 1), lambda i: i + n - 1 <= F.size("_words")), lambda i: F.array_join(F.slice("_words", i, n), " "))
+    split = texts.select(text_id, F.coalesce(words, F.array().cast("array<string>")).alias("_words"))
+    spread = split.select(text_id, F.explode_outer(F.concat(*[runs(n) for n in sorted(lengths)])).alias("term"))
+    weighted = spread.join(small(terms), "term", "left")
     return weighted.groupBy(text_id).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("signal"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,68 @@ def baseline_fit(history: DataFrame, entity: str = "identity") -> DataFrame:
     )
 
 
+# --- state that grows by days -------------------------------------------------------------
+
+
+def moments(history: DataFrame, entity: str = "identity") -> DataFrame:
+    """Count, mean and squared deviation of each entity's elements: what a baseline needs, and what can be merged.
+
+    Null and NaN elements are left out; an entity without elements has no row.
+    """
+    kept = _elements(history, entity).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    return kept.groupBy(entity).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count(F.lit(1))).alias("m2")
+    )
+
+
+def merge_moments(*parts: DataFrame, entity: str = "identity") -> DataFrame:
+    """The moments of all rows behind ``parts``, in any order and grouping; a merge gathers one value a part.
+
+    Deviations are merged around the means, not from sums of squares, so large values lose no digits.
+    """
+    rows = functools.reduce(DataFrame.unionByName, [p.select(entity, "n", "mean", "m2") for p in parts])
+
+    def both(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        share = b["n"].cast("double") / n
+        return F.struct(n.alias("n"), (a["mean"] + apart * share).alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * share).alias("m2"))
+
+    values = F.array_sort(F.collect_list(F.struct("n", "mean", "m2")))
+    merged = F.aggregate(F.slice(values, 2, len(parts)), values[0], both)
+    return rows.groupBy(entity).agg(merged.alias("all")).select(entity, "all.*")
+
+
+def baseline_of(state: DataFrame, entity: str = "identity") -> DataFrame:
+    """Mean and deviation from moments, as ``baseline_fit`` gives them from the rows."""
+    return state.select(entity, "mean", (F.sqrt(F.col("m2") / F.col("n")) + STD_FLOOR).alias("std"))
+
+
+def profile_sums(benign: DataFrame, width: int) -> DataFrame:
+    """Per position the number of benign steps and, per feature, how many values it has and their mean; it can be merged."""
+    cell = lambda i: F.struct(F.count(F.col("features")[i]).alias("n"), F.avg(F.col("features")[i]).alias("mean"))
+    return benign.groupBy("t").agg(F.array(*[cell(i) for i in range(width)]).alias("cells"))
+
+
+def merge_profiles(*parts: DataFrame, width: int) -> DataFrame:
+    rows = functools.reduce(DataFrame.unionByName, [p.select("t", "cells") for p in parts])
+    return rows.groupBy("t").agg(_mean_cells(width).alias("cells"))
+
+
+def _mean_cells(width: int) -> Column:
+    def cell(i: int) -> Column:
+        n, mean = F.col("cells")[i]["n"], F.col("cells")[i]["mean"]
+        return F.struct(F.sum(n).alias("n"), F.try_divide(F.sum(n * mean), F.sum(n)).alias("mean"))
+
+    return F.array(*[cell(i) for i in range(width)])
+
+
+def profile_of(state: DataFrame, width: int) -> DataFrame:
+    """The profile as ``profile_fit`` gives it: one row a position, and the mean over all of them as position 0."""
+    means = F.transform("cells", lambda c: c["mean"]).alias("expected")
+    whole = state.agg(_mean_cells(width).alias("cells")).select(F.lit(0).alias("t"), means)
+    return state.select("t", means).unionByName(whole)
+
+
 def class_baseline_fit(history: DataFrame, entity: str = "identity", entity_class: str = "entity_class") -> DataFrame:
     """The same statistics per entity, per class and overall, from one rollup.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from watchloom.functions.text import feature_explanation
-from watchloom.operators import evaluate, features, models, scoring
+from watchloom.operators import evaluate, features, models, retrieval, scoring
 from watchloom.operators.skew import attach
 from watchloom.operators.normalize import normalize_lines
 from watchloom.plans import scoring as job
@@ -245,6 +245,29 @@ def model_state_export(spark, sf):
     return back("baseline", F.col("mean")).unionByName(back("profile", total))
 
 
+STEP_US = 1_705_276_800_000_000  # 2024-01-15, inside the history
+
+
+def _fit_in_steps(spark, sf):
+    """The history fitted in two steps, the second from the state of the first and the newer sequences only."""
+    history = materialize(split(spark, sf)[0], "history")
+    first, path = F.unix_micros("seq_start") < STEP_US, scratch_path(spark, "steps")
+    job.fit_step(history.filter(first), WIDTH, f"{path}/1")
+    return job.fit_step(history.filter(~first), WIDTH, f"{path}/2", previous=f"{path}/1")
+
+
+@query("baseline_in_steps", f"WITH {SEQ} SELECT identity, round(mean, 6) AS mean, round(std, 6) AS std FROM stats")
+def baseline_in_steps(spark, sf):
+    stats, _ = _fit_in_steps(spark, sf)
+    return stats.select("identity", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("score_in_steps", f"WITH {SEQ} SELECT {SEQ_KEY}, round(CASE WHEN length < 10 THEN base ELSE mse END, 6) AS score FROM scored")
+def score_in_steps(spark, sf):
+    scores = job.score(split(spark, sf)[1], *_fit_in_steps(spark, sf), WIDTH)
+    return scores.select("identity", "seq_no", F.round("score", 6).alias("score"))
+
+
 @query("reconstruct_pca")
 def reconstruct_pca(spark, sf):
     vectors = read_table(spark, sf, "embeddings").select(
@@ -299,6 +322,18 @@ def topk_similarity(spark, sf):
     return hits.select("vec_id", F.col("entry_id").alias("entry"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("topk_similarity_lists", """
+WITH sim AS (SELECT q.vec_id, e.vec_id AS entry, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS s
+  FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 20 = 0)
+SELECT vec_id, entry, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, entry) AS rank FROM sim) WHERE rank <= 5""")
+def topk_similarity_lists(spark, sf):
+    """Every vector is an entry of the index; those whose id 20 divides are the searches."""
+    vectors = read_table(spark, sf, "embeddings")
+    index = retrieval.build_lists(vectors, "vec_id", "embedding")
+    hits = retrieval.nearest_in_lists(vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding", index, 5, "entry")
+    return hits.select("vec_id", "entry", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 LEXICON = {"password": 3.0, "secret": 2.5, "token": 2.0, "the": 0.25, "error": 1.5, "key": 2.0, "and": 0.5, "license": 1.0}
 
 
@@ -311,6 +346,22 @@ def lexicon_weight(spark, sf):
     return features.lexicon_weight(read_table(spark, sf, "documents"), "doc_id", F.col("text"), lexicon)
 
 
+# Fixed values of the query: phrases and their weights; one is the start of another.
+PHRASES = {"data": 0.25, "data set": 1.0, "of the": 0.5, "in the same": 1.0, "the": 0.25, "machine learning": 2.0}
+PHRASE_SQL = " + ".join(
+    f"CASE WHEN array_to_string(list_slice(w, i, i + {len(phrase.split()) - 1}), ' ') = '{phrase}' THEN {weight} ELSE 0 END" for phrase, weight in PHRASES.items()
+)
+
+
+@query("lexicon_phrases", f"""
+WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')), ' ') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+SELECT doc_id, CAST(sum({PHRASE_SQL}) AS DOUBLE) AS signal FROM p GROUP BY doc_id""")
+def lexicon_phrases(spark, sf):
+    lexicon = spark.createDataFrame(list(PHRASES.items()), "term string, weight double")
+    return features.lexicon_weight(read_table(spark, sf, "documents"), "doc_id", F.col("text"), lexicon)
+
+
 @query("unseen_category", f"""
 WITH {EV} SELECT event_id, identity, k FROM ev WHERE us >= {CUTOFF_US} AND (identity, k) NOT IN
   (SELECT (identity, k) FROM ev WHERE us < {CUTOFF_US})""")

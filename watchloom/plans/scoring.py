@@ -29,6 +29,26 @@ def fit(history: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     return stats, profile
 
 
+def fit_step(new: DataFrame, width: int, out_dir: str, previous: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fit on ``new`` sequences and all that the state at ``previous`` stands for, without reading those again.
+
+    The state (moments of each entity, sums of each position) is written to ``out_dir``, a folder of its own for each
+    step: a step that is run again reads the same ``previous`` and writes the same state. Returns what ``fit`` returns.
+    """
+    spark = new.sparkSession
+    parts = {"moments": scoring.moments(new), "profile": scoring.profile_sums(features.benign_only(new, "adversarial"), width)}
+    if previous:
+        old = {name: spark.read.parquet(f"{previous}/{name}") for name in parts}
+        parts = {
+            "moments": scoring.merge_moments(old["moments"], parts["moments"]),
+            "profile": scoring.merge_profiles(old["profile"], parts["profile"], width=width),
+        }
+    for name, part in parts.items():
+        write_table(part, f"{out_dir}/{name}")
+    state = {name: spark.read.parquet(f"{out_dir}/{name}") for name in parts}
+    return scoring.baseline_of(state["moments"]), checkpoint(scoring.profile_of(state["profile"], width))
+
+
 def score(current: DataFrame, stats: DataFrame, profile: DataFrame, width: int) -> DataFrame:
     errors = scoring.sequence_errors(scoring.reconstruct_profile(current, profile), width)
     return scoring.analyze_sequences(errors, stats)
