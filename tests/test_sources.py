@@ -146,3 +146,24 @@ def test_dead_letters_carry_line_numbers(spark, tmp_path):
     letters = [json.loads(r.value) for r in spark.read.text(f"{out}/errors").collect()]
     assert sorted((x["line_number"], x["stage"], x["error"]) for x in letters) == [
         (3, "read", "JSONL line is not an object"), (5, "validate", "Missing required field: timestamp")]
+
+
+def test_rows_of_one_row_group_are_dealt_over_the_cores(spark, tmp_path):
+    from watchloom.sources.adapter import spread
+
+    ids = F.when(F.col("id") % 3 > 0, F.col("id"))  # some ids are null
+    spark.range(40_000).select(ids.alias("event_id"), F.sha2(F.col("id").cast("string"), 256).alias("props")).coalesce(1).write.parquet(f"{tmp_path}/e")
+    settings = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "50000"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        df = spark.read.parquet(f"{tmp_path}/e")
+        assert df.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        sizes = [r["n"] for r in spread(df).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == 40_000 and max(sizes) < 40_000 / 4
+        sizes = [r["n"] for r in spread(df, 1_000).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == 40_000 and max(sizes) < 2_000
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
