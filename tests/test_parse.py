@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from watchloom.functions import text, times, variants
 from watchloom.operators import windows as win
 from watchloom.operators.normalize import normalize, normalize_lines
-from watchloom.operators.parse import classify, dead_letters
+from watchloom.operators.parse import classify, dead_letters, merged_event
 from watchloom.sources import jsonl
 
 
@@ -234,3 +234,16 @@ def test_falsy_values(spark):
         return variants.is_falsy(variants.type_of(value), variants.text_of(value)).alias(key)
     row = frame.select(*[falsy(k) for k in "abcdefghijkz"]).first().asDict()
     assert {k for k, v in row.items() if v} == set("abcdefgz")
+
+
+def test_merged_event_parses_payload_and_line_once():
+    # Once the payload, once a line that is its own event; never a parse for each key of the payload.
+    assert str(merged_event()).count("try_parse_json") == 2
+
+
+def test_merged_event_takes_stated_envelope_keys_only(spark):
+    inner = {**OK, "host": "inner", "envelope_id": "in", "ingested_at": 5, "n": [1, {"host": "deep"}]}
+    bare = {"source_type": "iam", "raw_payload": json.dumps(inner), "other": 1}
+    rows = [{**bare, "host": None, "envelope_id": 7}, bare, {**inner, "source_type": "iam", "other": 1}]
+    got = normalize_lines(lines(spark, rows)).select(F.to_json("raw_payload").alias("r")).collect()
+    assert [json.loads(r.r) for r in got] == [{**inner, "source_type": "iam", "host": None, "envelope_id": 7}, {**inner, "source_type": "iam"}, rows[2]]

@@ -55,7 +55,7 @@ def normalize(classified: DataFrame, by_source: bool = False) -> DataFrame:
     # Two steps keep the plan small: choosing a value mentions many keys, cleaning it mentions
     # the value many times.
     chosen = valid_only(classified).select(
-        "ingest_source", "ts", "source_type", "latency_ms", "line", "_text", "_wrapped",
+        "ingest_source", "ts", "source_type", "latency_ms", "line", "_text", "_wrapped", "_env",
         id_value().alias("_id"), success_flag().alias("success"),
         *[alias_value(name, by_source).alias(f"_v_{name}") for name in ALIASES],
     )
