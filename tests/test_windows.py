@@ -230,3 +230,13 @@ def test_percentiles_are_exact(spark):
     for r in evaluate.latency_distribution(df, "x", ["g"], [0.5, 0.9, 0.99]).collect():
         xs = [x for g, x in data if g == r.g]
         assert (r.p50, r.p90, r.p99) == pytest.approx(tuple(np.quantile(xs, [0.5, 0.9, 0.99])))
+
+
+def test_members_are_sorted_from_written_events(spark, sf_dir, monkeypatch):
+    from watchloom.plans import q_windows
+
+    seen, inner = [], win.fixed_window_members
+    monkeypatch.setattr(q_windows.win, "fixed_window_members", lambda events, seconds: seen.append(events) or inner(events, seconds))
+    q_windows.fixed_window_agg(spark, sf_dir)
+    # A sort by ranges reads its input twice; the lines must not be parsed again.
+    assert "from_json" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
