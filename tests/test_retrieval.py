@@ -1,6 +1,7 @@
 """Nearest entries by lists against comparing with every entry."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from watchloom.operators import retrieval
@@ -62,3 +63,12 @@ def test_rows_without_a_direction_and_empty_tables(spark):
     empty = retrieval.build_lists(odd.filter("false"), "id", "v")
     assert found(retrieval.nearest_in_lists(odd, "id", "v", empty, 2, "hit")) == set()
     assert found(retrieval.nearest_in_lists(odd.filter("false"), "id", "v", index, 2, "hit")) == set()
+
+
+def test_pairs_of_rows_and_lists_leave_in_pieces():
+    part = pd.DataFrame({"id": range(300), "unit": [[1.0, 0.0]] * 300})
+    row, which = np.nonzero(np.ones((300, 200), dtype=bool))
+    pieces = [*retrieval._pairs(part, row, which)]
+    assert max(map(len, pieces)) <= retrieval.PROBES < len(row)
+    whole = pd.concat(pieces)
+    assert whole["id"].tolist() == row.tolist() and whole["list"].tolist() == which.tolist()

@@ -27,6 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SLACK = 1e-9  # similarities and bounds are computed with smaller errors
 PLACES = 12  # similarities are compared at so many digits, so equal vectors tie
+ANGLES = 1 << 19  # angles between rows and centres that a task holds at once
+PROBES = 10_000  # rows beside a list that a task hands on at once, each with its vector
 
 
 @dataclasses.dataclass
@@ -84,11 +86,11 @@ def build_lists(
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                angles = _angles(_matrix(batch["unit"]), shared.value)
-                batch["list"] = angles.argmin(axis=1).astype("int32")
-                batch["angle"] = angles.min(axis=1)
-                yield batch
+            step = max(1, ANGLES // len(shared.value))
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                angles = _angles(_matrix(part["unit"]), shared.value)
+                yield part.assign(list=angles.argmin(axis=1).astype("int32"), angle=angles.min(axis=1))
 
     kind = rows.schema["id"].dataType.simpleString()
     placed = materialize(rows.mapInPandas(assign, f"id {kind}, unit array<double>, list int, angle double"), "placed")
@@ -105,13 +107,20 @@ def build_lists(
     )
 
 
+def _pairs(part: pd.DataFrame, row: np.ndarray, which: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows beside lists, in pieces: a row may read every list, and its vector goes with each."""
+    for at in range(0, len(row), PROBES):
+        these = slice(at, at + PROBES)
+        yield part[["id", "unit"]].iloc[row[these]].assign(list=which[these].astype("int32"))
+
+
 def _probe(rows: DataFrame, index: ListIndex, first: bool) -> DataFrame:
     """Rows beside the lists they read: the nearest one, or all others that may hold a better hit than ``floor``."""
     shared = rows.sparkSession.sparkContext.broadcast((index.centres, index.width))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centres, width = shared.value
-        step = max(1, (1 << 22) // len(centres))
+        step = max(1, ANGLES // len(centres))
         for batch in batches:
             for at in range(0, len(batch), step):
                 part = batch.iloc[at : at + step]
@@ -124,7 +133,7 @@ def _probe(rows: DataFrame, index: ListIndex, first: bool) -> DataFrame:
                 may = best >= part["floor"].to_numpy()[:, None] - SLACK
                 may[np.arange(len(part)), nearest] = False
                 row, which = np.nonzero(may)
-                yield part[["id", "unit"]].iloc[row].assign(list=which.astype("int32"))
+                yield from _pairs(part, row, which)
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInPandas(work, f"id {kind}, unit array<double>, list int")
