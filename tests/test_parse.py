@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watchloom.functions import text, times, variants
 from watchloom.operators import windows as win
-from watchloom.operators.normalize import normalize, normalize_lines
+from watchloom.operators.normalize import events_of, normalize, normalize_all, normalize_lines
 from watchloom.operators.parse import classify, dead_letters, merged_event
 from watchloom.sources import jsonl
 
@@ -247,3 +247,13 @@ def test_merged_event_takes_stated_envelope_keys_only(spark):
     rows = [{**bare, "host": None, "envelope_id": 7}, bare, {**inner, "source_type": "iam", "other": 1}]
     got = normalize_lines(lines(spark, rows)).select(F.to_json("raw_payload").alias("r")).collect()
     assert [json.loads(r.r) for r in got] == [{**inner, "source_type": "iam", "host": None, "envelope_id": 7}, {**inner, "source_type": "iam"}, rows[2]]
+
+
+def test_one_table_holds_events_and_dead_letters(spark):
+    classified = classify(lines(spark, [envelope(OK), {**OK, "source_type": "iam", "user": "x"}, *[row for row, _, _ in DIRTY]]))
+    both = normalize_all(classified)
+    assert not {"_text", "_env", "_wrapped"} & set(both.columns)
+    shown = lambda df: sorted(map(str, df.withColumn("raw_payload", F.to_json("raw_payload")).collect()))
+    assert shown(events_of(both)) == shown(normalize(classified)) and events_of(both).count() >= 2
+    assert sorted(map(str, dead_letters(both).collect())) == sorted(map(str, dead_letters(classified).collect()))
+    assert all((r.stage is None) == (r.line is None) for r in both.select("stage", "line").collect())

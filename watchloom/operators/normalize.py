@@ -52,10 +52,29 @@ def success_flag() -> Column:
 
 def normalize(classified: DataFrame, by_source: bool = False) -> DataFrame:
     """Good events -> 22 columns plus ``ts`` and the directory they came from."""
+    return _records(valid_only(classified), by_source)
+
+
+def normalize_all(classified: DataFrame) -> DataFrame:
+    """Good events and dead letters in one table, so that both can be written by one parse.
+
+    A good event has the columns of :func:`normalize` and no ``line``; of a failing row only what
+    ``dead_letters`` tells is kept. Take them apart by ``stage``: :func:`events_of`.
+    """
+    kept = [c for c in ("stage", "error", "file_path", "line_number", "_block", "_row") if c in classified.columns]
+    return _records(classified, False, kept).withColumn("line", F.when(F.col("stage").isNotNull(), F.col("line")))
+
+
+def events_of(normalized: DataFrame) -> DataFrame:
+    """The good events of :func:`normalize_all`."""
+    return normalized.filter(F.col("stage").isNull()).select("ingest_source", "ts", *EVENT_FIELDS)
+
+
+def _records(classified: DataFrame, by_source: bool, kept: list[str] | None = None) -> DataFrame:
     # Two steps keep the plan small: choosing a value mentions many keys, cleaning it mentions
     # the value many times.
-    chosen = valid_only(classified).select(
-        "ingest_source", "ts", "source_type", "latency_ms", "line", "_text", "_wrapped", "_env",
+    chosen = classified.select(
+        *(kept or []), "ingest_source", "ts", "source_type", "latency_ms", "line", "_text", "_wrapped", "_env",
         id_value().alias("_id"), success_flag().alias("success"),
         *[alias_value(name, by_source).alias(f"_v_{name}") for name in ALIASES],
     )
@@ -66,7 +85,10 @@ def normalize(classified: DataFrame, by_source: bool = False) -> DataFrame:
         **{name: F.col(name) for name in ("source_type", "success", "latency_ms")},
         **{name: clean_string(F.col(f"_v_{name}")) for name in ALIASES},
     }
-    return chosen.select("ingest_source", "ts", *[columns[f].alias(f) for f in EVENT_FIELDS])
+    if kept is not None:  # a failing row has no event
+        columns = {f: F.when(F.col("stage").isNull(), value) for f, value in columns.items()}
+    carried = [] if kept is None else [*kept, "line"]
+    return chosen.select("ingest_source", "ts", *[columns[f].alias(f) for f in EVENT_FIELDS], *carried)
 
 
 def normalize_lines(lines: DataFrame, timestamp_fallback: str | None = None, by_source: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.operators import windows as win
-from watchloom.operators.normalize import alias_column, normalize
+from watchloom.operators.normalize import alias_column, events_of, normalize_all
 from watchloom.operators.parse import classify, dead_letters
 from watchloom.schemas import FIXED_WINDOW_SECONDS, SESSION_GAP_SECONDS, SOURCES
 from watchloom.session import scratch_path
@@ -89,10 +89,9 @@ def run_preprocessing(
     win.check_seconds("session_gap_seconds", gap_seconds)
     classified = classify(not_blank(lines), timestamp_fallback)
     staged_path = f"{out_dir}/_staged"
-    write_table(classified, f"{staged_path}/lines")
-    classified = spark.read.parquet(f"{staged_path}/lines")
-    write_table(normalize(classified), f"{staged_path}/events")
-    events = spark.read.parquet(f"{staged_path}/events")
+    write_table(normalize_all(classified), staged_path)
+    classified = spark.read.parquet(staged_path)
+    events = events_of(classified)
     write_jsonl(events.drop("ts"), f"{out_dir}/preprocessed", ["ingest_source"])
     write_jsonl(win.fixed_windows(events, fixed_seconds), f"{out_dir}/windows/fixed", ["ingest_source"])
     write_jsonl(win.sessions(events, gap_seconds).drop("start_ts", "end_ts", "session_no"), f"{out_dir}/windows/session", ["ingest_source"])

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from watchloom.functions.text import strip
 from watchloom.functions import times
-from watchloom.operators.normalize import normalize
+from watchloom.operators.normalize import events_of, normalize_all
 from watchloom.operators.parse import classify, dead_letters
 from watchloom.operators.windows import GROUP, KEY_FIELDS, check_seconds, hash_id, with_session_key
 from watchloom.schemas import FIXED_WINDOW_SECONDS, SESSION_GAP_SECONDS
@@ -108,8 +108,8 @@ def write_once(stream: DataFrame, path: str, partitions: int | None = None) -> D
 def split_stream(lines: DataFrame, path: str) -> StreamingQuery:
     """Write each batch's good events and dead letters; a repeated batch overwrites itself."""
     def write(batch: DataFrame, number: int) -> None:
-        classified = materialize(classify(batch), "batch")  # both outputs read one parse
-        write_jsonl(normalize(classified).drop("ts"), f"{path}/events/batch={number}")
+        classified = materialize(normalize_all(classify(batch)), "batch")  # both outputs read one parse
+        write_jsonl(events_of(classified).drop("ts"), f"{path}/events/batch={number}")
         write_jsonl(dead_letters(classified), f"{path}/errors/batch={number}")
 
     return (
