@@ -167,3 +167,11 @@ def test_rows_of_one_row_group_are_dealt_over_the_cores(spark, tmp_path):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_csv_files_stay_small_whatever_a_task_holds(spark, tmp_path):
+    rows = spark.range(250).select(F.col("id").cast("string").alias("a"), F.lit('two\nlines, "quoted"').alias("b")).coalesce(1)
+    sinks.write_csv(rows, f"{tmp_path}/csv", file_rows=100)
+    assert len(list((tmp_path / "csv").glob("*.csv"))) == 3
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/csv")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))

@@ -12,10 +12,14 @@ def write_jsonl(rows: DataFrame, path: str, by: list[str] | None = None) -> None
     (writer.partitionBy(*by) if by else writer).json(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """Flat CSV view: only scalar columns. Quotes are doubled, as ordinary CSV readers expect."""
+def write_csv(rows: DataFrame, path: str, file_rows: int = 100_000) -> None:
+    """Flat CSV view: only scalar columns. Quotes are doubled, as ordinary CSV readers expect.
+
+    Values may hold line breaks, so a reader can't split a file: no file has more than ``file_rows`` rows.
+    """
     flat = [n for n, t in rows.dtypes if not t.startswith(("array", "struct", "map", "variant"))]
-    rows.select(*flat).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    writer = rows.select(*flat).write.mode("overwrite").option("maxRecordsPerFile", file_rows)
+    writer.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def write_partitioned(rows: DataFrame, path: str, by: list[str], real: Column | None = None) -> None:
