@@ -142,3 +142,60 @@ def test_filter_never_forgets_a_count():
     assert (told <= 2 * counts).mean() > 0.95
     other = rng.integers(0, 2**63, 3000).astype(np.uint64) << np.uint64(1)
     assert (model.counts(other, 0) > 0).mean() < 0.05
+
+
+def _plain_verify(a, b):
+    """The passage of two regions by plain loops over one pair."""
+    in_a, in_b = np.isin(a, b), np.isin(b, a)
+    if in_a.sum() < passages.LEAST // 2:
+        return None
+    for gap in passages.GAPS:
+        ends = []
+        for matched in (in_a, in_b):
+            spots = np.flatnonzero(matched)
+            cuts = np.flatnonzero(np.diff(spots) > gap + 1)
+            low, high = spots[np.concatenate([[0], cuts + 1])], spots[np.append(cuts, len(spots) - 1)]
+            k = int(np.argmax(high - low))
+            ends += [int(low[k]), int(high[k])]
+        if min(ends[1] - ends[0], ends[3] - ends[2]) + 1 < passages.LEAST:
+            return None
+        x, y = set(a[ends[0] : ends[1] + 1].tolist()), set(b[ends[2] : ends[3] + 1].tolist())
+        if 4 * len(x & y) >= 3 * len(x | y):
+            return tuple(ends)
+    return None
+
+
+def test_passages_of_many_pairs_are_verified_at_once():
+    rng, pairs = np.random.default_rng(11), [(np.zeros(0, np.uint32), np.zeros(0, np.uint32)), (np.full(60, 7, np.uint32), np.full(50, 7, np.uint32))]
+    for k in range(400):
+        a = rng.integers(0, 2**32 if k % 3 else 40, rng.integers(1, 139)).astype(np.uint32)
+        b = np.concatenate([rng.integers(0, 2**32, rng.integers(0, 40)).astype(np.uint32), a])[-138:]
+        for at in rng.integers(0, len(b), rng.integers(0, 5)):
+            b[at : at + 1 + k % 9] = rng.integers(0, 2**32, dtype=np.uint32)
+        pairs.append((a, np.delete(b, rng.integers(0, len(b), k % 4))))
+    side = lambda i: (np.concatenate([p[i] for p in pairs]), np.array([len(p[i]) for p in pairs]))
+    hit, bounds = passages.verify(*side(0), *side(1))
+    want = [_plain_verify(*p) if len(p[0]) and len(p[1]) else None for p in pairs]
+    assert [tuple(bounds[:, k].tolist()) if hit[k] else None for k in range(len(pairs))] == want
+    assert 50 < sum(w is not None for w in want) < 380
+
+
+def test_seeds_of_a_bucket(monkeypatch):
+    rng, names = np.random.default_rng(12), ("u", "v", "fn", "xl", "xc", "xr", "yl", "yc", "yr")
+    n = 600
+    xc, yc = rng.integers(0, 500, n), rng.integers(0, 500, n)
+    wide = [rng.integers(10, 90, n) for _ in range(4)]
+    rows = list(zip(*(x.tolist() for x in (rng.integers(-2, 1, n), rng.integers(1, 4, n), rng.integers(0, 4, n), xc - wide[0], xc, xc + wide[1], yc - wide[2], yc, yc + wide[3])), strict=True))
+    want = {}
+    for a in rows:
+        for b in rows:
+            near = a[:2] == b[:2] and a[2] != b[2] and abs(a[7] // passages.LEAST - b[7] // passages.LEAST) < 2
+            fits = (max(a[k], b[k]) <= min(a[k + 1], b[k + 1]) and max(a[k + 1], b[k + 1]) <= min(a[k + 2], b[k + 2]) and min(a[k + 2], b[k + 2]) - max(a[k], b[k]) + 1 >= passages.LEAST for k in (3, 6))
+            if near and all(fits):
+                key = (*a[:2], a[4] // passages.LEAST, a[7] // passages.LEAST)
+                want[key] = min(want.get(key, (a[7], a[4])), (a[7], a[4]))
+    for step in (passages.STEP, 50):
+        monkeypatch.setattr(passages, "STEP", step)
+        got = passages._seeded(pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows + rows[:9]])).to_pylist()
+        assert len(got) == len(want) > 20
+        assert {(r["u"], r["v"], r["grid_u"], r["grid_v"]): (r["at_v"], r["at_u"]) for r in got} == want

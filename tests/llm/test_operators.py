@@ -162,6 +162,14 @@ def test_passages_of_variants_in_large_groups(spark):
     assert {i: got[i]["component_id"] for i in kinds} == {i: min(j for j in kinds if kinds[j] == kinds[i]) for i in kinds}
 
 
+def test_passages_ship_asked_texts_only(spark):
+    texts = [" ".join(prose(9000 + i, 60)) for i in range(300)] + [None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    nodes = rows.mapInArrow(passages._marked, "doc_id long, node long, n_words long").filter("doc_id % 50 = 0").select("node")
+    sent = rows.select("text").mapInArrow(passages._asked(passages._flags(nodes)), "node long, text string").collect()
+    assert {r["text"] for r in sent} >= {texts[i] or "" for i in range(0, 300, 50)} and len(sent) < 12
+
+
 def test_bpe_codec(docs, empty, rows):
     library = tokenizer.load(word_bpe())
     coded = bpe_chunks.encode_corpus(docs, word_bpe())

@@ -12,6 +12,7 @@
    texts and leave room for ``LEAST`` tokens: subsequences there agree in at least two min-hashes.
 4. Every such place is verified: the tokens around it are compared, and the longest stretch of matching
    tokens, with wide or else narrower gaps, must have ``LEAST`` tokens and a Jaccard similarity of 0.75.
+   A task compares the regions of many pairs at once. Texts are read again for them only if a bitmap of asked nodes has theirs.
 5. Groups whose texts are then in several components, or have pivots outside the passages found, are joined
    whole, by the min-hashes of two functions at once, and verified like the others.
 
@@ -38,14 +39,18 @@ from watchloom.session import materialize
 
 WIDTH, LEAST, HASHES = 5, 46, 4
 GAPS = (12, 4, 0)  # unmatched tokens inside a stretch: first wide, then strict
-SLICE, BUCKET = 2 << 20, 32 << 20
-CELL, BLOCK = 256, 500  # words that spans are looked up by; spots of a group that are joined in one task
+SLICE, BUCKET, SPREAD = 2 << 20, 32 << 20, 4 << 20
+BLOCK = 500  # spots of a group that are joined in one task
+STEP = 1 << 19  # pairs of windows, or tokens of regions, that are compared at once
+FLAGS = 23  # bits of a text's hash by which texts without a place are left out early
 _POS = np.uint64((1 << 28) - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = kernel.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * _GOLD)
 _SENT = "key long, shard long, a binary, b binary, c binary, d binary, e binary, f binary"
 _BACK = "shard long, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
 _SHARED = "hash long, fn int, node long, l int, c int, r int, low boolean, high boolean"
+_PLACE = "u long, v long, at_u int, at_v int, grid_u int, grid_v int"
+_PASSAGE = "u long, v long, u_low int, u_high int, v_low int, v_high int"
 
 
 def nodes_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -192,18 +197,51 @@ def _collisions(shared: DataFrame) -> DataFrame:
     mine, theirs = F.struct("node", "l", "c", "r"), F.struct(F.col("w").alias("node"), F.col("p.l").alias("l"), F.col("p.c").alias("c"), F.col("p.r").alias("r"))
     swap = F.col("node") < F.col("w")
     both = both.select("fn", F.when(swap, mine).otherwise(theirs).alias("x"), F.when(swap, theirs).otherwise(mine).alias("y"))
-    return both.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), "fn", *(F.col(f"{s}.{f}").alias(f"{s}{f}") for s in "xy" for f in "lcr")).distinct()
-
-
-def _seeds(collisions: DataFrame) -> DataFrame:
-    """Places ``(u, v, at_u, at_v)`` where windows of two hash functions leave room for a common passage."""
-    grid = F.floor(F.col("yc") / LEAST).cast("int")
-    one = collisions.withColumn("grid", grid).alias("a")
-    other = collisions.select("u", "v", F.explode(F.array(grid - 1, grid, grid + 1)).alias("grid"), *(F.col(c).alias(f"o_{c}") for c in ("fn", "xl", "xc", "xr", "yl", "yc", "yr")))
-    paired = one.join(other, ["u", "v", "grid"]).filter("fn != o_fn")
-    for s in "xy":
-        paired = paired.filter(_room(s, f"o_{s}", s, f"o_{s}"))
-    return _places(paired.select("u", "v", F.col("xc").alias("at_u"), F.col("yc").alias("at_v")))
+    return both.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), "fn", *(F.col(f"{s}.{f}").alias(f"{s}{f}") for s in "xy" for f in "lcr"))
+
+
+def _seeded(group: pa.Table) -> pa.Table:
+    """Places of a bucket's text pairs; windows whose pivots lie in neighbouring cells of one text are compared."""
+    names = ("u", "v", "fn", "xl", "xc", "xr", "yl", "yc", "yr")
+    u, v, fn, xl, xc, xr, yl, yc, yr = (group.column(n).to_numpy().astype(np.int64) for n in names)
+    order = np.lexsort((yc, v, u))
+    u, v, fn, xl, xc, xr, yl, yc, yr = (x[order] for x in (u, v, fn, xl, xc, xr, yl, yc, yr))
+    pair = np.cumsum(np.concatenate([[False], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
+    cell = pair * (int(yc.max()) // LEAST + 3) + yc // LEAST
+    first, ends = np.searchsorted(cell, cell - 1), np.searchsorted(cell, cell + 1, "right")
+    room = np.zeros(len(u), bool)
+    for at, to in _parts(ends - first, STEP):
+        sizes = ends[at:to] - first[at:to]
+        i = np.repeat(np.arange(at, to), sizes)
+        j = np.arange(len(i)) + np.repeat(first[at:to] - (np.cumsum(sizes) - sizes), sizes)
+        differ = fn[i] != fn[j]
+        i, j = i[differ], j[differ]
+        for left, pivot, right in ((xl, xc, xr), (yl, yc, yr)):
+            start, end = np.maximum(left[i], left[j]), np.minimum(right[i], right[j])
+            fits = (start <= np.minimum(pivot[i], pivot[j])) & (np.maximum(pivot[i], pivot[j]) <= end) & (end - start + 1 >= LEAST)
+            i, j = i[fits], j[fits]
+        room[i] = True
+    u, v, xc, yc = u[room], v[room], xc[room], yc[room]
+    order = np.lexsort((xc, yc, yc // LEAST, xc // LEAST, v, u))
+    keys = np.stack([x[order] for x in (u, v, xc // LEAST, yc // LEAST)])
+    one = order[np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])] if len(order) else order
+    found = (u[one], v[one], xc[one], yc[one], xc[one] // LEAST, yc[one] // LEAST)
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(found, _schema(_PLACE).types, strict=True)], schema=_schema(_PLACE))
+
+
+def _parts(sizes: np.ndarray, most: int):
+    """Ranges of elements whose sizes add up to about ``most``; a larger element is a range of its own."""
+    total, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        yield at, to
+        at = to
+
+
+def _seeds(collisions: DataFrame, buckets: int) -> DataFrame:
+    """Places ``(u, v, at_u, at_v)`` where windows of two hash functions leave room for a common passage; one for
+    each two texts and grid cells of both."""
+    return collisions.groupBy(F.pmod(F.xxhash64("u", "v"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda group: _seeded(group), _PLACE)
 
 
 def _room(a: str, b: str, c: str, d: str):
@@ -226,13 +264,11 @@ def _left(shared: DataFrame, found: DataFrame) -> DataFrame:
     nothing is left to find; of any other group all pairs are built that differ in component or have a spot
     outside the passages. Groups are dealt out in blocks by the text on one side.
     """
-    spans = _spans(found).select("node", F.explode("spans").alias("s"))
-    spans = spans.select("node", "s.low", "s.high").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / CELL), F.floor(F.col("high") / CELL))))
-    own = shared.select("hash", "fn", "node", "l", "c", "r").distinct().withColumn("cell", F.floor(F.col("c") / CELL))
-    inside = (own["node"] == spans["node"]) & (own["cell"] == spans["cell"]) & (spans["low"] <= own["c"]) & (own["c"] + WIDTH <= spans["high"])
-    bare = own.join(spans, inside, "left_anti").select("hash", "fn", "node", "c").withColumn("bare", F.lit(True))
-    marked = own.drop("cell").join(bare, ["hash", "fn", "node", "c"], "left").withColumn("bare", F.col("bare").isNotNull())
-    marked = marked.join(connected_components(found.select("u", "v")), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    inside = F.exists("spans", lambda x: (x["low"] <= F.col("c")) & (F.col("c") + WIDTH <= x["high"]))
+    texts = connected_components(found.select("u", "v")).join(_spans(found), "node", "full")
+    own = shared.select("hash", "fn", "node", "l", "c", "r").distinct().join(texts, "node", "left")
+    marked = own.select("hash", "fn", "node", "l", "c", "r", F.coalesce("component", "node").alias("part"), (~F.coalesce(inside, F.lit(False))).alias("bare"))
+    marked = materialize(marked, "marked-windows")
     # Only groups with something left go on: those of min-hashes first, then those of spots.
     open_ = (F.min("part") != F.max("part")) | (F.max("bare") & (F.min("node") != F.max("node")))
     marked = materialize(marked.join(marked.groupBy("hash").agg(open_.alias("o")).filter("o").select("hash"), "hash", "left_semi"), "open-windows")
@@ -251,30 +287,64 @@ def _left(shared: DataFrame, found: DataFrame) -> DataFrame:
     return _places(pairs)
 
 
-def _stretch(matched: np.ndarray, gap: int) -> tuple[int, int]:
-    """First and last position of the longest stretch of matches with gaps up to ``gap``."""
+def _stretches(matched: np.ndarray, row: np.ndarray, place: np.ndarray, n: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``n`` rows the first and last position of its longest stretch of matches with gaps up to ``gap``."""
+    low, high = np.zeros(n, np.int64), np.full(n, -1)
     spots = np.flatnonzero(matched)
-    cuts = np.flatnonzero(np.diff(spots) > gap + 1)
-    low, high = spots[np.concatenate([[0], cuts + 1])], spots[np.append(cuts, len(spots) - 1)]
-    k = int(np.argmax(high - low))
-    return int(low[k]), int(high[k])
-
-
-def verify(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int] | None:
-    """The verified passage of two regions: its first and last token in both, or nothing."""
-    in_a, in_b = np.isin(a, b), np.isin(b, a)
-    if in_a.sum() < LEAST // 2:
-        return None
+    if not len(spots):
+        return low, high
+    row, place = row[spots], place[spots]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (np.diff(place) > gap + 1)])
+    start, end = place[new], place[np.append(np.flatnonzero(new)[1:] - 1, len(place) - 1)]
+    owner = row[new]
+    order = np.lexsort((start, start - end, owner))
+    order = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
+    low[owner[order]], high[owner[order]] = start[order], end[order]
+    return low, high
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys, sorted; by a sort, as the hashing of ``np.unique`` takes several times as long here."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _within(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among the known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def verify(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of regions, whose tokens and sizes are given one after another: which have a verified passage, and its
+    first and last token in both."""
+    n = len(a_sizes)
+    sides = []
+    for tokens, sizes in ((a, a_sizes), (b, b_sizes)):
+        row = np.repeat(np.arange(n), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        sides.append((row.astype(np.uint64) << np.uint64(32) | tokens, row, place))
+    (a_keys, a_row, a_place), (b_keys, b_row, b_place) = sides
+    in_a = _within(a_keys, _distinct(b_keys))
+    open_ = np.bincount(a_row[in_a], minlength=n) >= LEAST // 2
+    keep_a, keep_b = open_[a_row], open_[b_row]
+    a_keys, a_row, a_place, in_a, b_keys, b_row, b_place = *(x[keep_a] for x in (a_keys, a_row, a_place, in_a)), *(x[keep_b] for x in (b_keys, b_row, b_place))
+    in_b = _within(b_keys, _distinct(a_keys))
+    hit, bounds = np.zeros(n, bool), np.zeros((4, n), np.int64)
     for gap in GAPS:
-        a1, a2 = _stretch(in_a, gap)
-        b1, b2 = _stretch(in_b, gap)
-        if a2 - a1 + 1 < LEAST or b2 - b1 + 1 < LEAST:
-            return None
-        x, y = np.unique(a[a1 : a2 + 1]), np.unique(b[b1 : b2 + 1])
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        if 4 * common >= 3 * (len(x) + len(y) - common):
-            return a1, a2, b1, b2
-    return None
+        a1, a2 = _stretches(in_a & open_[a_row], a_row, a_place, n, gap)
+        b1, b2 = _stretches(in_b & open_[b_row], b_row, b_place, n, gap)
+        open_ &= (a2 - a1 + 1 >= LEAST) & (b2 - b1 + 1 >= LEAST)
+        x = _distinct(a_keys[open_[a_row] & (a1[a_row] <= a_place) & (a_place <= a2[a_row])])
+        y = _distinct(b_keys[open_[b_row] & (b1[b_row] <= b_place) & (b_place <= b2[b_row])])
+        count = lambda keys: np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=n)
+        common = count(x[_within(x, y)])
+        good = open_ & (4 * common >= 3 * (count(x) + count(y) - common))
+        bounds[:, good] = np.stack([a1, a2, b1, b2])[:, good]
+        hit |= good
+        open_ &= ~good
+    return hit, bounds
 
 
 def _regions(batches):
@@ -288,47 +358,74 @@ def _regions(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["node", "grid", "tokens"])
 
 
+def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all regions of a column one after another, and the number of each."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint32), np.diff(offsets) // 4
+
+
 def _checked(batches):
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            low_u, low_v = max(0, (r["grid_u"] - 1) * LEAST), max(0, (r["grid_v"] - 1) * LEAST)
-            hit = verify(np.frombuffer(r["t_u"], np.uint32), np.frombuffer(r["t_v"], np.uint32))
-            if hit:
-                out.append({"u": r["u"], "v": r["v"], "u_low": hit[0] + low_u, "u_high": hit[1] + low_u + WIDTH, "v_low": hit[2] + low_v, "v_high": hit[3] + low_v + WIDTH})
-        yield pa.RecordBatch.from_pylist(out, _schema("u long, v long, u_low int, u_high int, v_low int, v_high int"))
+    for whole in batches:
+        step = max(1, STEP // (6 * LEAST))  # pairs of regions
+        for at in range(0, whole.num_rows, step):
+            batch = whole.slice(at, step)
+            hit, bounds = verify(*_tokens(batch.column("t_u")), *_tokens(batch.column("t_v")))
+            low_u, low_v = (np.maximum(0, (batch.column(g).to_numpy().astype(np.int64) - 1) * LEAST) for g in ("grid_u", "grid_v"))
+            a1, a2, b1, b2 = bounds
+            found = (batch.column("u").to_numpy(), batch.column("v").to_numpy(), a1 + low_u, a2 + low_u + WIDTH, b1 + low_v, b2 + low_v + WIDTH)
+            yield pa.RecordBatch.from_arrays([pa.array(x[hit], t) for x, t in zip(found, _schema(_PASSAGE).types, strict=True)], schema=_schema(_PASSAGE))
 
 
-def _marked(keep_text: bool):
+def _marked(batches):
+    for whole in batches:
+        for batch in kernel.slices(whole, "text", SLICE):
+            _, _, sizes, marks = nodes_of(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64)), pa.array(sizes.astype(np.int64))], ["doc_id", "node", "n_words"])
+
+
+def _asked(flags: np.ndarray):
+    """Texts with their nodes, without most of those that aren't asked for."""
+
     def run(batches):
         for whole in batches:
             for batch in kernel.slices(whole, "text", SLICE):
-                _, _, sizes, marks = nodes_of(batch.column("text"))
-                extra = [batch.column("text")] if keep_text else []
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64)), pa.array(sizes.astype(np.int64)), *extra], ["doc_id", "node", "n_words", "text"][: 3 + keep_text])
+                marks = nodes_of(batch.column("text"))[3]
+                at = (marks >> np.uint64(64 - FLAGS)).astype(np.int64)
+                keep = np.flatnonzero(flags[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                yield pa.RecordBatch.from_arrays([pa.array(marks[keep].view(np.int64)), batch.column("text").take(pa.array(keep))], ["node", "text"])
 
     return run
 
 
+def _flags(nodes: DataFrame) -> np.ndarray:
+    """One bit for each value of the first ``FLAGS`` bits of a node, set if a node has it; of one size for any input."""
+    top = nodes.select(F.shiftrightunsigned("node", 64 - FLAGS).cast("int").alias("top"))
+    found = top.groupBy(F.shiftright("top", 5).alias("at")).agg(F.expr("bit_or(shiftleft(1L, top & 31))").alias("bits")).toArrow()
+    out = np.zeros(1 << FLAGS - 5, np.uint32)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
 def _verified(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     """The passages around the seeds; only texts with a seed are read again."""
     asked = seeds.select(F.col("u").alias("node"), F.col("grid_u").alias("g")).union(seeds.select("v", "grid_v")).distinct()
-    asked = asked.groupBy("node").agg(F.collect_list("g").alias("grids"))  # at most a text's length / LEAST
-    texts = rows.mapInArrow(_marked(True), "doc_id long, node long, n_words long, text string").join(asked, "node").select("text", "grids")
-    regions = materialize(texts.mapInArrow(_regions, "node long, grid int, tokens binary").dropDuplicates(["node", "grid"]), "regions")
+    asked = materialize(asked.groupBy("node").agg(F.collect_list("g").alias("grids")), "asked")  # at most a text's length / LEAST
+    texts = rows.select("text").mapInArrow(_asked(_flags(asked)), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+    regions = materialize(texts.join(asked, "node").select("text", "grids").mapInArrow(_regions, "node long, grid int, tokens binary"), "regions")
     side = lambda end: regions.select(F.col("node").alias(end), F.col("grid").alias(f"grid_{end}"), F.col("tokens").alias(f"t_{end}"))
     whole = seeds.join(side("u"), ["u", "grid_u"]).join(side("v"), ["v", "grid_v"])
-    return materialize(whole.mapInArrow(_checked, "u long, v long, u_low int, u_high int, v_low int, v_high int"), "passages")
+    return materialize(whole.mapInArrow(_checked, _PASSAGE), "passages")
 
 
 def find_passages(df: DataFrame, text: str = "text") -> DataFrame:
     """Verified passages of two texts: ``u``, ``v`` (text hashes) and word spans in both; ends are exclusive."""
-    rows = df.select(F.lit(None).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
+    rows = df.select(F.col(quoted(text)).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, int(size // BUCKET).bit_length())
     back = materialize(rows.mapInArrow(_sent(bits), _SENT).groupBy("key").applyInArrow(_answered, _BACK), "min-hashes")
     shared = materialize(back.groupBy("shard").applyInArrow(_shared, _SHARED), "windows")
-    seeds = materialize(_seeds(_collisions(shared)), "seeds")
+    seeds = materialize(_seeds(_collisions(shared), max(64, int(size // SPREAD))), "seeds")
     found = _verified(rows, seeds)
     rest = materialize(_left(shared, found).join(seeds, ["u", "v", "grid_u", "grid_v"], "left_anti"), "seeds-left")
     return found.union(_verified(rows, rest)) if rest.count() else found
@@ -359,7 +456,7 @@ def mark_passages(df: DataFrame, id_column: str = "doc_id", text: str = "text")
     per_node = _spans(found)
     parts = connected_components(found.select("u", "v"))
     rows = df.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
-    marked = materialize(rows.mapInArrow(_marked(False), "doc_id long, node long, n_words long"), "documents")
+    marked = materialize(rows.mapInArrow(_marked, "doc_id long, node long, n_words long"), "documents")
     own = marked.filter(F.col("n_words") >= LEAST + WIDTH - 1)
     copies = own.groupBy("node", order_id().alias("id")).agg(F.lit(1).alias("one")).groupBy("node").agg(F.count("*").alias("n_copies"), F.min("id").alias("low_id"))
     classes = copies.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
