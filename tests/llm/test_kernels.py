@@ -199,3 +199,72 @@ def test_seeds_of_a_bucket(monkeypatch):
         got = passages._seeded(pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows + rows[:9]])).to_pylist()
         assert len(got) == len(want) > 20
         assert {(r["u"], r["v"], r["grid_u"], r["grid_v"]): (r["at_v"], r["at_u"]) for r in got} == want
+
+
+def _regions(rng, n):
+    """Regions of edited copies, unlike texts with a common line, and texts that repeat a few words."""
+    base, line, out = rng.integers(0, 2**32, 138).astype(np.uint32), rng.integers(0, 2**32, 12).astype(np.uint32), []
+    for k in range(n):
+        own = rng.integers(0, 2**32, rng.integers(60, 139)).astype(np.uint32)
+        if k % 3 == 0:
+            own = np.roll(base, int(rng.integers(-20, 20)))
+            for at in rng.integers(0, 138, k % 4):
+                own[at : at + 5] = rng.integers(0, 2**32, len(own[at : at + 5]))
+        elif k % 3 == 1:
+            own[20:32] = line
+        else:
+            own = np.repeat(base[rng.integers(0, 6, 6)], rng.integers(10, 23, 6))
+        out.append(own)
+    return out
+
+
+def _plain_pairs(regions, pairs):
+    found = {}
+    for i, j in pairs:
+        if spans := _plain_verify(regions[i], regions[j]):
+            low = spans[0], spans[2]
+            found[i, j] = (low[0], spans[1] + passages.WIDTH, low[1], spans[3] + passages.WIDTH)
+    return found
+
+
+def test_open_groups_hand_on_texts_and_not_pairs(monkeypatch):
+    rng, n = np.random.default_rng(13), 60
+    regions = _regions(rng, n)
+    node, bare, part = np.arange(n) - 20, rng.random(n) < 0.6, rng.integers(0, 3, n)
+    groups = [[g for g in (1, 2, 3) if g == 1 or (k + g) % 2] for k in range(n)]  # a pair may share several groups
+    own = np.arange(n) % 2
+    rows = []
+    for low, high in ((0, 0), (0, 1), (1, 1)):  # two blocks of one home, as three tasks get them
+        for k in range(n):
+            if own[k] in (low, high):
+                rows.append({"home": 5, "low": low, "high": high, "side": bool(own[k] > low), "node": int(node[k]), "grid": 0, "part": int(part[k]), "groups": groups[k], "bare": [bool(bare[k])] * len(groups[k]), "tokens": regions[k].tobytes()})
+    group = pa.Table.from_pylist(rows[::-1])
+    group = group.append_column("key", pa.array([0] * len(rows)))
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if bare[i] or bare[j] or part[i] != part[j]]
+    want = _plain_pairs(regions, pairs)
+    links = {k: k for k in range(n)}
+    for _ in range(n):
+        for i, j in want:
+            links[i] = links[j] = min(links[i], links[j])
+    for step in (passages.STEP, 300, 7):
+        monkeypatch.setattr(passages, "STEP", step)
+        monkeypatch.setattr(passages, "AREA", step)
+        listed = passages._compared(group, True).to_pylist()
+        assert len(listed) == len(want) > 3 * n
+        assert {(r["u"] + 20, r["v"] + 20): (r["u_low"], r["u_high"], r["v_low"], r["v_high"]) for r in listed} == want
+        told = passages._compared(group, False).to_pylist()
+        assert len(told) <= 2 * n  # a row for a text and span, however many pairs
+        assert {r["node"] + 20: r["link"] + 20 for r in told} == {k: links[k] for ij in want for k in ij}
+        inside = lambda k, at: any(r["node"] + 20 == k and r["low"] <= at < r["high"] for r in told)
+        for k in range(0, n, 7):
+            spans = [s[2 * (k == j) : 2 * (k == j) + 2] for (i, j), s in want.items() if k in (i, j)]
+            assert [inside(k, at) for at in range(150)] == [any(a <= at < b for a, b in spans) for at in range(150)]
+
+
+def test_pairs_left_out_early_have_no_passage():
+    regions = _regions(np.random.default_rng(14), 90)
+    sizes = np.array([len(r) for r in regions])
+    u, v = (x.ravel() for x in np.meshgrid(np.arange(90), np.arange(90), indexing="ij"))
+    keep = passages._likely(u, v, *passages._sketches(np.concatenate(regions), sizes))
+    assert keep.sum() < 0.8 * len(u)
+    assert not any(_plain_verify(regions[i], regions[j]) for i, j in zip(u[~keep], v[~keep], strict=True))

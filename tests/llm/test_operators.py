@@ -1,5 +1,6 @@
 """Every operator on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import glob
 import os
 import random
 import sys
@@ -12,7 +13,7 @@ import plain  # noqa: E402
 from watchloom.llm import bpe_chunks, decontaminate, lines, lm, ngram_join, passages, pii, quality, token_files, tokenizer, url_cascade  # noqa: E402
 from watchloom.llm.components import connected_components  # noqa: E402
 from watchloom.llm.queries import URL_RULES, word_bpe  # noqa: E402
-from watchloom.session import scratch_path  # noqa: E402
+from watchloom.session import scratch_path, shared_dir  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, n_words long, row_id string, node int, pii string, `a.b` string"
 
@@ -138,6 +139,34 @@ def test_passages(docs, empty, rows):
     assert passages.mark_passages(empty).count() == 0
 
 
+def test_passages_of_open_groups(spark, monkeypatch):
+    line, base = prose(30, 14), prose(31, 300)
+    texts = [" ".join([*prose(100 + i, 60), *line, *prose(200 + i, 60)]) for i in range(24)]
+    for i in range(30):
+        rng = random.Random(i)
+        words = [w if rng.random() > 0.03 else f"e{i}x{k}" for k, w in enumerate(base)]
+        texts.append(" ".join([*prose(300 + i, 40), *words[10 * (i % 5) :]]))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    pairs = passages.find_passages(table).collect()
+    covered = {}
+    for r in pairs:
+        for end in "uv":
+            covered.setdefault(r[end], set()).update(range(r[f"{end}_low"], r[f"{end}_high"]))
+    for block in (passages.BLOCK, 8):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        got = passages.mark_passages(table).collect()
+        assert sorted(r["n_repeated"] for r in got if r["n_repeated"]) == sorted(map(len, covered.values()))
+        assert not any(r["n_repeated"] for r in got if r["doc_id"] < 24) and len(covered) > 20
+
+
+def test_passages_leave_no_tables_behind(spark, docs):
+    folder = shared_dir(spark).removeprefix("file:")
+    there = set(os.listdir(folder))
+    assert passages.mark_passages(docs).count() == docs.count()
+    left = {x.rpartition("-")[0] for x in set(os.listdir(folder)) - there if glob.glob(f"{folder}/{x}/part-*")}
+    assert left <= {"passages", "compared", "edges", "documents"}, left  # what the result reads
+
+
 def test_passages_find_what_brute_force_finds(spark):
     rng, shared, out = random.Random(6), [prose(500 + k, 55) for k in range(8)], []
     for i in range(150):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.session import materialize
+from watchloom.session import discard, materialize
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
-        edges = materialize(_small(_large(edges)), "edges")
+        before, edges = edges, materialize(_small(_large(edges)), "edges")
+        discard(before)
         inner = edges.select(F.col("v").alias("u")).distinct()  # ends of edges that start edges themselves, or nodes with two edges
         twice = edges.groupBy("u").agg(F.count("*").alias("n"))
         if not twice.join(inner, "u", "left_semi").limit(1).count() and not twice.filter("n > 1").limit(1).count():

@@ -13,8 +13,11 @@
 4. Every such place is verified: the tokens around it are compared, and the longest stretch of matching
    tokens, with wide or else narrower gaps, must have ``LEAST`` tokens and a Jaccard similarity of 0.75.
    A task compares the regions of many pairs at once. Texts are read again for them only if a bitmap of asked nodes has theirs.
-5. Groups whose texts are then in several components, or have pivots outside the passages found, are joined
-   whole, by the min-hashes of two functions at once, and verified like the others.
+5. Groups whose texts are then in several components, or have pivots outside the passages found, are compared
+   whole, by the min-hashes of two functions at once. Groups with one smallest region share a home; a task gets the
+   regions of a home once (of a large one, two blocks) and compares the pairs in memory, so what is written and
+   moved grows with the regions, not with their pairs. A task tells the spans of its texts in passages, and links
+   that join the texts it found alike; :func:`find_passages` lists the pairs instead.
 
 Equal texts (by their words) are one node; their copies share its passages, and a text with copies is a
 passage as a whole if it is long enough.
@@ -35,13 +38,16 @@ from watchloom.llm import kernel
 from watchloom.llm.common import order_id, quoted, shown_id
 from watchloom.llm.components import connected_components
 from watchloom.llm.kernel import numbers, planes
-from watchloom.session import materialize
+from watchloom.session import discard, materialize
 
 WIDTH, LEAST, HASHES = 5, 46, 4
 GAPS = (12, 4, 0)  # unmatched tokens inside a stretch: first wide, then strict
 SLICE, BUCKET, SPREAD = 2 << 20, 32 << 20, 4 << 20
-BLOCK = 500  # spots of a group that are joined in one task
+BLOCK = 2048  # regions of a home on either side that are compared in one task
+BUCKET_REGIONS = 1 << 13  # regions of small homes that lie in one bucket
 STEP = 1 << 19  # pairs of windows, or tokens of regions, that are compared at once
+AREA = 1 << 23  # places of pairs of regions that are marked at once
+BITS = 12  # of a token, by which two regions are compared before their tokens are
 FLAGS = 23  # bits of a text's hash by which texts without a place are left out early
 _POS = np.uint64((1 << 28) - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -51,6 +57,8 @@ _BACK = "shard long, bucket int, a binary, b binary, c binary, d binary, e binar
 _SHARED = "hash long, fn int, node long, l int, c int, r int, low boolean, high boolean"
 _PLACE = "u long, v long, at_u int, at_v int, grid_u int, grid_v int"
 _PASSAGE = "u long, v long, u_low int, u_high int, v_low int, v_high int"
+_PLACED = f"{_PASSAGE}, grid_u int, grid_v int"
+_FACT = "node long, low int, high int, link long"
 
 
 def nodes_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -250,41 +258,209 @@ def _room(a: str, b: str, c: str, d: str):
     return (start <= F.least(f"{c}c", f"{d}c")) & (F.greatest(f"{c}c", f"{d}c") <= end) & (end - start + 1 >= LEAST)
 
 
-def _places(seeds: DataFrame) -> DataFrame:
-    """One place for each two texts and grid cells of both."""
-    cells = [F.floor(F.col(f"at_{s}") / LEAST).cast("int").alias(f"grid_{s}") for s in "uv"]
-    return seeds.groupBy("u", "v", *cells).agg(F.min(F.struct("at_v", "at_u")).alias("s")).select("u", "v", "s.at_u", "s.at_v", "grid_u", "grid_v")
-
-
-def _left(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Seeds between all texts of a group that the picked texts leave open.
+def _spots(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The spots of groups of texts that the picked texts may leave open.
 
     Two windows of one text with different hash functions that leave room for a passage are a spot. Spots with
-    the same two min-hashes are a group. Where it lies in texts of one component and in verified passages only,
-    nothing is left to find; of any other group all pairs are built that differ in component or have a spot
-    outside the passages. Groups are dealt out in blocks by the text on one side.
+    the same two min-hashes are a group.
     """
     inside = F.exists("spans", lambda x: (x["low"] <= F.col("c")) & (F.col("c") + WIDTH <= x["high"]))
-    texts = connected_components(found.select("u", "v")).join(_spans(found), "node", "full")
+    texts = connected_components(found.select("u", "v")).join(_spans(_sides(found)), "node", "full")
     own = shared.select("hash", "fn", "node", "l", "c", "r").distinct().join(texts, "node", "left")
     marked = own.select("hash", "fn", "node", "l", "c", "r", F.coalesce("component", "node").alias("part"), (~F.coalesce(inside, F.lit(False))).alias("bare"))
     marked = materialize(marked, "marked-windows")
     # Only groups with something left go on: those of min-hashes first, then those of spots.
-    open_ = (F.min("part") != F.max("part")) | (F.max("bare") & (F.min("node") != F.max("node")))
-    marked = materialize(marked.join(marked.groupBy("hash").agg(open_.alias("o")).filter("o").select("hash"), "hash", "left_semi"), "open-windows")
+    open_ = materialize(marked.join(marked.groupBy("hash").agg(_open().alias("o")).filter("o").select("hash"), "hash", "left_semi"), "open-windows")
+    discard(marked)
     grid = F.floor(F.col("c") / LEAST).cast("int")
-    other = marked.select("node", F.explode(F.array(grid - 1, grid, grid + 1)).alias("grid"), *(F.col(x).alias(f"o_{x}") for x in ("hash", "fn", "l", "c", "r", "bare")))
-    spots = marked.withColumn("grid", grid).join(other, ["node", "grid"]).filter((F.col("fn") < F.col("o_fn")) & _room("", "o_", "", "o_"))
+    other = open_.select("node", F.explode(F.array(grid - 1, grid, grid + 1)).alias("grid"), *(F.col(x).alias(f"o_{x}") for x in ("hash", "fn", "l", "c", "r", "bare")))
+    spots = open_.withColumn("grid", grid).join(other, ["node", "grid"]).filter((F.col("fn") < F.col("o_fn")) & _room("", "o_", "", "o_"))
     spots = spots.select("hash", "o_hash", "node", "part", F.least("c", "o_c").alias("at"), (F.col("bare") | F.col("o_bare")).alias("bare"), F.floor(F.col("c") / LEAST).alias("g"))
     # Spots of one text, cell and group lead to the same places.
-    spots = materialize(spots.groupBy("hash", "o_hash", "node", "part", "g").agg(F.min("at").alias("at"), F.max("bare").alias("bare")), "spots")
-    groups = spots.groupBy("hash", "o_hash").agg(open_.alias("o"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("o").drop("o")
-    dealt = spots.join(groups, ["hash", "o_hash"])
-    x = dealt.withColumn("block", F.pmod(F.xxhash64("node", "g"), F.col("blocks")).cast("int")).select("hash", "o_hash", "block", F.col("node").alias("u"), "part", "bare", F.col("at").alias("at_u"))
-    y = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    y = y.select("hash", "o_hash", "block", F.col("node").alias("v"), F.col("part").alias("o_part"), F.col("bare").alias("o_bare"), F.col("at").alias("at_v"))
-    pairs = x.join(y, ["hash", "o_hash", "block"]).filter("u < v AND (part != o_part OR bare OR o_bare)")
-    return _places(pairs)
+    spots = spots.groupBy("hash", "o_hash", "node", "part", "g").agg(F.min("at").alias("at"), F.max("bare").alias("bare"))
+    spots = materialize(spots.select("hash", "o_hash", "node", "part", F.floor(F.col("at") / LEAST).cast("int").alias("grid"), "bare"), "spots")
+    discard(open_)
+    return spots
+
+
+def _open():
+    """Whether a group has pairs left: where it lies in texts of one component and in verified passages only, it has none."""
+    return (F.min("part") != F.max("part")) | (F.max("bare") & (F.min("node") != F.max("node")))
+
+
+def _members(spots: DataFrame) -> DataFrame:
+    """The regions of open groups, each once for a home, with the groups it belongs to (at most a region's pairs of windows).
+
+    A group's home is its smallest region; groups around one passage mostly have the same.
+    """
+    groups = spots.groupBy("hash", "o_hash").agg(_open().alias("o"), F.min(F.struct("node", "grid")).alias("first")).filter("o")
+    groups = groups.select("hash", "o_hash", F.xxhash64("first.node", "first.grid").alias("home"))
+    entry = F.struct(F.xxhash64("hash", "o_hash").alias("group"), "bare")
+    return spots.join(groups, ["hash", "o_hash"]).groupBy("home", "node", "grid").agg(F.first("part").alias("part"), F.collect_set(entry).alias("groups"))
+
+
+def _compared_pairs(rows: DataFrame, spots: DataFrame, listed: bool) -> DataFrame:
+    """Verifies all pairs of open groups that differ in component or have a spot outside the passages: what
+    :func:`_compared` tells of them, or with ``listed`` their verified places.
+
+    The regions of a home are dealt over blocks by their hash; every two blocks meet in one task.
+    """
+    members = materialize(_members(spots), "members")
+    regions = _regions_of(rows, members.select("node", "grid").distinct())
+    wide = members.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = members.join(regions, ["node", "grid"]).join(F.broadcast(wide), "home", "left")  # at most all regions / BLOCK homes
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "grid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("home", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("side"), "node", "grid", "part", F.col("groups.group").alias("groups"), F.col("groups.bare").alias("bare"), "tokens")
+    buckets = max(64, members.count() // BUCKET_REGIONS)
+    bucket = F.pmod(F.xxhash64("home", "low", "high"), F.lit(buckets)).alias("bucket")
+    found = dealt.groupBy(bucket).applyInArrow(lambda group: _compared(group, listed), _PLACED if listed else _FACT)
+    found = materialize(found.distinct(), "compared")
+    discard(members)
+    discard(regions)
+    return found
+
+
+def _candidates(home: np.ndarray, side: np.ndarray, alone: np.ndarray, node: np.ndarray, part: np.ndarray, spots: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """Pairs of regions that share a group, differ in text, and differ in component or have a bare spot in it; each once.
+
+    Regions are sorted by home and side. A spot is its region, group and whether it is bare. Regions of one side are
+    compared with those of the other; those of a home that is ``alone`` in its task with each other.
+    """
+    region, group, bare = spots
+    order = np.lexsort((region, group, home[region]))
+    region, group, bare = region[order], group[order], bare[order]
+    new = np.concatenate([[True], (np.diff(group) != 0) | (np.diff(home[region]) != 0)])
+    ends = np.append(np.flatnonzero(new)[1:], len(region))[np.cumsum(new) - 1]
+    first_two = np.cumsum(np.concatenate([[0], side[region]]))  # spots of the second side so far; they end a group
+    from_ = np.where(alone[region], np.arange(len(region)) + 1, ends - (first_two[ends] - first_two[np.arange(len(region))]))
+    sizes = np.where(side[region] & ~alone[region], 0, ends - np.minimum(from_, ends))
+    start = np.flatnonzero(np.concatenate([[True], np.diff(home) != 0]))
+    count = np.diff(np.append(start, len(home)))
+    width = count.astype(np.int64)
+    spot_home = np.searchsorted(start, region, "right") - 1
+    for at, to in _parts(width * width, AREA):
+        base = np.concatenate([[0], np.cumsum(width[at:to] ** 2)])
+        marks = np.zeros(int(base[-1]), bool)
+        low, high = np.searchsorted(spot_home, [at, to])
+        for i0, i1 in _parts(sizes[low:high], STEP):
+            n = sizes[low + i0 : low + i1]
+            i = np.repeat(np.arange(low + i0, low + i1), n)
+            j = np.arange(len(i)) + np.repeat(from_[low + i0 : low + i1] - (np.cumsum(n) - n), n)
+            x, y = region[i], region[j]
+            keep = (bare[i] | bare[j] | (part[x] != part[y])) & (node[x] != node[y])
+            x, y, h = x[keep], y[keep], spot_home[i[keep]]
+            marks[base[h - at] + (x - start[h]) * width[h] + y - start[h]] = True
+        spot = np.flatnonzero(marks)
+        h = np.searchsorted(base, spot, "right") - 1
+        inside = spot - base[h]
+        yield start[at + h] + inside // width[at + h], start[at + h] + inside % width[at + h]
+
+
+def _sketches(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each region a bitmap of its tokens, the number of distinct tokens that its bits hide, and of repeats."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    kept = _distinct(row.astype(np.uint64) << np.uint64(32) | tokens)
+    at, bit = (kept >> np.uint64(32)).astype(np.int64), (kept & np.uint64(0xFFFFFFFF)).astype(np.int64) >> 32 - BITS
+    maps = np.zeros(len(sizes) << BITS - 3, np.uint8)
+    np.bitwise_or.at(maps, (at << BITS - 3) + (bit >> 3), np.left_shift(1, bit & 7).astype(np.uint8))
+    maps = maps.view(np.uint64).reshape(len(sizes), -1)
+    distinct = np.bincount(at, minlength=len(sizes))
+    return maps, distinct - np.bitwise_count(maps).sum(axis=1, dtype=np.int64), sizes - distinct
+
+
+def _likely(u: np.ndarray, v: np.ndarray, maps: np.ndarray, hidden: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """Which pairs of regions may have a verified passage, by a bound that leaves out none.
+
+    A passage has ``LEAST`` positions in both, so at least ``LEAST`` less the repeats distinct tokens. With ``c`` of them
+    common its similarity is ``c / (x + y - c)``, so ``7 c >= 3 (x + y)``. Two regions have no more common tokens than
+    common bits and tokens hidden by either's bits.
+    """
+    common = np.empty(len(u), np.int64)
+    step = max(1, STEP // maps.shape[1])
+    for at in range(0, len(u), step):
+        i, j = u[at : at + step], v[at : at + step]
+        common[at : at + step] = np.bitwise_count(maps[i] & maps[j]).sum(axis=1, dtype=np.int64)
+    return 7 * (common + np.minimum(hidden[u], hidden[v])) >= 3 * (2 * LEAST - repeats[u] - repeats[v])
+
+
+def _facts(places: pa.Table, known: pa.Table) -> pa.Table:
+    """What is known of texts (``_FACT``) with verified places added: each text's joined spans, and a link to the smallest
+    text that it is connected to here."""
+    read = lambda table, *names: [table.column(n).to_numpy() for n in names]
+    u, v, u_low, u_high, v_low, v_high = read(places, *(f.name for f in _schema(_PASSAGE)))
+    node, low, high, link = read(known, "node", "low", "high", "link")
+    texts, ends = np.unique(np.concatenate([u, node, v, link]), return_inverse=True)
+    a, b = ends[: len(ends) // 2], ends[len(ends) // 2 :]
+    parts, before = np.arange(len(texts)), None
+    while before is None or (parts != before).any():
+        before = parts.copy()
+        np.minimum.at(parts, a, before[b])
+        np.minimum.at(parts, b, before[a])
+        parts = parts[parts]
+    at = np.concatenate([ends[: len(u)], ends[len(a) : len(a) + len(u)], ends[len(u) : len(a)]])
+    low, high = np.concatenate([u_low, v_low, low]).astype(np.int64), np.concatenate([u_high, v_high, high]).astype(np.int64)
+    order = np.lexsort((low, at))
+    at, low, high = at[order], low[order], high[order]
+    width = int(high.max(initial=0)) + 1
+    reach = np.maximum.accumulate(at * width + high)  # a text's spans begin beyond the reach of the text before
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (at[1:] * width + low[1:] > reach[:-1])])[: len(at)])
+    last = np.append(new[1:], len(at))[: len(new)] - 1
+    found = (texts[at[new]], low[new], reach[last] - at[new] * width, texts[parts[at[new]]])
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(found, _schema(_FACT).types, strict=True)], schema=_schema(_FACT))
+
+
+def _compared(group: pa.Table, listed: bool) -> pa.Table:
+    """Verifies the pairs of a bucket's homes, in memory and some at once: the facts on its texts, or the verified places."""
+    group = group.sort_by([(n, "ascending") for n in ("home", "low", "high", "side", "node", "grid")])
+    column = lambda n: group.column(n).combine_chunks()
+    key = [column(n).to_numpy() for n in ("home", "low", "high")]
+    node, part, grid = (column(n).to_numpy() for n in ("node", "part", "grid"))
+    home = np.cumsum(np.concatenate([[False], np.any([np.diff(x) != 0 for x in key], axis=0)]))
+    side = column("side").to_numpy(zero_copy_only=False)
+    tokens, sizes = _tokens(column("tokens"))
+    lists = column("groups")
+    region = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
+    spots = region, lists.flatten().to_numpy(), column("bare").flatten().to_numpy(zero_copy_only=False)
+    sketches = _sketches(tokens, sizes)
+    names, ids = np.unique(tokens, return_inverse=True)
+    wide = np.full((len(sizes), 3 * LEAST), len(names), np.int32)  # a region in each row, filled up with a name that none has
+    before = np.cumsum(sizes) - sizes
+    wide[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(ids)) - np.repeat(before, sizes)] = ids
+    flat = lambda x: tokens[np.repeat(before[x] - (np.cumsum(sizes[x]) - sizes[x]), sizes[x]) + np.arange(sizes[x].sum())]
+    step, out, known = max(1, STEP // (6 * LEAST)), [], _schema(_FACT).empty_table()  # pairs of regions
+    for u, v in _candidates(home, side, key[1] == key[2], node, part, spots):
+        keep = _likely(u, v, *sketches)
+        swap = node[u] > node[v]
+        once = (sketches[2][u] == 0) & (sketches[2][v] == 0)
+        for kind in (True, False):  # regions without and with repeated tokens
+            some = np.flatnonzero(keep & (once == kind))
+            for at in range(0, len(some), step):
+                k = some[at : at + step]
+                if kind:
+                    hit, bounds = verify_once(_matched(wide, u[k], v[k], len(names)))
+                    bounds = np.where(swap[k], bounds[[2, 3, 0, 1]], bounds)
+                i, j = np.where(swap[k], v[k], u[k]), np.where(swap[k], u[k], v[k])
+                if not kind:
+                    hit, bounds = verify(flat(i), sizes[i], flat(j), sizes[j])
+                out.append(_passages(hit, bounds, node[i], node[j], grid[i], grid[j]))
+                if not listed and len(out) == 64:
+                    known, out = _facts(pa.Table.from_batches(out), known), []
+    places = pa.Table.from_batches(out, _schema(_PLACED))
+    return places if listed else _facts(places, known)
+
+
+def _matched(wide: np.ndarray, u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For pairs of regions without repeats, sorted by ``u``: for each place in the second its token's place in the first, from 1, or 0."""
+    out, place = np.empty((len(u), wide.shape[1]), np.uint8), np.zeros(n + 1, np.uint8)
+    start = np.flatnonzero(np.diff(u, prepend=-1))
+    for at, to in zip(start.tolist(), [*start[1:].tolist(), len(u)], strict=True):
+        own = wide[u[at]]
+        place[own] = np.arange(1, len(own) + 1)
+        place[n] = 0
+        out[at:to] = place[wide[v[at:to]]]
+        place[own] = 0
+    return out
 
 
 def _stretches(matched: np.ndarray, row: np.ndarray, place: np.ndarray, n: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -347,6 +523,29 @@ def verify(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarra
     return hit, bounds
 
 
+def verify_once(matched: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`verify` for pairs of regions in which no token comes twice, from their matched places (:func:`_matched`)."""
+    n, width = matched.shape
+    in_a = np.zeros((n, width + 1), bool)
+    in_a[np.arange(n)[:, None], matched] = True
+    in_a, in_b = np.ascontiguousarray(in_a[:, 1:]), matched > 0
+    rows = np.flatnonzero(in_b.sum(axis=1) >= LEAST // 2)
+    hit, bounds = np.zeros(n, bool), np.zeros((4, n), np.int64)
+    for gap in GAPS:
+        row, place = np.repeat(np.arange(len(rows)), width), np.tile(np.arange(width), len(rows))
+        a1, a2 = _stretches(in_a[rows].ravel(), row, place, len(rows), gap)
+        b1, b2 = _stretches(in_b[rows].ravel(), row, place, len(rows), gap)
+        long = (a2 - a1 + 1 >= LEAST) & (b2 - b1 + 1 >= LEAST)
+        rows, a1, a2, b1, b2 = rows[long], a1[long], a2[long], b1[long], b2[long]
+        at, seen = np.arange(width), matched[rows]
+        inside = (seen > a1[:, None]) & (seen <= a2[:, None] + 1) & (at >= b1[:, None]) & (at <= b2[:, None])
+        good = 7 * inside.sum(axis=1) >= 3 * (a2 - a1 + b2 - b1 + 2)
+        bounds[:, rows[good]] = np.stack([a1, a2, b1, b2])[:, good]
+        hit[rows[good]] = True
+        rows = rows[~good]
+    return hit, bounds
+
+
 def _regions(batches):
     for whole in batches:
         for batch in kernel.slices(whole, "text", SLICE):
@@ -365,16 +564,21 @@ def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint32), np.diff(offsets) // 4
 
 
+def _passages(hit: np.ndarray, bounds: np.ndarray, u: np.ndarray, v: np.ndarray, grid_u: np.ndarray, grid_v: np.ndarray) -> pa.RecordBatch:
+    """The verified of some places, with word spans in their texts."""
+    low_u, low_v = (np.maximum(0, (g.astype(np.int64) - 1) * LEAST) for g in (grid_u, grid_v))
+    a1, a2, b1, b2 = bounds
+    found = (u, v, a1 + low_u, a2 + low_u + WIDTH, b1 + low_v, b2 + low_v + WIDTH, grid_u, grid_v)
+    return pa.RecordBatch.from_arrays([pa.array(x[hit], t) for x, t in zip(found, _schema(_PLACED).types, strict=True)], schema=_schema(_PLACED))
+
+
 def _checked(batches):
     for whole in batches:
         step = max(1, STEP // (6 * LEAST))  # pairs of regions
         for at in range(0, whole.num_rows, step):
             batch = whole.slice(at, step)
             hit, bounds = verify(*_tokens(batch.column("t_u")), *_tokens(batch.column("t_v")))
-            low_u, low_v = (np.maximum(0, (batch.column(g).to_numpy().astype(np.int64) - 1) * LEAST) for g in ("grid_u", "grid_v"))
-            a1, a2, b1, b2 = bounds
-            found = (batch.column("u").to_numpy(), batch.column("v").to_numpy(), a1 + low_u, a2 + low_u + WIDTH, b1 + low_v, b2 + low_v + WIDTH)
-            yield pa.RecordBatch.from_arrays([pa.array(x[hit], t) for x, t in zip(found, _schema(_PASSAGE).types, strict=True)], schema=_schema(_PASSAGE))
+            yield _passages(hit, bounds, *(batch.column(n).to_numpy() for n in ("u", "v", "grid_u", "grid_v")))
 
 
 def _marked(batches):
@@ -407,33 +611,63 @@ def _flags(nodes: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _verified(rows: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The passages around the seeds; only texts with a seed are read again."""
-    asked = seeds.select(F.col("u").alias("node"), F.col("grid_u").alias("g")).union(seeds.select("v", "grid_v")).distinct()
-    asked = materialize(asked.groupBy("node").agg(F.collect_list("g").alias("grids")), "asked")  # at most a text's length / LEAST
+def _regions_of(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """The tokens around distinct cells ``(node, grid)``; only texts with one are read again."""
+    asked = materialize(cells.groupBy("node").agg(F.collect_list("grid").alias("grids")), "asked")  # at most a text's length / LEAST
     texts = rows.select("text").mapInArrow(_asked(_flags(asked)), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
     regions = materialize(texts.join(asked, "node").select("text", "grids").mapInArrow(_regions, "node long, grid int, tokens binary"), "regions")
+    discard(asked)
+    return regions
+
+
+def _verified(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The passages around the seeds."""
+    regions = _regions_of(rows, seeds.select(F.col("u").alias("node"), F.col("grid_u").alias("grid")).union(seeds.select("v", "grid_v")).distinct())
     side = lambda end: regions.select(F.col("node").alias(end), F.col("grid").alias(f"grid_{end}"), F.col("tokens").alias(f"t_{end}"))
     whole = seeds.join(side("u"), ["u", "grid_u"]).join(side("v"), ["v", "grid_v"])
-    return materialize(whole.mapInArrow(_checked, _PASSAGE), "passages")
+    found = materialize(whole.mapInArrow(_checked, _PLACED).drop("grid_u", "grid_v"), "passages")
+    discard(regions)
+    return found
 
 
-def find_passages(df: DataFrame, text: str = "text") -> DataFrame:
-    """Verified passages of two texts: ``u``, ``v`` (text hashes) and word spans in both; ends are exclusive."""
+def _search(df: DataFrame, text: str, listed: bool) -> tuple[DataFrame, DataFrame]:
+    """The passages around seeds, and what comparing the open groups adds to them (:func:`_compared_pairs`)."""
     rows = df.select(F.col(quoted(text)).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, int(size // BUCKET).bit_length())
     back = materialize(rows.mapInArrow(_sent(bits), _SENT).groupBy("key").applyInArrow(_answered, _BACK), "min-hashes")
     shared = materialize(back.groupBy("shard").applyInArrow(_shared, _SHARED), "windows")
+    discard(back)
     seeds = materialize(_seeds(_collisions(shared), max(64, int(size // SPREAD))), "seeds")
     found = _verified(rows, seeds)
-    rest = materialize(_left(shared, found).join(seeds, ["u", "v", "grid_u", "grid_v"], "left_anti"), "seeds-left")
-    return found.union(_verified(rows, rest)) if rest.count() else found
+    spots = _spots(shared, found)
+    discard(shared)
+    more = _compared_pairs(rows, spots, listed)
+    discard(spots)
+    if listed:  # without the places that were verified before
+        places, more = more, materialize(more.join(seeds, ["u", "v", "grid_u", "grid_v"], "left_anti").select(found.columns), "passages")
+        discard(places)
+    discard(seeds)
+    return found, more
+
+
+def find_passages(df: DataFrame, text: str = "text") -> DataFrame:
+    """Verified passages of two texts: ``u``, ``v`` (text hashes) and word spans in both; ends are exclusive.
+
+    Every pair is listed, so a group of near copies gives rows with the square of its size.
+    """
+    found, more = _search(df, text, True)
+    return found.union(more)
+
+
+def _sides(found: DataFrame) -> DataFrame:
+    """The spans of passages, one row for each of their two texts (``node``)."""
+    return found.select(F.col("u").alias("node"), F.col("u_low").alias("low"), F.col("u_high").alias("high")).union(found.select("v", "v_low", "v_high"))
 
 
-def _spans(found: DataFrame) -> DataFrame:
+def _spans(sides: DataFrame) -> DataFrame:
     """Per text (``node``) its ``spans`` of words in passages."""
-    spans = found.select(F.col("u").alias("node"), F.col("u_low").alias("low"), F.col("u_high").alias("high")).union(found.select("v", "v_low", "v_high")).distinct()
+    spans = sides.distinct()
     return spans.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans")).withColumn("spans", _merged(F.col("spans")))
 
 
@@ -452,9 +686,9 @@ def _merged(spans):
 def mark_passages(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_words``, ``n_repeated`` (words in passages found elsewhere), ``spans`` of words,
     ``n_copies`` (documents with equal words) and ``component_id``, the smallest id linked by passages."""
-    found = find_passages(df, text)
-    per_node = _spans(found)
-    parts = connected_components(found.select("u", "v"))
+    found, more = _search(df, text, False)
+    per_node = _spans(_sides(found).union(more.select("node", "low", "high")))
+    parts = connected_components(found.select("u", "v").union(more.select("node", "link")))
     rows = df.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
     marked = materialize(rows.mapInArrow(_marked, "doc_id long, node long, n_words long"), "documents")
     own = marked.filter(F.col("n_words") >= LEAST + WIDTH - 1)
