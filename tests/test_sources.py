@@ -1,12 +1,16 @@
 """Log reads, retention, export, sinks, the preprocessing job and streaming."""
 
+import glob
+import gzip
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from watchloom.plans.preprocessing import run_preprocessing
+from watchloom.session import discard, freed_shuffles, materialize, scratch_path, shared_dir, temporary_tables
 from watchloom.sources import jsonl, log, sinks
 from watchloom.streaming import jobs
 
@@ -111,6 +115,45 @@ def test_preprocessing_job_writes_four_outputs(spark, tmp_path):
     assert len(members) == len(events) == 28
 
 
+def test_preprocessing_job_packs_its_outputs_and_leaves_no_scratch_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_ROWS", 40)
+    lines = [("iam", json.dumps({"event_id": f"e{k}", "timestamp": k + 1, "source_type": "iam", "identity": f"s{k % 5}", "host": "h", "action": "a" * 300})) for k in range(300)]
+    raw = spark.createDataFrame(lines + [("iam", "[1]")], "ingest_source string, line string").repartition(1)
+    there, out = set(os.listdir(shared_dir(spark).removeprefix("file:"))), tmp_path / "out"
+    assert sum(r.valid_event_count for r in run_preprocessing(raw, str(out)).collect()) == 300
+    left = {x for x in set(os.listdir(shared_dir(spark).removeprefix("file:"))) - there if x.startswith(("placed", "slots", "groups"))}
+    assert not left
+    written = {str(f.relative_to(out)): f for f in out.rglob("part-*") if "_staged" not in str(f)}
+    assert {name.partition("/ingest_source")[0].partition("/identity")[0] for name in written} == {
+        "preprocessed", "windows/fixed", "windows/session", "windows/fixed_members", "windows/session_members", "sequences", "errors"}
+    counts = {}
+    for name, f in written.items():
+        with gzip.open(f, "rt", encoding="utf-8") as opened:
+            rows = [json.loads(x) for x in opened]
+        assert len(rows) <= 40
+        counts[name.partition("/ingest_source")[0]] = counts.get(name.partition("/ingest_source")[0], 0) + len(rows)
+    assert counts["preprocessed"] == counts["windows/fixed_members"] == counts["windows/session_members"] == 300 and counts["errors"] == 1
+    assert sum(f.stat().st_size for n, f in written.items() if n.startswith("preprocessed")) < 300 * 300
+
+
+def test_temporary_tables_go_when_their_block_ends(spark):
+    kept = materialize(spark.range(5), "kept")
+    with temporary_tables(spark):
+        gone = materialize(spark.range(6), "gone")
+        with temporary_tables(spark):
+            inner = materialize(spark.range(7).groupBy("id").count(), "inner")
+            assert inner.count() == 7
+        assert gone.count() == 6 and not glob.glob(f"{scratch_path(spark, 'inner').rpartition('/')[0].removeprefix('file:')}/inner-*")
+    assert kept.count() == 5 and not glob.glob(f"{scratch_path(spark, 'gone').rpartition('/')[0].removeprefix('file:')}/gone-*")
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    with freed_shuffles(spark):
+        assert spark.conf.get(setting) == "true"
+    assert spark.conf.get(setting) == before
+    discard(kept)
+    assert not glob.glob(f"{shared_dir(spark).removeprefix('file:')}/kept-*")
+
+
 def test_source_without_input_has_a_zero_row(spark, tmp_path):
     empty = jsonl.read_all_sources(spark, str(tmp_path))
     rows = run_preprocessing(empty, str(tmp_path / "out")).collect()

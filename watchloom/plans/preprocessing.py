@@ -9,7 +9,7 @@ from watchloom.operators import windows as win
 from watchloom.operators.normalize import alias_column, events_of, normalize_all
 from watchloom.operators.parse import classify, dead_letters
 from watchloom.schemas import FIXED_WINDOW_SECONDS, SESSION_GAP_SECONDS, SOURCES
-from watchloom.session import scratch_path
+from watchloom.session import scratch_path, temporary_tables
 from watchloom.sources.jsonl import not_blank, number_lines
 from watchloom.sources.sinks import write_jsonl, write_table
 
@@ -77,7 +77,7 @@ def run_preprocessing(
     lines: DataFrame, out_dir: str, fixed_seconds: int = FIXED_WINDOW_SECONDS,
     gap_seconds: int = SESSION_GAP_SECONDS, timestamp_fallback: str | None = None,
 ) -> DataFrame:
-    """Write the four outputs of every source under ``out_dir`` and return the summary.
+    """Write the four outputs of every source under ``out_dir``, as packed JSON lines, and return the summary.
 
     Lines from ``read_lines(number=True)`` give dead letters with their line numbers.
 
@@ -89,23 +89,29 @@ def run_preprocessing(
     win.check_seconds("session_gap_seconds", gap_seconds)
     classified = classify(not_blank(lines), timestamp_fallback)
     staged_path = f"{out_dir}/_staged"
-    write_table(normalize_all(classified), staged_path)
+    write_table(normalize_all(classified), staged_path, "zstd")
     classified = spark.read.parquet(staged_path)
     events = events_of(classified)
-    write_jsonl(events.drop("ts"), f"{out_dir}/preprocessed", ["ingest_source"])
-    write_jsonl(win.fixed_windows(events, fixed_seconds), f"{out_dir}/windows/fixed", ["ingest_source"])
-    write_jsonl(win.sessions(events, gap_seconds).drop("start_ts", "end_ts", "session_no"), f"{out_dir}/windows/session", ["ingest_source"])
+
+    def put(rows: DataFrame, name: str, by: str = "ingest_source") -> None:
+        write_jsonl(rows, f"{out_dir}/{name}", [by], packed=True)
+
+    put(events.drop("ts"), "preprocessed")
+    put(win.fixed_windows(events, fixed_seconds), "windows/fixed")
+    put(win.sessions(events, gap_seconds).drop("start_ts", "end_ts", "session_no"), "windows/session")
     # What a window holds is the events' ids in order; the events themselves are written once.
     ids = events.select("ingest_source", "ts", "event_id", "identity", "host")
-    members = win.fixed_window_members(ids, fixed_seconds).drop("ts", "identity", "host")
-    write_jsonl(members, f"{out_dir}/windows/fixed_members", ["ingest_source"])
-    members = win.session_members(ids, gap_seconds).drop("ts", "identity", "host", "session_key", "start_time")
-    write_jsonl(members, f"{out_dir}/windows/session_members", ["ingest_source"])
+    with temporary_tables(spark):
+        put(win.fixed_window_members(ids, fixed_seconds).drop("ts", "identity", "host"), "windows/fixed_members")
+    with temporary_tables(spark):
+        members = win.session_members(ids, gap_seconds).drop("ts", "identity", "host", "session_key", "start_time")
+        put(members, "windows/session_members")
     if "action" in events.columns:
-        sequences = win.identity_sequences(events, fixed_seconds)
-        write_jsonl(sequences.withColumn("identity_hash", F.pmod(F.xxhash64("identity"), F.lit(64))), f"{out_dir}/sequences", ["identity_hash"])
+        with temporary_tables(spark):
+            sequences = win.identity_sequences(events, fixed_seconds)
+            put(sequences.withColumn("identity_hash", F.pmod(F.xxhash64("identity"), F.lit(64))), "sequences", "identity_hash")
     failing = classified.filter(F.col("stage").isNotNull())
     if "_row" in lines.columns:
         failing = number_lines(lines, failing)
-    write_jsonl(dead_letters(failing), f"{out_dir}/errors", ["ingest_source"])
+    put(dead_letters(failing), "errors")
     return summary_from_staged(classified, events, fixed_seconds, gap_seconds, f"{out_dir}/")

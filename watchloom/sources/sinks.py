@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchloom.session import freed_shuffles
 
-def write_jsonl(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Overwrite ``path`` with JSON lines; NULL fields are written, text stays UTF-8."""
+FILE_ROWS = 100_000  # rows of a file that one task has to read whole
+
+
+def write_jsonl(rows: DataFrame, path: str, by: list[str] | None = None, packed: bool = False) -> None:
+    """Overwrite ``path`` with JSON lines; NULL fields are written, text stays UTF-8.
+
+    ``packed`` files are gzip, which readers unpack by the file's name. A reader can't split such a file, so none has more
+    than ``FILE_ROWS`` rows.
+    """
     writer = rows.write.mode("overwrite").option("ignoreNullFields", "false")
-    (writer.partitionBy(*by) if by else writer).json(path)
+    if packed:
+        writer = writer.option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS)
+    with freed_shuffles(rows.sparkSession):
+        (writer.partitionBy(*by) if by else writer).json(path)
 
 
-def write_csv(rows: DataFrame, path: str, file_rows: int = 100_000) -> None:
+def write_csv(rows: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
     """Flat CSV view: only scalar columns. Quotes are doubled, as ordinary CSV readers expect.
 
     Values may hold line breaks, so a reader can't split a file: no file has more than ``file_rows`` rows.
@@ -31,8 +42,8 @@ def write_partitioned(rows: DataFrame, path: str, by: list[str], real: Column |
     write_jsonl(rows.filter(real), f"{path}/real_seed", by)
 
 
-def write_table(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").parquet(path)
+def write_table(rows: DataFrame, path: str, codec: str = "snappy") -> None:
+    rows.write.mode("overwrite").option("compression", codec).parquet(path)
 
 
 def spread_by_run(rows: DataFrame, key: str) -> DataFrame:
