@@ -82,8 +82,10 @@ def weights_table(spark: SparkSession, weights: dict[str, np.ndarray]) -> DataFr
     return spark.createDataFrame(rows, "layer string, part string, row int, values array<double>")
 
 
-def weights_of(table: DataFrame) -> dict[str, np.ndarray]:
-    """The weights of a table; the model's size, whatever the data's."""
+def weights_of(table: DataFrame | dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The weights of a table, or as given; the model's size, whatever the data's."""
+    if isinstance(table, dict):
+        return table
     parts: dict[str, list] = {}
     for r in table.orderBy("layer", "part", "row").collect():
         parts.setdefault(f"{r['layer']}.{r['part']}", []).append(r["values"])
@@ -175,7 +177,7 @@ def _stepped(shared, run, add: bool, value: str):
     return work
 
 
-def recurrent_errors(seqs: DataFrame, weights: DataFrame, entity: str = "identity") -> DataFrame:
+def recurrent_errors(seqs: DataFrame, weights: DataFrame | dict[str, np.ndarray], entity: str = "identity") -> DataFrame:
     """Error per feature and overall (at most 1) of each sequence under the recurrent model of a weights table.
 
     Steps are sorted by sequence and time inside the tasks and run in two passes: the first encodes, the second decodes each
@@ -233,6 +235,7 @@ def cross_fitted(rows: DataFrame, row_id: str, text: str, label: str, rule: Colu
             continue
         model = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=10, regParam=0.01, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_v").fit(others.select(F.col(label).cast("double").alias(label), "_features"))
         score = vector_to_array("_p")[1] if model.numClasses > 1 else F.lit(0.0)  # one class: no positive label was seen
+        score = F.round(score, 12)  # the last digits depend on the order in which the tasks of a sum end
         scored.append(model.transform(own).withColumn("score", score).drop("_p", "_r", "_v"))
     return functools.reduce(DataFrame.unionByName, scored).select(row_id, label, "fold", "score", "rule")
 
