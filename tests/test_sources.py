@@ -136,6 +136,19 @@ def test_preprocessing_job_packs_its_outputs_and_leaves_no_scratch_tables(spark,
     assert sum(f.stat().st_size for n, f in written.items() if n.startswith("preprocessed")) < 300 * 300
 
 
+def test_folders_are_written_without_a_sort_up_to_the_open_files(spark, tmp_path, monkeypatch):
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before, rows = spark.conf.get(setting), spark.range(900).select("id", (F.col("id") % 150).alias("p"))
+    for files in (200, 20):  # below the folders' number, a task sorts the rest
+        monkeypatch.setattr(sinks, "OPEN_FILES", files)
+        sinks.write_jsonl(rows, str(tmp_path / "out"), ["p"], packed=files == 20)
+        assert len(list((tmp_path / "out").glob("p=*"))) == 150
+        assert {(r.id, r.p) for r in spark.read.json(str(tmp_path / "out")).collect()} == {(k, k % 150) for k in range(900)}
+    assert spark.conf.get(setting) == before
+    with freed_shuffles(spark, 64):
+        assert spark.conf.get(setting) == "64"
+
+
 def test_temporary_tables_go_when_their_block_ends(spark):
     kept = materialize(spark.range(5), "kept")
     with temporary_tables(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from watchloom.session import freed_shuffles
 
 FILE_ROWS = 100_000  # rows of a file that one task has to read whole
+OPEN_FILES = 64  # folders that a task writes at once; beyond, it sorts
 
 
 def write_jsonl(rows: DataFrame, path: str, by: list[str] | None = None, packed: bool = False) -> None:
@@ -19,7 +20,7 @@ def write_jsonl(rows: DataFrame, path: str, by: list[str] | None = None, packed:
     writer = rows.write.mode("overwrite").option("ignoreNullFields", "false")
     if packed:
         writer = writer.option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS)
-    with freed_shuffles(rows.sparkSession):
+    with freed_shuffles(rows.sparkSession, OPEN_FILES if by else 0):
         (writer.partitionBy(*by) if by else writer).json(path)
 
 
